@@ -225,11 +225,11 @@ def matches_of(changes: str, names: list[str] | None = None) -> str:
       side
     FROM (
       SELECT *, string_split(left(body, pos), chr(10)) AS before_lines, string_split(body, chr(10)) AS all_lines,
-             substr(body, CAST(pos AS BIGINT) + 1, CAST(size AS BIGINT)) AS hit
+             substr(body, pos + 1, CAST(size AS BIGINT)) AS hit
       FROM (
         SELECT *, length(hits[k]) AS size,
-          list_sum(list_transform(gaps[1:k], lambda g: length(g)))
-            + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS pos
+          CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g)))
+            + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS pos
         FROM (
           SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (
             SELECT *, regexp_extract_all({FOLD.format('body')}, '{p}') AS hits,
