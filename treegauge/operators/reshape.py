@@ -105,14 +105,15 @@ def label_sets(rows: DataFrame) -> DataFrame:
 
 
 def heatmap(rows: DataFrame) -> DataFrame:
-    """Cells of a tech_stack x category grid, rounded."""
+    """Cells of a tech_stack x category grid, rounded. Sums are cut to six digits first, so that
+    the order of addition cannot move a half to the other side."""
     return (
         rows.groupBy(
             "scan_id",
             _or_unknown("tech_stack").alias("tech_stack"),
             _or_unknown("category").alias("category"),
         )
-        .agg(F.sum("value").alias("value"))
+        .agg(F.round(F.sum("value"), 6).alias("value"))
         .withColumn("value", round_half_up(F.col("value")))
     )
 
