@@ -70,11 +70,11 @@ def c6(spark, d):
 
 def _everywhere(spark, d, analyzer_id):
     """One analyzer on every file of both trees."""
-    from treegauge.sources.files import snapshot_changes
+    from treegauge.sources.files import snapshot_changes, spread
 
     rules = ScanRules((StackRule("All", ("rs", "java", "py", "md", "html"), (analyzer_id,)),))
     files = fx.files_base(spark, d).unionByName(fx.files_web(spark, d))
-    rows = sh.analyze(snapshot_changes(files, rules, 1), fx.ANALYZERS, rules)
+    rows = sh.analyze(snapshot_changes(spread(files), rules, 1), fx.ANALYZERS, rules)
     return rows.where(F.col("analyzer_id") == analyzer_id).select("file_path", F.col("value_after").alias("value"))
 
 

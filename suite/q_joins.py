@@ -10,6 +10,7 @@ from suite.oracle_tables import over
 from suite.q_sources import FLAT
 from suite.registry import query
 from treegauge.operators import catalog, diff, matches, metrics, renames
+from treegauge.session import cut_lineage
 
 
 @query("D1_before_after", over("metrics_diff", f"SELECT {FLAT} FROM metrics_diff"))
@@ -48,7 +49,7 @@ def d2(spark, d):
 
 @query("D3_exact_renames", over("rename_pairs", "SELECT old_path, new_path FROM rename_pairs"))
 def d3(spark, d):
-    changed = diff.changed_paths(fx.files_base(spark, d), fx.files_target(spark, d))
+    changed = cut_lineage(diff.changed_paths(fx.files_base(spark, d), fx.files_target(spark, d)))
     return renames.exact_pairs(changed).select("old_path", "new_path")
 
 

@@ -130,7 +130,7 @@ def _runs_sql(changes: str, scan_id: int) -> str:
 def a8(spark, d):
     changes = sh.diff(spark, d)
     stats = metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES))
-    record = metrics.summary_record(metrics.scan_summary(changes, stats), stats, ["broken.wasm: bad header"])
+    record = metrics.summary_record(stats, ["broken.wasm: bad header"])
     path = shared_path(spark, "summaries")
     write_scan_table(record, path)
     return read_scan_table(spark, path).withColumn("scan_id", F.col("scan_id").cast("bigint"))

@@ -110,18 +110,21 @@ def e8(spark, d):
 def e9(spark, d):
     changes = sh.snapshot(spark, d)
     stats = metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES))
-    return metrics.scan_summary(changes, stats)
+    return metrics.scan_summary(stats)
 
 
 @query("E9_analyzer_stats", over("snapshot", f"""
-    SELECT scan_id, analyzer_id, n - coalesce(e, 0) AS files_analyzed, coalesce(e, 0) AS execution_errors
+    SELECT scan_id, analyzer_id, n - coalesce(e, 0) AS files_analyzed, coalesce(e, 0) AS execution_errors,
+      (SELECT count(*) FROM snapshot) AS total_files
     FROM ({_runs_sql('snapshot', 1)}) LEFT JOIN
-      (SELECT 'char_count' AS analyzer_id, count(*) AS e FROM snapshot WHERE contains(content, 'ó') AND tech_stack IS NOT NULL)
+      (SELECT CASE tech_stack WHEN 'Java' THEN 'java_complexity' ELSE 'char_count' END AS analyzer_id, count(*) AS e
+       FROM snapshot WHERE contains(content, 'ü') AND tech_stack IS NOT NULL GROUP BY 1)
     USING (analyzer_id)"""))
 def e9b(spark, d):
     changes = sh.snapshot(spark, d)
-    errors = changes.where(F.contains("content", F.lit("ó")) & F.col("tech_stack").isNotNull()).select(
-        "scan_id", F.lit("char_count").alias("analyzer_id"), F.col("file_path").alias("error"))
+    failing = F.when(F.col("tech_stack") == "Java", "java_complexity").otherwise("char_count")
+    errors = changes.where(F.contains("content", F.lit("ü")) & F.col("tech_stack").isNotNull()).select(
+        "scan_id", failing.alias("analyzer_id"), F.col("file_path").alias("error"))
     return metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES), errors)
 
 

@@ -10,19 +10,19 @@ from treegauge.operators.analyzers import analyze
 from treegauge.operators.diff import version_diff
 from treegauge.operators.matches import extract_matches
 from treegauge.operators.metrics import drop_zero
-from treegauge.sources.files import snapshot_changes
+from treegauge.sources.files import snapshot_changes, spread
 
 
 def snapshot(spark, d) -> DataFrame:
-    return snapshot_changes(fx.files_base(spark, d), fx.RULES, F.lit(1).cast("bigint"))
+    return snapshot_changes(spread(fx.files_base(spark, d)), fx.RULES, F.lit(1).cast("bigint"))
 
 
 def snapshot_web(spark, d) -> DataFrame:
-    return snapshot_changes(fx.files_web(spark, d), fx.RULES, F.lit(2).cast("bigint"))
+    return snapshot_changes(spread(fx.files_web(spark, d)), fx.RULES, F.lit(2).cast("bigint"))
 
 
 def snapshot_log(spark, d) -> DataFrame:
-    return snapshot_changes(fx.files_log(spark, d), fx.RULES, F.lit(3).cast("bigint"))
+    return snapshot_changes(spread(fx.files_log(spark, d)), fx.RULES, F.lit(3).cast("bigint"))
 
 
 def diff(spark, d, renames="exact") -> DataFrame:

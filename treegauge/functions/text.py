@@ -33,8 +33,12 @@ def java_pattern(pattern: str) -> str:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once per row, also when body uses it in a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """`body(value)` with `value` evaluated once per row, also when body uses it in a lambda.
+
+    The value is the start value of an aggregate over nothing, which hands it to `body` uncopied.
+    """
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda acc, _: acc, body)
 
 
 def total(xs: Column) -> Column:
@@ -46,45 +50,52 @@ def running_starts(xs: Column) -> Column:
     """Exclusive running totals of a non-empty int array: [0, x1, x1+x2, ...].
 
     Works in blocks of about sqrt(n) elements, so one row costs n*sqrt(n) additions and needs
-    no explode, window or shuffle.
+    no explode, window or shuffle. Short arrays are one block.
     """
 
-    def over_blocks(xs: Column, step: Column) -> Column:
+    def block(xs: Column) -> Column:
+        return F.transform(xs, lambda _, j: total(F.slice(xs, 1, j)))
+
+    def shifted(xs: Column, by: Column) -> Column:
+        return F.transform(xs, lambda _, j: by + total(F.slice(xs, 1, j)))
+
+    def by_blocks(xs: Column, step: Column) -> Column:
         last = ((F.size(xs) - 1) / step).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * step + 1, step)
-        )
-        return let(blocks, lambda bs: let(F.transform(bs, total), lambda ts: within(bs, ts)))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * step + 1, step))
 
-    def within(blocks: Column, totals: Column) -> Column:
-        def one(block: Column, b: Column) -> Column:
-            return let(
-                total(F.slice(totals, 1, b)),
-                lambda base: F.transform(block, lambda _, j: base + total(F.slice(block, 1, j))),
-            )
+        def joined(blocks: Column, starts: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda x, b: let(starts[b], lambda by: shifted(x, by))))
 
-        return F.flatten(F.transform(blocks, one))
+        return let(cut, lambda bs: let(F.transform(bs, total), lambda ts: let(block(ts), lambda st: joined(bs, st))))
 
     return let(
-        xs, lambda a: let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda step: over_blocks(a, step))
+        xs,
+        lambda a: F.when(F.size(a) <= 16, block(a)).otherwise(
+            let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda step: by_blocks(a, step))
+        ),
     )
 
 
-def count_hits(content: Column, patterns: list[str]) -> Column:
-    """Number of non-overlapping hits, summed over the patterns.
+def _by_charset(content: Column, pattern: str, search: Callable[[Column, Column], Column]) -> Column:
+    """The search with Unicode classes, or on pure ASCII content, where both mean the same, with
+    the faster ASCII classes."""
+    unicode_regex = java_pattern(pattern)
+    ascii_regex = unicode_regex.replace("(?Ud)", "(?d)", 1)
+    ascii_only = F.octet_length(content) == F.length(content)
+    return F.when(ascii_only, search(content, F.lit(ascii_regex))).otherwise(
+        search(content, F.lit(unicode_regex))
+    )
 
-    On pure ASCII content the Unicode classes equal the ASCII ones, which run faster.
-    """
 
-    def count(flags: str) -> Column:
-        counts = [
-            F.regexp_count(content, F.lit(java_pattern(p).replace("(?Ud)", flags, 1)))
-            for p in patterns
-        ]
-        return reduce(lambda a, b: a + b, counts)
+def all_hits(content: Column, pattern: str) -> Column:
+    """Texts of all non-overlapping hits."""
+    return _by_charset(content, pattern, lambda c, regex: F.regexp_extract_all(c, regex, F.lit(0)))
 
-    ascii_only = F.octet_length(content) == F.length(content)
-    return F.when(ascii_only, count("(?d)")).otherwise(count("(?Ud)"))
+
+def count_hits(content: Column, patterns: list[str]) -> Column:
+    """Number of non-overlapping hits, summed over the patterns."""
+    counts = [_by_charset(content, p, F.regexp_count) for p in patterns]
+    return reduce(lambda a, b: a + b, counts)
 
 
 def newlines(x: Column) -> Column:
@@ -92,9 +103,16 @@ def newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit("\n")))
 
 
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(x: Column) -> Column:
-    """Without Unicode white space at both ends (Spark's trim takes spaces only)."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    """Without Unicode white space at both ends (Spark's plain trim takes spaces only)."""
+    return F.trim(x, F.lit(WHITE_SPACE))
 
 
 def first_line(x: Column) -> Column:

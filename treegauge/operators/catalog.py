@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treegauge.functions.text import first_line
@@ -139,10 +139,10 @@ def search_commits(log: DataFrame, text: str) -> DataFrame:
 def page_commits(log: DataFrame, offset: int = 0, limit: int = DEFAULT_COMMITS) -> DataFrame:
     """One page, newest first, with a flag on every row telling whether more follow.
 
-    One row beyond the page is read; the page itself is at most MAX_COMMITS rows.
+    One row beyond the page is read, and the window counts these at most MAX_COMMITS + 1 rows.
     """
     size = min(limit, MAX_COMMITS)
     order = [F.col("timestamp").desc(), F.col("hash")]
     ahead = log.drop("full_message").orderBy(*order).offset(offset).limit(size + 1)
-    n = ahead.agg(F.count("*")).scalar()
-    return ahead.orderBy(*order).limit(size).withColumn("has_more", n > size)
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    return ahead.withColumn("has_more", n > size).orderBy(*order).limit(size)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.operators.classify import is_excluded, tech_stack
-from treegauge.operators.renames import exact_pairs, similar_pairs
+from treegauge.operators.renames import KEY, exact_pairs, of_paths, similar_pairs
+from treegauge.session import cut_lineage
 from treegauge.specs import DIFF, ScanRules
 
-KEY = ["project", "file_path"]
 CHANGE_COLUMNS = [
     "scan_id",
     "scan_mode",
@@ -93,20 +93,27 @@ def version_diff(
 ) -> DataFrame:
     """File changes from base to target, one row per added, modified, deleted or renamed file.
 
-    Content is fetched for the changed paths only, after pairing and exclusion; Spark prunes the
-    files with a Bloom filter of those paths, or broadcasts the paths where they are few.
-    The tech stack of both sides is that of the final path.
+    Both trees are read twice: once for digests, and once for the content of the changed paths.
+    Paths and digests are checkpointed in between, so pairing never reads a tree again. The tech
+    stack of both sides is that of the final path.
     """
-    changes = pair_renames(changed_paths(base, target), base, target, renames)
-    kept = changes.where(~is_excluded(F.col("file_path"), rules))
-    new = target.select(*KEY, "content")
-    old = base.select(
-        "project", F.col("file_path").alias("_old_path"), F.col("content").alias("old_content")
+    changed = changed_paths(base, target)
+    if renames is not None:
+        changed = cut_lineage(changed)
+    changes = pair_renames(changed, base, target, renames)
+    kept = cut_lineage(
+        changes.where(~is_excluded(F.col("file_path"), rules)).withColumn(
+            "_old_path", F.coalesce("old_file_path", "file_path")
+        )
     )
+    new = of_paths(target.select(*KEY, "content"), kept.select(*KEY))
+    old = of_paths(
+        base.select(*KEY, F.col("content").alias("old_content")),
+        kept.select("project", F.col("_old_path").alias("file_path")),
+    ).withColumnRenamed("file_path", "_old_path")
     return (
-        kept.withColumn("_old_path", F.coalesce("old_file_path", "file_path"))
-        .join(new, KEY, "left")
-        .join(old, ["project", "_old_path"], "left")
+        kept.join(new.hint("merge"), KEY, "left")
+        .join(old.hint("merge"), ["project", "_old_path"], "left")
         .withColumn("scan_id", F.lit(scan_id) if isinstance(scan_id, int) else scan_id)
         .withColumn("scan_mode", F.lit(DIFF))
         .withColumn("tech_stack", tech_stack(F.col("file_path"), rules))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treegauge.functions.tags import tag_literal
 from treegauge.functions.text import (
     UNIVERSAL_LINE_BREAK,
+    all_hits,
     java_pattern,
     let,
     newlines,
@@ -31,7 +32,6 @@ MATCH_COLUMNS = [
     "context_after",
 ]
 MAX_PAGE_SIZE = 500
-_HIT = "array<struct<analyzer_id:string,start:int,line:int,text:string>>"
 _MATCH = (
     "array<struct<analyzer_id:string,line_number:int,column_start:int,column_end:int,"
     "matched_text:string,context_before:string,context_after:string>>"
@@ -43,23 +43,27 @@ def _empty(array_type: str) -> Column:
     return F.array().cast(array_type)
 
 
-def _hits(content: Column, finder: Column, unit: str) -> Column:
-    """All hits of one finder (analyzer_id, regex) with their offset and zero-based line.
+def _placed(content: Column, finder: Column, unit: str) -> Column:
+    """Hits of one finder (analyzer_id, regex, found) with their offset and zero-based line.
 
     The hits and the gaps between them tile the content, so running totals over both give the
     positions.
     """
     width = _WIDTH[unit]
+    found = finder["found"]
 
-    def place(found: Column, gaps: Column) -> Column:
+    def place(gaps: Column) -> Column:
         padded = F.concat(found, F.array(F.lit("")))
-        widths = F.zip_with(gaps, padded, lambda g, h: width(g) + width(h))
-        breaks = F.zip_with(gaps, padded, lambda g, h: newlines(g) + newlines(h))
-        before = F.struct(
-            running_starts(widths).alias("offset"), running_starts(breaks).alias("line")
-        )
+
+        def totals(pieces: Column) -> Column:
+            widths = F.transform(pieces, lambda p: width(p))
+            return F.struct(
+                running_starts(widths).alias("offset"),
+                running_starts(F.transform(pieces, newlines)).alias("line"),
+            )
+
         return let(
-            before,
+            let(F.zip_with(gaps, padded, lambda g, h: F.concat(g, h)), totals),
             lambda b: F.transform(
                 found,
                 lambda hit, k: F.struct(
@@ -68,35 +72,30 @@ def _hits(content: Column, finder: Column, unit: str) -> Column:
                     (b["line"][k] + newlines(gaps[k])).alias("line"),
                     hit.alias("text"),
                 ),
-            ).cast(_HIT),
+            ),
         )
 
-    return let(
-        F.regexp_extract_all(content, finder["regex"], F.lit(0)),
-        lambda found: F.when(F.size(found) == 0, _empty(_HIT)).otherwise(
-            let(F.split(content, finder["regex"], -1), lambda gaps: place(found, gaps))
-        ),
-    )
+    return let(F.split(content, finder["regex"], -1), place)
 
 
-def _all_hits(content: Column, finders: list[PatternAnalyzer], rules: ScanRules, unit: str):
-    """Hits of every finder that runs on the file, finder by finder, pattern by pattern.
+def _all_placed(content: Column, finders: list[PatternAnalyzer], rules: ScanRules, unit: str):
+    """Placed hits of every finder that runs on the file, finder by finder, pattern by pattern.
 
-    The finders are an array of constants, so the expression has one size however many there are.
+    Each pattern is searched once as a constant; only those that hit go on to be placed.
     """
-    chosen = F.array(
+    searched = F.array(
         *[
             F.struct(
-                runs_on(a, rules).alias("runs"),
                 F.lit(a.analyzer_id).alias("analyzer_id"),
                 F.lit(java_pattern(pattern)).alias("regex"),
+                F.when(runs_on(a, rules), all_hits(content, pattern)).alias("found"),
             )
             for a in finders
             for pattern in a.patterns
         ]
     )
-    running = F.filter(chosen, lambda f: f["runs"])
-    return F.flatten(F.transform(running, lambda f: _hits(content, f, unit)))
+    hitting = F.filter(searched, lambda f: F.size(f["found"]) > 0)
+    return F.flatten(F.transform(hitting, lambda f: _placed(content, f, unit)))
 
 
 def _with_lines(content: Column, hits: Column, unit: str) -> Column:
@@ -170,7 +169,7 @@ def extract_matches(
     for unit in _WIDTH:
         of_unit = [a for a in finders if a.unit == unit]
         if of_unit:
-            by_unit.append(_with_lines(content, _all_hits(content, of_unit, rules, unit), unit))
+            by_unit.append(_with_lines(content, _all_placed(content, of_unit, rules, unit), unit))
     found = F.concat(*by_unit) if by_unit else _empty(_MATCH)
     return texts.select("scan_id", "file_path", "side", F.inline(found)).select(
         *MATCH_COLUMNS, "side"

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.functions.tags import tags_key
@@ -59,10 +59,10 @@ def merge_before_after(entries: DataFrame) -> DataFrame:
 def analyzer_runs(
     file_changes: DataFrame, analyzers: Iterable[Analyzer], rules: ScanRules
 ) -> DataFrame:
-    """Runs per scan and analyzer, 0 for those that never ran.
+    """Runs per scan and analyzer, 0 for those that never ran, with the scan's number of files.
 
-    One conditional sum per analyzer (the list is part of the configuration), turned into rows
-    after the aggregation.
+    One pass with a conditional sum per analyzer (the list is part of the configuration), turned
+    into rows after the aggregation.
     """
     specs = registry(analyzers)
     sums = []
@@ -72,45 +72,47 @@ def analyzer_runs(
             sides = [F.col(c).isNotNull().cast("bigint") for c in ("content", "old_content")]
             runs = F.when(runs_on(analyzer, rules), reduce(add, sides)).otherwise(runs)
         sums.append(F.sum(runs).alias(f"_n{i}"))
-    per_scan = file_changes.groupBy("scan_id").agg(*sums)
+    per_scan = file_changes.groupBy("scan_id").agg(F.count("*").alias("total_files"), *sums)
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("analyzer_id"), F.col(f"_n{i}").alias("files_analyzed"))
             for i, a in enumerate(specs)
         ]
     )
-    return per_scan.select("scan_id", F.inline(rows))
+    return per_scan.select("scan_id", "total_files", F.inline(rows))
 
 
 def analyzer_stats(runs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Runs and errors per scan and analyzer. `errors` has one row per failed run
     (scan_id, analyzer_id, error); a failed run does not count as analyzed."""
+    none = F.lit(0).cast("bigint")
     if errors is None:
-        return runs.withColumn("execution_errors", F.lit(0).cast("bigint"))
-    failed = errors.groupBy("scan_id", "analyzer_id").agg(F.count("*").alias("execution_errors"))
+        return runs.withColumn("execution_errors", none)
+    failed = errors.groupBy("scan_id", "analyzer_id").agg(F.count("*").alias("_failed"))
     counted = runs.join(failed, ["scan_id", "analyzer_id"], "left")
-    n = F.coalesce("execution_errors", F.lit(0).cast("bigint"))
-    return counted.select(
-        "scan_id",
-        "analyzer_id",
-        (F.col("files_analyzed") - n).alias("files_analyzed"),
-        n.alias("execution_errors"),
+    return (
+        counted.withColumn("execution_errors", F.coalesce("_failed", none))
+        .withColumn("files_analyzed", F.col("files_analyzed") - F.col("execution_errors"))
+        .drop("_failed")
     )
 
 
-def scan_summary(file_changes: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per scan: files, analyzers loaded and run, runs, errors."""
-    files = file_changes.groupBy("scan_id").agg(F.count("*").alias("total_files_scanned"))
-    totals = stats.groupBy("scan_id").agg(
+def _totals() -> list[Column]:
+    return [
+        F.max("total_files").alias("total_files_scanned"),
         F.count("*").alias("total_analyzers_loaded"),
         F.count_if(F.col("files_analyzed") > 0).alias("total_analyzers_executed"),
         F.sum("files_analyzed").alias("total_analyzer_executions"),
         F.sum("execution_errors").alias("total_errors"),
-    )
-    return files.join(totals, "scan_id")
+    ]
 
 
-def summary_record(summary: DataFrame, stats: DataFrame, load_errors: Iterable[str] = ()):
+def scan_summary(stats: DataFrame) -> DataFrame:
+    """One row per scan: files, analyzers loaded and run, runs, errors."""
+    return stats.groupBy("scan_id").agg(*_totals())
+
+
+def summary_record(stats: DataFrame, load_errors: Iterable[str] = ()) -> DataFrame:
     """Summary rows in stored form, with the analyzer list as JSON text.
 
     The list has one element per configured analyzer. Error texts grow with the data, so they
@@ -122,11 +124,9 @@ def summary_record(summary: DataFrame, stats: DataFrame, load_errors: Iterable[s
         "execution_errors",
         F.array().cast("array<string>").alias("error_details"),
     )
-    lists = stats.groupBy("scan_id").agg(
-        F.to_json(F.sort_array(F.collect_list(entry))).alias("analyzer_stats")
-    )
+    lists = F.to_json(F.sort_array(F.collect_list(entry))).alias("analyzer_stats")
     errors = F.to_json(F.array(*[F.lit(e) for e in load_errors]).cast("array<string>"))
-    return summary.withColumn("load_errors", errors).join(lists, "scan_id")
+    return stats.groupBy("scan_id").agg(*_totals(), lists).withColumn("load_errors", errors)
 
 
 STATS_TYPE = (

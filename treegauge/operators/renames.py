@@ -6,18 +6,30 @@ rows, not n*n pairs, and no task holds a whole group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.functions.ranking import salted_row_number
 from treegauge.session import cut_lineage
 
+KEY = ["project", "file_path"]
+# Up to so many paths (some 100 bytes each) are broadcast to pick files before any shuffle.
+MAX_BROADCAST_PATHS = 200_000
 MIN_SIMILARITY = 0.5
 SKETCH_SIZE = 256
 # Minhashes that must agree per round: strict rounds first, so that close copies pair first.
-ROUNDS = ((0, 1, 2), (3, 4, 5), (0, 3), (1, 4), (2, 5), (0,), (1,), (2,), (3,), (4,), (5,))
+ROUNDS = ((0, 1, 2), (3, 4, 5), (0,), (1,), (2,), (3,), (4,), (5,))
+
+
+def of_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files at the given checkpointed paths.
+
+    Few paths, by an actual count, are broadcast, so only the chosen files leave the scan. More
+    are left to the join that follows, where Spark prunes the files with a Bloom filter.
+    """
+    if paths.count() <= MAX_BROADCAST_PATHS:
+        return files.join(F.broadcast(paths), KEY, "left_semi")
+    return files
 
 
 def _pair_by_number(deleted: DataFrame, added: DataFrame, group: list[str]) -> DataFrame:
@@ -76,28 +88,32 @@ def similar_pairs(changed: DataFrame, base: DataFrame, target: DataFrame) -> Dat
     """Deleted and added files that share at least half of their lines, one to one.
 
     In each round the files still alone are grouped by a few minhashes, numbered in the group,
-    joined on equal numbers, and kept where the sketches agree enough. Eleven linear rounds; the
-    shuffled rows are sketches of bounded size, never content.
+    joined on equal numbers, and kept where the sketches agree enough. Every round is linear in
+    the number of files; what is shuffled are sketches of bounded size, never content. A
+    checkpoint per round keeps the plan short.
     """
 
     def side(change_type: str, files: DataFrame, path: str) -> DataFrame:
-        alone = changed.where(F.col("change_type") == change_type).select("project", "file_path")
-        texts = files.select("project", "file_path", "content")
-        named = alone.join(texts, ["project", "file_path"]).where(F.col("content").isNotNull())
+        alone = changed.where(F.col("change_type") == change_type).select(*KEY)
+        texts = of_paths(files.select(*KEY, "content"), alone)
+        named = alone.join(texts.hint("merge"), KEY).where(F.col("content").isNotNull())
         return cut_lineage(sketches(named.withColumnRenamed("file_path", path)))
 
+    changed = cut_lineage(changed)
     old, new = side("D", base, "old_path"), side("A", target, "new_path")
-    found = []
+    found = None
     for chosen in ROUNDS:
         key = F.array(*[F.col("minhashes")[i] for i in chosen])
-        pairs = _pair_by_number(
-            old.select("project", key.alias("key"), "old_path", F.col("sketch").alias("old_sketch")),
-            new.select("project", key.alias("key"), "new_path", F.col("sketch").alias("new_sketch")),
-            ["project", "key"],
-        )
+        left = [
+            files if found is None else files.join(found, ["project", path], "left_anti")
+            for files, path in ((old, "old_path"), (new, "new_path"))
+        ]
+        deleted, added = [
+            files.select("project", key.alias("key"), f"{name}_path", F.col("sketch").alias(f"{name}_sketch"))
+            for files, name in zip(left, ("old", "new"))
+        ]
+        pairs = _pair_by_number(deleted, added, ["project", "key"])
         close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
         pairs = cut_lineage(pairs.where(close).select("project", "old_path", "new_path"))
-        found.append(pairs)
-        old = cut_lineage(old.join(pairs, ["project", "old_path"], "left_anti"))
-        new = cut_lineage(new.join(pairs, ["project", "new_path"], "left_anti"))
-    return reduce(DataFrame.unionByName, found)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found

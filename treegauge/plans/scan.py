@@ -24,7 +24,7 @@ from treegauge.operators.user_analyzers import (
     user_matches,
 )
 from treegauge.session import shared_path
-from treegauge.sources.files import snapshot_changes
+from treegauge.sources.files import snapshot_changes, spread
 from treegauge.specs import Analyzer, PythonAnalyzer, ScanRules, registry
 
 
@@ -59,16 +59,14 @@ def scan_changes(changes: DataFrame, analyzers: Iterable[Analyzer], rules: ScanR
         matches = matches.unionByName(user_matches(results))
         errors = user_errors(results)
     stats = analyzer_stats(analyzer_runs(changes, specs, rules), errors)
-    return Scan(
-        changes, drop_zero(metrics), matches, stats, scan_summary(changes, stats), errors
-    )
+    return Scan(changes, drop_zero(metrics), matches, stats, scan_summary(stats), errors)
 
 
 def snapshot_scan(
     files: DataFrame, analyzers: Iterable[Analyzer], rules: ScanRules, scan_id: int | Column
 ) -> Scan:
     """Scan one version of a tree."""
-    return scan_changes(snapshot_changes(files, rules, scan_id), analyzers, rules)
+    return scan_changes(snapshot_changes(spread(files), rules, scan_id), analyzers, rules)
 
 
 def diff_scan(

@@ -46,6 +46,16 @@ def read_tree(spark: SparkSession, root: str, project: str, version: str) -> Dat
     )
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The files over all cores, where the scan yields fewer splits than there are cores.
+
+    Analysis is bound by CPU, so a table of few large row groups would leave cores idle. A table
+    with enough splits is returned as it is: at scale no content is shuffled.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
+
+
 def snapshot_changes(files: DataFrame, rules: ScanRules, scan_id: int | Column) -> DataFrame:
     """Every kept file of one version as a file change of type 'A'. Undecodable files stay, with
     NULL content."""
