@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get these functions with the query; they need not have this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def complexity_with_matches(file_path, content, change_type):
