@@ -61,10 +61,11 @@ def _line_hashes(content: Column) -> Column:
 def sketches(files: DataFrame) -> DataFrame:
     """Per file a bounded sketch of its set of lines: the smallest hashes, and six minhashes."""
     n = 1 + max(i for group in ROUNDS for i in group)
-    minhashes = [
-        F.array_min(F.transform("_hashes", lambda h, i=i: F.xxhash64(h, F.lit(i))))
-        for i in range(n)
-    ]
+
+    def minhash(i: int) -> Column:
+        return F.array_min(F.transform("_hashes", lambda h: F.xxhash64(h, F.lit(i))))
+
+    minhashes = [minhash(i) for i in range(n)]
     return (
         files.withColumn("_hashes", _line_hashes(F.col("content")))
         .where(F.size("_hashes") > 0)
