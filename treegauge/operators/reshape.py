@@ -118,20 +118,24 @@ def heatmap(rows: DataFrame) -> DataFrame:
     )
 
 
-def stacked(rows: DataFrame, categories: Iterable[str] | None = None, ascending: bool = False) -> DataFrame:
+def stacked(
+    rows: DataFrame, categories: Iterable[str] | None = None, ascending: bool = False
+) -> DataFrame:
     """Series of a stacked chart: one value per label and category, rounded.
 
     Of several rows in a cell the first in view order counts: the largest, or the smallest of an
     ascending view. With `categories` given the result is wide, one column each, missing cells 0.
     """
-    first = (F.min if ascending else F.max)("value")
-    cells = rows.groupBy("scan_id", "label", _or_unknown("category").alias("category")).agg(
-        round_half_up(first).alias("value")
-    )
+    first = F.min if ascending else F.max
+    category = _or_unknown("category")
     if categories is None:
-        return cells
-    wide = cells.groupBy("scan_id", "label").pivot("category", list(categories)).agg(F.first("value"))
-    return wide.fillna(0.0, list(categories))
+        cells = rows.groupBy("scan_id", "label", category.alias("category"))
+        return cells.agg(round_half_up(first("value")).alias("value"))
+    columns = [
+        F.coalesce(round_half_up(first(F.when(category == c, F.col("value")))), F.lit(0.0)).alias(c)
+        for c in categories
+    ]
+    return rows.groupBy("scan_id", "label").agg(*columns)
 
 
 def short_label(rows: DataFrame) -> DataFrame:

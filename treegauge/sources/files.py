@@ -50,7 +50,8 @@ def spread(files: DataFrame) -> DataFrame:
     """The files over all cores, where the scan yields fewer splits than there are cores.
 
     Analysis is bound by CPU, so a table of few large row groups would leave cores idle. A table
-    with enough splits is returned as it is: at scale no content is shuffled.
+    with enough splits is returned as it is: at scale no content is shuffled. Meant for frames
+    that only scan and project; behind a join or aggregate, looking at the splits would run it.
     """
     cores = files.sparkSession.sparkContext.defaultParallelism
     return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
