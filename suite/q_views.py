@@ -220,8 +220,9 @@ def f4(spark, d):
 
 
 @query("F5_commit_page", over("commit_log", """
-    SELECT hash, short_hash, message, author, timestamp, TRUE AS has_more FROM commit_log
-    WHERE contains(lower(full_message), 'fix #1') ORDER BY timestamp DESC, hash LIMIT 50 OFFSET 100"""))
+    SELECT hash, short_hash, message, author, timestamp,
+      (SELECT count(*) > 150 FROM commit_log WHERE contains(lower(full_message), 'fix #1')) AS has_more
+    FROM commit_log WHERE contains(lower(full_message), 'fix #1') ORDER BY timestamp DESC, hash LIMIT 50 OFFSET 100"""))
 def f5(spark, d):
     log = catalog.commit_log(fx.commits(spark, d))
     return catalog.page_commits(catalog.search_commits(log, "FIX #1"), offset=100)
