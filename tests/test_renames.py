@@ -60,3 +60,16 @@ def test_rename_into_an_excluded_place_is_dropped(spark, tree):
     rules = ScanRules((), ("out/**",))
     rows = version_diff(tree({"in/a": "text"}), tree({"out/a": "text"}), rules, 1, "exact").collect()
     assert rows == []
+
+
+def test_files_with_a_common_header_find_their_own_partner(spark, tree):
+    rng = random.Random(5)
+    header = lines(rng, 15)
+    base, target = {}, {}
+    for i in range(60):
+        body = lines(rng, 20)
+        base[f"old/{i}"] = "\n".join(header + body)
+        target[f"new/{i}"] = "\n".join(header + body[:18] + lines(rng, 2))
+    got, rows = renamed(spark, tree, base, target, "similar")
+    assert all(new.split("/")[1] == old.split("/")[1] for new, old in got.items())
+    assert len(got) >= 58

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from treegauge.functions.text import first_line
 from treegauge.specs import SNAPSHOT
@@ -119,6 +120,14 @@ def merge_names(config: DataFrame, stats: DataFrame) -> DataFrame:
     return configured.unionByName(scanned)
 
 
+def _epoch_seconds(commits: DataFrame, name: str) -> Column:
+    """Seconds since 1970; a timestamp without zone is read as UTC in any session zone."""
+    if isinstance(commits.schema[name].dataType, TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("SECOND", epoch, F.col(name))
+    return F.unix_timestamp(name)
+
+
 def commit_log(commits: DataFrame) -> DataFrame:
     """Commits for display; `full_message` stays for searching."""
     return commits.select(
@@ -126,7 +135,7 @@ def commit_log(commits: DataFrame) -> DataFrame:
         F.substring("hash", 1, 7).alias("short_hash"),
         first_line(F.coalesce("message", F.lit(""))).alias("message"),
         F.coalesce("author", F.lit("Unknown")).alias("author"),
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp"),
+        _epoch_seconds(commits, "ts").alias("timestamp"),
         F.coalesce("message", F.lit("")).alias("full_message"),
     )
 

@@ -6,6 +6,8 @@ rows, not n*n pairs, and no task holds a whole group.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +87,47 @@ def similarity(a: Column, b: Column) -> Column:
     return common / F.size(smallest)
 
 
+def _shuffled(files: DataFrame, path: str, turn: int) -> DataFrame:
+    """Files with an order of their own for every turn."""
+    return files.withColumn("_order", F.md5(F.concat(F.lit(f"{turn}:"), path)))
+
+
+def _with_partner(files: DataFrame, others: DataFrame, path: str) -> DataFrame:
+    """Files that share at least one minhash with a file of the other side."""
+    key = ["project", "_i", "_h"]
+    wanted = others.select("project", F.posexplode("minhashes").alias("_i", "_h")).distinct()
+    own = files.select("project", path, F.posexplode("minhashes").alias("_i", "_h"))
+    kept = own.join(wanted, key, "left_semi").select("project", path).distinct()
+    return files.join(kept, ["project", path], "left_semi")
+
+
+def _turn(old: DataFrame, new: DataFrame, turn: int) -> DataFrame:
+    """One turn over all rounds. In each round the files still alone are grouped by a few
+    minhashes, numbered in the group, joined on equal numbers, and kept where alike enough."""
+    found = None
+    for chosen in ROUNDS:
+        key = F.array(*[F.col("minhashes")[i] for i in chosen])
+        numbered = []
+        for files, name in ((old, "old"), (new, "new")):
+            path = f"{name}_path"
+            alone = files if found is None else files.join(found, ["project", path], "left_anti")
+            slim = alone.select("project", key.alias("key"), path, F.col("sketch").alias(f"{name}_sketch"))
+            numbered.append(
+                salted_row_number(_shuffled(slim, path, turn), ["project", "key"], "_order", "_rn").drop("_order")
+            )
+        pairs = numbered[0].join(numbered[1], ["project", "key", "_rn"])
+        close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
+        pairs = cut_lineage(pairs.where(close).select("project", "old_path", "new_path"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def similar_pairs(changed: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
     """Deleted and added files that share at least half of their lines, one to one.
 
-    In each round the files still alone are grouped by a few minhashes, numbered in the group,
-    joined on equal numbers, and kept where the sketches agree enough. Every round is linear in
-    the number of files; what is shuffled are sketches of bounded size, never content. A
-    checkpoint per round keeps the plan short.
+    Turns are taken, each with another order inside the groups, until no two files left share a
+    minhash or a whole turn pairs nothing. A turn is linear in the number of files left; what
+    is shuffled are sketches of bounded size, never content.
     """
 
     def side(change_type: str, files: DataFrame, path: str) -> DataFrame:
@@ -102,19 +138,17 @@ def similar_pairs(changed: DataFrame, base: DataFrame, target: DataFrame) -> Dat
 
     changed = cut_lineage(changed)
     old, new = side("D", base, "old_path"), side("A", target, "new_path")
-    found = None
-    for chosen in ROUNDS:
-        key = F.array(*[F.col("minhashes")[i] for i in chosen])
-        left = [
-            files if found is None else files.join(found, ["project", path], "left_anti")
-            for files, path in ((old, "old_path"), (new, "new_path"))
-        ]
-        deleted, added = [
-            files.select("project", key.alias("key"), f"{name}_path", F.col("sketch").alias(f"{name}_sketch"))
-            for files, name in zip(left, ("old", "new"))
-        ]
-        pairs = _pair_by_number(deleted, added, ["project", "key"])
-        close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
-        pairs = cut_lineage(pairs.where(close).select("project", "old_path", "new_path"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    found = old.select("project", "old_path", F.lit("").alias("new_path")).limit(0)
+    for turn in count():
+        old, new = (
+            cut_lineage(_with_partner(old, new, "old_path")),
+            cut_lineage(_with_partner(new, old, "new_path")),
+        )
+        if old.isEmpty() or new.isEmpty():
+            return found
+        pairs = _turn(old, new, turn)
+        if pairs.isEmpty():
+            return found
+        found = found.unionByName(pairs)
+        old = old.join(pairs, ["project", "old_path"], "left_anti")
+        new = new.join(pairs, ["project", "new_path"], "left_anti")
