@@ -19,8 +19,8 @@ KEY = ["project", "file_path"]
 MAX_BROADCAST_PATHS = 200_000
 MIN_SIMILARITY = 0.5
 SKETCH_SIZE = 256
-# Minhashes that must agree per round: strict rounds first, so that close copies pair first.
-ROUNDS = ((0, 1, 2), (3, 4, 5), (0,), (1,), (2,), (3,), (4,), (5,))
+# Minhashes that must agree per band: strict bands first, so that close copies pair first.
+BANDS = ((0, 1, 2), (3, 4, 5), (0,), (1,), (2,), (3,), (4,), (5,))
 
 
 def of_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def _line_hashes(content: Column) -> Column:
 
 def sketches(files: DataFrame) -> DataFrame:
     """Per file a bounded sketch of its set of lines: the smallest hashes, and six minhashes."""
-    n = 1 + max(i for group in ROUNDS for i in group)
+    n = 1 + max(i for group in BANDS for i in group)
 
     def minhash(i: int) -> Column:
         return F.array_min(F.transform("_hashes", lambda h: F.xxhash64(h, F.lit(i))))
@@ -87,11 +87,6 @@ def similarity(a: Column, b: Column) -> Column:
     return common / F.size(smallest)
 
 
-def _shuffled(files: DataFrame, path: str, turn: int) -> DataFrame:
-    """Files with an order of their own for every turn."""
-    return files.withColumn("_order", F.md5(F.concat(F.lit(f"{turn}:"), path)))
-
-
 def _with_partner(files: DataFrame, others: DataFrame, path: str) -> DataFrame:
     """Files that share at least one minhash with a file of the other side."""
     key = ["project", "_i", "_h"]
@@ -101,25 +96,41 @@ def _with_partner(files: DataFrame, others: DataFrame, path: str) -> DataFrame:
     return files.join(kept, ["project", path], "left_semi")
 
 
-def _turn(old: DataFrame, new: DataFrame, turn: int) -> DataFrame:
-    """One turn over all rounds. In each round the files still alone are grouped by a few
-    minhashes, numbered in the group, joined on equal numbers, and kept where alike enough."""
-    found = None
-    for chosen in ROUNDS:
-        key = F.array(*[F.col("minhashes")[i] for i in chosen])
-        numbered = []
-        for files, name in ((old, "old"), (new, "new")):
-            path = f"{name}_path"
-            alone = files if found is None else files.join(found, ["project", path], "left_anti")
-            slim = alone.select("project", key.alias("key"), path, F.col("sketch").alias(f"{name}_sketch"))
-            numbered.append(
-                salted_row_number(_shuffled(slim, path, turn), ["project", "key"], "_order", "_rn").drop("_order")
+def _numbered(files: DataFrame, name: str, turn: int) -> DataFrame:
+    """Files once per band, numbered among those that share the band's minhashes."""
+    path = f"{name}_path"
+    bands = F.array(
+        *[
+            F.struct(
+                F.lit(band).alias("band"),
+                F.array(*[F.col("minhashes")[i] for i in chosen]).alias("key"),
             )
-        pairs = numbered[0].join(numbered[1], ["project", "key", "_rn"])
-        close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
-        pairs = cut_lineage(pairs.where(close).select("project", "old_path", "new_path"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+            for band, chosen in enumerate(BANDS)
+        ]
+    )
+    rows = files.select("project", path, F.col("sketch").alias(f"{name}_sketch"), F.inline(bands))
+    rows = rows.withColumn("_order", F.md5(F.concat(F.lit(f"{turn}:"), path)))
+    return salted_row_number(rows, ["project", "band", "key"], "_order", "_rn").drop("_order")
+
+
+def _turn(old: DataFrame, new: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one turn: in every band the i-th old with the i-th new file of a group, kept where
+    alike enough. A pair counts when it stands in the strictest band for both of its files; so
+    the pairs of the strictest band always count, and no file is used twice."""
+    both = _numbered(old, "old", turn).join(
+        _numbered(new, "new", turn), ["project", "band", "key", "_rn"]
+    )
+    close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
+    pairs = cut_lineage(both.where(close).select("project", "band", "old_path", "new_path"))
+
+    def strictest(path: str, partner: str) -> DataFrame:
+        first = pairs.groupBy("project", path).agg(F.min_by(partner, "band").alias(partner))
+        return first.select("project", "old_path", "new_path")
+
+    mutual = strictest("old_path", "new_path").join(
+        strictest("new_path", "old_path"), ["project", "old_path", "new_path"]
+    )
+    return cut_lineage(mutual)
 
 
 def similar_pairs(changed: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
