@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,14 +27,22 @@ def local_session(cores: str = "*", app: str = "treegauge", memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one temporary folder of this process.
+
+    The temporary folder serves local[*] only: on a cluster executors could not reach it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="treegauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _process_folder()
+
+
+@functools.cache
+def _process_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="treegauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
