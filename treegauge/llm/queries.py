@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from treegauge.llm import licenses, mixing, sharding
+import public_tokenizers
+
+from treegauge.llm import licenses, mixing, quality, sharding, token_counts, toxicity
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -19,16 +21,32 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_token_counts")
+def count_tokens(spark, sf_dir):
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                     public_tokenizers.PATTERN)
+
+
 @query("op5_mix_sources", mixing.SQL)
 def mix_sources(spark, sf_dir):
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality_rules")
+def quality_rules(spark, sf_dir):
+    return quality.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_license_scan", licenses.SQL)
 def license_scan(spark, sf_dir):
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+@query("op9_toxicity")
+def score_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op10_sharding", sharding.SQL)
 def shard_documents(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"))
