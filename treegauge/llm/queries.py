@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import licenses, mixing, quality, sharding, token_counts, toxicity
+from treegauge.llm import licenses, mixing, near_texts, quality, sharding, token_counts, toxicity
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def quality_rules(spark, sf_dir):
     return quality.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_near_texts")
+def join_near_texts(spark, sf_dir):
+    return near_texts.join_near_texts(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_license_scan", licenses.SQL)
 def license_scan(spark, sf_dir):
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))

@@ -2,9 +2,10 @@
 
 Fit, on a bounded sample of labelled rows (`MAX_LABELLED`):
 1. For every token the distinct lines that hold it are counted, in toxic and in other texts (neither
-   copies nor repetition may count as evidence), and tokens get log-odds with an informative Dirichlet prior: the prior of a token is
-   its share of all tokens times `PRIOR`. A token's score is the end of its confidence interval that is nearer
-   to 0 (0 where the interval holds 0), less a drift, so that a random text has a negative mean.
+   copies nor repetition may count as evidence); for the tokens that this leaves, distinct neighbours
+   are counted, as near copies repeat a token between the same words. Tokens get log-odds with an informative Dirichlet prior: the prior of a token is
+   its share of all tokens times `PRIOR`. A token's score is the lower end of its confidence interval where
+   that is above 0, else 0, less a drift, so that a random text has a negative mean.
 2. On the other part of the sample, segments of texts without the label give the constants of the
    extreme-value law E = K n exp(-lambda S): the expected number of segments of score S or more in n tokens.
 3. A logistic curve maps the evidence of a text to a probability.
@@ -39,7 +40,11 @@ MAX_LABELLED = 20_000
 MAX_TOKENS = 20_000
 PRIOR = 5_000.0
 DRIFT = 0.1
-CONFIDENCE = 3.0
+CONFIDENCE = 2.5
+#: A token counts when it at least doubles the odds.
+LEAST_SCORE = math.log(2)
+#: The rate of the extreme-value law starts as if so many segments had exceeded the least score by 1 on average.
+PRIOR_SEGMENTS = 20
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 #: Evidence is kept between these bounds before the logistic curve.
@@ -97,19 +102,20 @@ class ToxicityModel:
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence: linear in its length, as each candidate is merged once."""
     sums = np.concatenate([[0.0], np.cumsum(values)])
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, last one that begins lower
     for i in np.flatnonzero(values > 0).tolist():
         start, end, left, right = i, i + 1, float(sums[i]), float(sums[i + 1])
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
-                held.append((start, end, left, right))
+                held.append((start, end, left, right, j))
                 break
-            start, left = held[j][0], held[j][2]
+            start, left, before = held[j][0], held[j][2], held[j][4]
             del held[j:]
-    return [(a, b, r - x) for a, b, x, r in held]
+            j = before
+    return [(a, b, r - x) for a, b, x, r, _ in held]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,13 +161,32 @@ def token_scores(sample: DataFrame, max_tokens: int) -> dict[str, float]:
     n_clean, n_toxic = (float(x or 0) for x in totals)
     if not n_clean or not n_toxic:
         return {}
+    likely = _clearest(counts, n_clean, n_toxic, max_tokens)
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for line, toxic in zip(part["line"], part["toxic"]):
+                words = ["", *tokens(line), ""]
+                out += [(w, toxic, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) if w in likely]
+            yield pd.DataFrame(out, columns=["token", "toxic", "context"])
+
+    met = (
+        lines.mapInPandas(contexts, "token string, toxic int, context string").distinct()
+        .groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    )
+    return _clearest(met, n_clean, n_toxic, max_tokens)
+
+
+def _clearest(counts: DataFrame, n_clean: float, n_toxic: float, most: int) -> dict[str, float]:
+    """Tokens whose log-odds are above 0 with confidence, and the lower ends of their intervals."""
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic)
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (n_toxic + PRIOR - a)) - F.log(b / (n_clean + PRIOR - b))
     margin = CONFIDENCE * F.sqrt(1 / a + 1 / b)
     rows = (
-        counts.select("token", (odds - margin).alias("score"))
-        .where(F.col("score") > 0).orderBy(F.col("score").desc(), "token").limit(max_tokens).collect()
+        counts.where("toxic > 0").select("token", (odds - margin).alias("score"))
+        .where(F.col("score") > LEAST_SCORE).orderBy(F.col("score").desc(), "token").limit(most).collect()
     )
     return {r["token"]: r["score"] for r in rows}
 
@@ -200,8 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     clean = rows[rows["toxic"] == 0]
     null = np.array([s for segments in clean["segments"] for s in segments])
     least = min(scores.values()) - DRIFT
-    spread = float(np.median(null - least)) if len(null) else 0.0
-    rate = math.log(2) / spread if spread > 0.05 else 1.0
+    rate = (len(null) + PRIOR_SEGMENTS) / (float(np.sum(null - least)) + PRIOR_SEGMENTS)
     space = (len(null) + 0.5) * math.exp(rate * least) / max(1.0, float(clean["n"].sum()))
     model = ToxicityModel(scores=scores, rate=rate, space=space)
     low, high = EVIDENCE
