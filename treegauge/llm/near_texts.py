@@ -131,7 +131,7 @@ def _verify(n: int, threshold: float):
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["grp", "side", "class_id"], ignore_index=True)
-        ids, group, side = (part[c].to_numpy() for c in ("class_id", "grp", "side"))
+        ids, group, side, first, second = (part[c].to_numpy() for c in ("class_id", "grp", "side", "first", "second"))
         grams, begins = shingles(list(part["text"]), n)
         sets = [np.unique(grams[a:b]) for a, b in zip(begins[:-1], begins[1:])]
         sizes = np.array([len(s) for s in sets])
@@ -151,7 +151,9 @@ def _verify(n: int, threshold: float):
 
         edges = np.flatnonzero(np.diff(group)) + 1
         for begin, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(ids)]])):
-            within = side[begin] == side[end - 1]
+            within = first[begin] == second[begin]
+            if not within and side[begin] == side[end - 1]:  # the other block is empty
+                continue
             middle = begin if within else begin + int(np.searchsorted(side[begin:end], side[end - 1]))
             pool = slice(starts[middle], starts[end])
             pool_codes, pool_owner = codes[pool], owner[pool] - middle
