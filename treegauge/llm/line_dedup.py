@@ -9,7 +9,7 @@ never touched.
 2. A lossless sieve: of two lines one word apart, the first or the last half of the words is equal (the
    half taken from the shorter line's length). Distinct lines whose halves nobody shares leave here.
 3. The lines left are fetched and emit their deletion neighbourhood as hashed keys: the line itself and the line
-   without its i-th word, for every i. A key is made from sums of hashes of neighbouring words, which change in a
+   without its i-th word, for every i outside a half that has to be equal. A key is made from sums of hashes of neighbouring words, which change in a
    few terms when a word goes, so all keys of a line cost one pass over it.
 4. Equal keys are joined through the key's earliest line only. That loses nothing: lines that agree
    without the word at the same place are all one word apart from each other, and a line that agrees whole with others'
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import chosen, forget, written
+from treegauge.llm.common import chosen, written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
@@ -41,7 +41,7 @@ def normalised(line: Column) -> Column:
 
 def _n_words(norm: Column) -> Column:
     """Words of a normalised line."""
-    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
 def _place() -> Column:
@@ -51,12 +51,16 @@ def _place() -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, content, line_no, norm, words): lines of at least `min_words` words."""
+    """(doc_id, content, line_no, norm, words): lines of at least `min_words` words.
+
+    The text is normalised as a whole, which leaves line feeds alone, so nothing is computed twice for a line.
+    """
+    clean = F.regexp_replace(F.lower("text"), _BLANKS, " ")
     return (
         docs.where("text is not null")
-        .select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("doc_id", "content", "line_no", normalised(F.col("line")).alias("norm"))
-        .where("norm <> ''").withColumn("words", _n_words(F.col("norm"))).where(F.col("words") >= min_words)
+        .select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.split(clean, "\n")).alias("line_no", "line"))
+        .select("doc_id", "content", "line_no", F.trim("line").alias("norm"))
+        .withColumn("words", _n_words(F.col("norm"))).where((F.col("norm") != "") & (F.col("words") >= min_words))
     )
 
 
@@ -75,60 +79,75 @@ def _term(*words: Column) -> Column:
     return F.shiftright(F.xxhash64(*words), 24)
 
 
-def neighbourhood(words: Column) -> Column:
-    """Array of (gone, key): the key of the words (gone 0) and of the words without the gone-th."""
-    w = F.concat(F.array(F.lit("\n"), F.lit("\n")), words, F.array(F.lit("\r"), F.lit("\r")))
-    n = F.size(words)
+def word_hashes(words: Column) -> Column:
+    """Hashes of the words with two marks before and behind, which `neighbourhood` reads by index."""
+    ends = F.array(F.lit("\n"), F.lit("\n")), F.array(F.lit("\r"), F.lit("\r"))
+    return F.transform(F.concat(ends[0], words, ends[1]), lambda w: F.xxhash64(w))
 
-    def trio(i: Column, j: Column, k: Column) -> Column:
-        return _term(F.get(w, i), F.get(w, j), F.get(w, k))
 
-    whole = F.aggregate(F.sequence(F.lit(1), n + 2), F.lit(0).cast("bigint"), lambda s, i: s + trio(i - 1, i, i + 1))
+def neighbourhood(hashes: str, n: Column, front: Column, back: Column) -> Column:
+    """Array of (gone, sum, length): the line itself (gone 0) and the line without its gone-th word; the sum is of
+    hashes of three words in a row. front and back: whether words of the first and of the last half may go."""
+
+    def trio(i: Column, j: Column, k: Column) -> Column:
+        return _term(F.get(hashes, i), F.get(hashes, j), F.get(hashes, k))
 
-    def without(i: Column) -> Column:  # i is the word's index in w
+    def change(i: Column) -> Column:  # of the sum, when the word at index i goes
         gone = trio(i - 2, i - 1, i) + trio(i - 1, i, i + 1) + trio(i, i + 1, i + 2)
-        return -gone + trio(i - 2, i - 1, i + 1) + trio(i - 1, i + 1, i + 2)
+        return trio(i - 2, i - 1, i + 1) + trio(i - 1, i + 1, i + 2) - gone
 
-    def pack(total: Column, gone: Column, length: Column) -> Column:
-        return F.struct(gone.cast("int").alias("gone"), total.alias("sum"), length.alias("length"))
+    def step(total: Column, gone: Column, length: Column) -> Column:
+        return F.struct(gone.cast("int").alias("gone"), total.alias("sum"), length.cast("int").alias("length"))
 
-    own = F.array(pack(F.lit(0).cast("bigint"), F.lit(0), n))
-    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: pack(without(i + 1), i, n - 1))
-    return F.struct(whole.alias("whole"), F.concat(own, shorter).alias("steps"))
+    half = F.floor((n - 1) / 2).cast("int")
+    lowest, highest = F.when(front, 1).otherwise(half + 1), F.when(back, n).otherwise(n - half)
+    own = F.array(step(F.lit(0).cast("bigint"), F.lit(0), n))
+    return F.concat(own, F.transform(F.sequence(lowest, highest), lambda i: step(change(i + 1), i, n - 1)))
+
+
+def whole_sum(hashes: str, n: Column) -> Column:
+    """The sum of `neighbourhood` for the line itself."""
+    return F.aggregate(F.sequence(F.lit(1), n + 2), F.lit(0).cast("bigint"), lambda s, i: s + _term(
+        F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)))
 
 
 def _hashes() -> list[Column]:
     return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("2"), "norm").alias("h2")]
 
 
-def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row a normalised line: hashes, earliest place, words, half keys."""
-    return (
-        lines_of(docs, min_words)
-        .select(*_hashes(), _place().alias("place"), "words", _halves(F.col("norm"), F.col("words")).alias("halves"))
-        .groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("words").alias("words"), F.first("halves").alias("halves"))
-    )
+def occurrences_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row a line: where it stands, hashes, number of words, half keys. The one pass over all texts."""
+    return lines_of(docs, min_words).select(
+        "doc_id", "content", "line_no", *_hashes(), "words", _halves(F.col("norm"), F.col("words")).alias("halves"))
 
 
-def sieve(distinct: DataFrame, edit_words: int) -> DataFrame:
-    """Distinct lines that share a half with another one."""
-    halves = distinct.where(F.col("words") >= edit_words - 1).select("h1", "h2", F.explode("halves").alias("half"))
+def sieve(occurrences: DataFrame, edit_words: int) -> DataFrame:
+    """Distinct lines that share a half with another one: h1, h2, earliest place, which halves are shared."""
+    distinct = (
+        occurrences.where(F.col("words") >= edit_words - 1).groupBy("h1", "h2")
+        .agg(F.min(_place()).alias("place"), F.first("halves").alias("halves"))
+    )
+    halves = distinct.select("h1", "h2", F.posexplode("halves").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    keep = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    return distinct.select("h1", "h2", "place", "words").join(keep, ["h1", "h2"])
+    first = F.col("which") % 2 == 0
+    keep = halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(
+        F.max(first).alias("first_shared"), F.max(~first).alias("last_shared"))
+    return distinct.select("h1", "h2", "place").join(keep, ["h1", "h2"])
 
 
 def _fetched(docs: DataFrame, left: DataFrame) -> DataFrame:
     """The words of sieved lines, taken from the documents their earliest places name."""
-    places = left.select("h1", "h2", "place", F.col("place.doc_id").alias("p_id"), F.col("place.content").alias("p_content"),
-                         F.col("place.line_no").alias("line_no"))
+    places = left.select("h1", "h2", "place", "first_shared", "last_shared", F.col("place.doc_id").alias("p_id"),
+                         F.col("place.content").alias("p_content"), F.col("place.line_no").alias("line_no"))
     wanted = places.groupBy("p_id", "p_content").agg(
-        F.collect_list(F.struct("line_no", "h1", "h2", "place")).alias("lines"))
+        F.collect_list(F.struct("line_no", "h1", "h2", "place", "first_shared", "last_shared")).alias("lines"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").where("text is not null")
+    words = F.split("norm", " ")
     return (
         wanted.join(texts, F.col("p_content").eqNullSafe(F.col("content")) & F.col("p_id").eqNullSafe(F.col("doc_id")))
         .select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-        .select("l.h1", "l.h2", "l.place", F.split(normalised(F.get("all", F.col("l.line_no"))), " ").alias("w"))
+        .select("l.*", normalised(F.get("all", F.col("l.line_no"))).alias("norm")).drop("line_no")
+        .select("h1", "h2", "place", "first_shared", "last_shared", words.alias("w"), word_hashes(words).alias("hashes"))
         .dropDuplicates(["h1", "h2"])
     )
 
@@ -147,18 +166,18 @@ def _one_apart() -> Column:
 def edited_lines(docs: DataFrame, left: DataFrame, edit_words: int) -> DataFrame:
     """(h1, h2, earliest): distinct lines with an earlier line one word apart."""
     lines = written(_fetched(docs, left), "lines")
+    n = F.size("w")
+    steps = neighbourhood("hashes", n, F.col("last_shared"), F.col("first_shared"))
     keys = (
-        lines.select("h1", "h2", "place", "w", neighbourhood(F.col("w")).alias("n"))
-        .select("h1", "h2", "place", F.size("w").alias("size"), F.col("n.whole").alias("whole"), F.explode("n.steps").alias("s"))
-        # a shortened line meets whole lines (place of the gone word left out) and lines shortened at the same place
-        .select("h1", "h2", "place", F.col("s.gone").alias("gone"), "size",
-                F.explode(F.when(F.col("s.gone") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("s.gone")))).alias("kind"),
-                (F.col("whole") + F.col("s.sum")).alias("total"), F.col("s.length").alias("length"))
-        .select("h1", "h2", "place", "gone", "size", F.xxhash64("total", "length", "kind").alias("key"), (F.col("kind") == 0).alias("indel"))
+        lines.select("place", whole_sum("hashes", n).alias("whole"), F.explode(steps).alias("s"))
+        # a shortened line meets whole lines, and lines shortened at the same place
+        .select("place", F.col("s.gone").alias("gone"), (F.col("whole") + F.col("s.sum")).alias("total"), F.col("s.length").alias("length"),
+                F.explode(F.when(F.col("s.gone") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("s.gone")))).alias("kind"))
+        .select("place", "gone", F.xxhash64("total", "length", "kind").alias("key"), (F.col("kind") == 0).alias("indel"))
     )
     # swaps: all lines under a key are one word apart, the earliest serves the rest.
     # added or left out: the whole line of the key is one word from every shortened one; others are not compared.
-    entry = F.struct("place", "h1", "h2", "gone")
+    entry = F.struct("place", "gone")
     heads = keys.groupBy("key", "indel").agg(
         F.count("*").alias("n"), F.min(F.when(~F.col("indel"), entry)).alias("swap"),
         F.min(F.when(F.col("indel") & (F.col("gone") == 0), entry)).alias("whole"),
@@ -166,15 +185,12 @@ def edited_lines(docs: DataFrame, left: DataFrame, edit_words: int) -> DataFrame
     met = keys.join(heads, ["key", "indel"])
     other = F.when(~F.col("indel"), F.col("swap")).when(F.col("gone") == 0, F.col("shortened")).otherwise(F.col("whole"))
     pairs = (
-        met.select("h1", "h2", "place", "gone", other.alias("e"))
-        .where(F.col("e").isNotNull() & (F.col("e.place") < F.col("place")))
-        .select("h1", "h2", "gone", F.col("e.h1").alias("e_h1"), F.col("e.h2").alias("e_h2"), F.col("e.gone").alias("e_gone"),
-                F.col("e.place").alias("earliest")).distinct()
+        met.select("place", "gone", other.alias("e")).where(F.col("e").isNotNull() & (F.col("e.place") < F.col("place")))
+        .select(F.col("place").alias("p"), "gone", F.col("e.place").alias("earliest"), F.col("e.gone").alias("e_gone")).distinct()
     )
-    words = lines.select(F.col("h1").alias("w_h1"), F.col("h2").alias("w_h2"), "w")
     verified = (
-        pairs.join(words, (F.col("h1") == F.col("w_h1")) & (F.col("h2") == F.col("w_h2"))).drop("w_h1", "w_h2")
-        .join(words.withColumnRenamed("w", "e_w"), (F.col("e_h1") == F.col("w_h1")) & (F.col("e_h2") == F.col("w_h2")))
+        pairs.join(lines.select("h1", "h2", "place", "w"), F.col("p") == F.col("place")).drop("place")
+        .join(lines.select("place", F.col("w").alias("e_w")), F.col("earliest") == F.col("place"))
         .where((F.greatest(F.size("w"), F.size("e_w")) >= edit_words) & _one_apart())
     )
     return verified.groupBy("h1", "h2").agg(F.min("earliest").alias("earliest"))
@@ -187,14 +203,14 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     The line named is the earliest equal one (edits 0) or else the earliest one word apart (edits 1).
     """
     rows = chosen(docs, doc_id=doc_id, text=text)
-    distinct = written(distinct_lines(rows, min_words), "distinct")
-    edited = written(edited_lines(rows, sieve(distinct, edit_words), edit_words), "edited")
-    firsts = distinct.select("h1", "h2", F.col("place").alias("first")).join(edited, ["h1", "h2"], "left")
-    occurrences = lines_of(rows, min_words).select("doc_id", "content", "line_no", *_hashes(), _place().alias("place")).distinct()
+    occurrences = written(occurrences_of(rows, min_words), "line-places")
+    edited = written(edited_lines(rows, sieve(occurrences, edit_words), edit_words), "edited")
+    places = occurrences.select("doc_id", "content", "line_no", "h1", "h2", _place().alias("place")).distinct()
+    firsts = (occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first")).join(edited, ["h1", "h2"], "left"))
     copy = F.col("first") < F.col("place")
     source = F.when(copy, F.col("first")).otherwise(F.col("earliest"))
     return (
-        occurrences.join(firsts, ["h1", "h2"]).where(copy | F.col("earliest").isNotNull())
+        places.join(firsts, ["h1", "h2"]).where(copy | F.col("earliest").isNotNull())
         .select("doc_id", "content", "line_no", source.alias("s"), F.when(copy, 0).otherwise(1).alias("edits"))
         .select("doc_id", "content", "line_no", F.col("s.doc_id").alias("first_doc_id"), F.col("s.line_no").alias("first_line_no"), "edits")
     )

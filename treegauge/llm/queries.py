@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import licenses, line_dedup, mixing, near_texts, quality, sharding, token_counts, toxicity
+from treegauge.llm import licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_near_vectors")
+def near_vector_rows(spark, sf_dir):
+    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_line_dedup", line_dedup.SQL)
 def line_dedup_rows(spark, sf_dir):
     return line_dedup.duplicate_lines(read_table(spark, sf_dir, "documents")).drop("content")
