@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table is deleted when the driver ends, or earlier by `forget`.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path, schema = shared_path(spark, name), df.schema
     atexit.register(_at_exit, spark, path)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()  # frames that are done with let go of their shuffle files once both sides have collected them
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._written_to = path
     return out
 

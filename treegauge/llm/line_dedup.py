@@ -30,6 +30,8 @@ from treegauge.llm.common import chosen, written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
+#: Size of the broadcast set that spares documents without sieved lines the shuffle.
+BUCKETS = 1 << 20
 
 _BLANKS = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 
@@ -85,30 +87,34 @@ def word_hashes(words: Column) -> Column:
     return F.transform(F.concat(ends[0], words, ends[1]), lambda w: F.xxhash64(w))
 
 
-def neighbourhood(hashes: str, n: Column, front: Column, back: Column) -> Column:
-    """Array of (gone, sum, length): the line itself (gone 0) and the line without its gone-th word; the sum is of
-    hashes of three words in a row. front and back: whether words of the first and of the last half may go."""
-
-    def trio(i: Column, j: Column, k: Column) -> Column:
-        return _term(F.get(hashes, i), F.get(hashes, j), F.get(hashes, k))
-
-    def change(i: Column) -> Column:  # of the sum, when the word at index i goes
-        gone = trio(i - 2, i - 1, i) + trio(i - 1, i, i + 1) + trio(i, i + 1, i + 2)
-        return trio(i - 2, i - 1, i + 1) + trio(i - 1, i + 1, i + 2) - gone
+def whole_sum(hashes: Column, n: Column) -> Column:
+    """The sum of the hashes of three words in a row."""
+    return F.aggregate(F.sequence(F.lit(1), n + 2), F.lit(0).cast("bigint"), lambda s, i: s + _term(
+        F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)))
 
-    def step(total: Column, gone: Column, length: Column) -> Column:
-        return F.struct(gone.cast("int").alias("gone"), total.alias("sum"), length.cast("int").alias("length"))
 
-    half = F.floor((n - 1) / 2).cast("int")
-    lowest, highest = F.when(front, 1).otherwise(half + 1), F.when(back, n).otherwise(n - half)
-    own = F.array(step(F.lit(0).cast("bigint"), F.lit(0), n))
-    return F.concat(own, F.transform(F.sequence(lowest, highest), lambda i: step(change(i + 1), i, n - 1)))
+def neighbourhood(lines: DataFrame) -> DataFrame:
+    """(place, gone, key, indel): keys of every line (gone 0) and of the line without its gone-th word.
 
+    Words go from the halves that need not be equal. A shortened line meets whole lines (indel) and lines shortened at
+    the same place (not indel).
+    """
 
-def whole_sum(hashes: str, n: Column) -> Column:
-    """The sum of `neighbourhood` for the line itself."""
-    return F.aggregate(F.sequence(F.lit(1), n + 2), F.lit(0).cast("bigint"), lambda s, i: s + _term(
-        F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)))
+    def trio(*at: int) -> Column:
+        return _term(*[F.get("hashes", F.col("gone") + 1 + k) for k in at])
+
+    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    lowest = F.when(F.col("last_shared"), 1).otherwise(half + 1)
+    highest = F.when(F.col("first_shared"), F.col("n")).otherwise(F.col("n") - half)
+    change = trio(-2, -1, 1) + trio(-1, 1, 2) - trio(-2, -1, 0) - trio(-1, 0, 1) - trio(0, 1, 2)
+    whole = lines.select("place", F.lit(0).alias("gone"), F.xxhash64("whole", "n", F.lit(0)).alias("key"), F.lit(True).alias("indel"))
+    shortened = (
+        lines.select("place", "whole", "hashes", "n", F.explode(F.sequence(lowest, highest)).alias("gone"))
+        .select("place", "gone", "n", (F.col("whole") + change).alias("total"))
+        .select("place", "gone", "n", "total", F.explode(F.array(F.lit(0), F.col("gone"))).alias("kind"))
+        .select("place", "gone", F.xxhash64("total", F.col("n") - 1, "kind").alias("key"), (F.col("kind") == 0).alias("indel"))
+    )
+    return whole.union(shortened)
 
 
 def _hashes() -> list[Column]:
@@ -136,12 +142,20 @@ def sieve(occurrences: DataFrame, edit_words: int) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """The words of sieved lines, taken from the documents their earliest places name."""
+    """The words of sieved lines, taken from the documents their earliest places name.
+
+    A broadcast set of `BUCKETS` hash buckets at most keeps documents without such lines out of the shuffle.
+    """
     places = left.select("h1", "h2", "place", "first_shared", "last_shared", F.col("place.doc_id").alias("p_id"),
                          F.col("place.content").alias("p_content"), F.col("place.line_no").alias("line_no"))
     wanted = places.groupBy("p_id", "p_content").agg(
         F.collect_list(F.struct("line_no", "h1", "h2", "place", "first_shared", "last_shared")).alias("lines"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").where("text is not null")
+    bucket = F.pmod(F.xxhash64("doc_id", "content"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    named = F.broadcast(wanted.select(F.col("p_id").alias("doc_id"), F.col("p_content").alias("content")).select(bucket).distinct())
+    texts = (
+        docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("content"), "text")
+        .withColumn("bucket", bucket).join(named, "bucket", "left_semi")
+    )
     words = F.split("norm", " ")
     return (
         wanted.join(texts, F.col("p_content").eqNullSafe(F.col("content")) & F.col("p_id").eqNullSafe(F.col("doc_id")))
@@ -149,6 +163,7 @@ def _fetched(docs: DataFrame, left: DataFrame) -> DataFrame:
         .select("l.*", normalised(F.get("all", F.col("l.line_no"))).alias("norm")).drop("line_no")
         .select("h1", "h2", "place", "first_shared", "last_shared", words.alias("w"), word_hashes(words).alias("hashes"))
         .dropDuplicates(["h1", "h2"])
+        .select("*", F.size("w").alias("n"), whole_sum(F.col("hashes"), F.size("w")).alias("whole"))
     )
 
 
@@ -166,15 +181,7 @@ def _one_apart() -> Column:
 def edited_lines(docs: DataFrame, left: DataFrame, edit_words: int) -> DataFrame:
     """(h1, h2, earliest): distinct lines with an earlier line one word apart."""
     lines = written(_fetched(docs, left), "lines")
-    n = F.size("w")
-    steps = neighbourhood("hashes", n, F.col("last_shared"), F.col("first_shared"))
-    keys = (
-        lines.select("place", whole_sum("hashes", n).alias("whole"), F.explode(steps).alias("s"))
-        # a shortened line meets whole lines, and lines shortened at the same place
-        .select("place", F.col("s.gone").alias("gone"), (F.col("whole") + F.col("s.sum")).alias("total"), F.col("s.length").alias("length"),
-                F.explode(F.when(F.col("s.gone") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("s.gone")))).alias("kind"))
-        .select("place", "gone", F.xxhash64("total", "length", "kind").alias("key"), (F.col("kind") == 0).alias("indel"))
-    )
+    keys = neighbourhood(lines)
     # swaps: all lines under a key are one word apart, the earliest serves the rest.
     # added or left out: the whole line of the key is one word from every shortened one; others are not compared.
     entry = F.struct("place", "gone")
@@ -204,7 +211,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     """
     rows = chosen(docs, doc_id=doc_id, text=text)
     occurrences = written(occurrences_of(rows, min_words), "line-places")
-    edited = written(edited_lines(rows, sieve(occurrences, edit_words), edit_words), "edited")
+    edited = written(edited_lines(rows, written(sieve(occurrences, edit_words), "sieved"), edit_words), "edited")
     places = occurrences.select("doc_id", "content", "line_no", "h1", "h2", _place().alias("place")).distinct()
     firsts = (occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first")).join(edited, ["h1", "h2"], "left"))
     copy = F.col("first") < F.col("place")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
+from treegauge.llm import bpe, licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def count_tokens(spark, sf_dir):
                                      public_tokenizers.PATTERN)
 
 
+@query("op4_bpe")
+def encode_documents(spark, sf_dir):
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op5_mix_sources", mixing.SQL)
 def mix_sources(spark, sf_dir):
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
