@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from treegauge.llm.common import chosen, written
 
-#: One word start in 2^CUT_BITS is a cut: chunks of about 400 bytes.
-CUT_BITS = 6
+#: One word start in 2^CUT_BITS is a cut: chunks of about 1,600 bytes.
+CUT_BITS = 8
 FILTER_BITS = 1 << 25
 _PROBES = 4
-_BATCH_BYTES = 2_000_000
+_BATCH_BYTES = 8_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -150,6 +150,16 @@ def _maybe_shared(table: np.ndarray, digests: list[bytes]) -> np.ndarray:
     return hit
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """Ids as bytes, two for each where they fit; the first byte tells."""
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return bytes([small]) + ids.astype("<u2" if small else "<u4").tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if data[0] else "<u4", offset=1).astype("<u4")
+
+
 def _finish(path: str, ids: np.ndarray) -> tuple[int, str, str]:
     names = _tokenizer(path)[1]
     decoded = b" ".join([names[i] for i in ids.tolist()])
@@ -237,7 +247,7 @@ def _encode_batch(path: str, cut_bits: int, table: np.ndarray, doc_ids: list, te
         if b"text" + key not in sent:  # a text of one chunk has that chunk's digest
             sent.add(b"text" + key)
             out.append((3, None, None, None, None, key, [
-                {"ref": ref, "ids": None if ids is None else ids.astype("<u4").tobytes()} for ref, ids in parts], None))
+                {"ref": ref, "ids": None if ids is None else _pack(ids)} for ref, ids in parts], None))
     return out
 
 
@@ -251,7 +261,7 @@ def _encode_chunks(path: str):
                 ids = word_ids(path, list(kinds))
                 ends = np.cumsum([len(w) for w in split])
                 yield pd.DataFrame({"ref": rows["text_key"].to_numpy(), "ids": [
-                    np.concatenate([ids[c] for c in codes[e - len(w):e]]).astype("<u4").tobytes() for w, e in zip(split, ends)]})
+                    _pack(np.concatenate([ids[c] for c in codes[e - len(w):e]])) for w, e in zip(split, ends)]})
 
     return run
 
@@ -260,8 +270,9 @@ def _assemble(path: str):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             done = []
-            for key, pieces in zip(part["text_key"], part["pieces"]):
-                ids = np.frombuffer(b"".join(bytes(p["ids"]) for p in sorted(pieces, key=lambda p: p["pos"])), dtype="<u4")
+            for key, parts_, given in zip(part["text_key"], part["parts"], part["given"]):
+                named = {p["pos"]: p["ids"] for p in given}
+                ids = np.concatenate([_unpack(bytes(p["ids"] if p["ids"] is not None else named[k])) for k, p in enumerate(parts_)])
                 done.append((key, *_finish(path, ids)))
             yield pd.DataFrame(done, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -278,13 +289,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, cut_bits: int = CUT_B
     digest = ["n_tokens", "ids_sha256", "decoded_sha256"]
     chunks = passed.where("kind = 2").groupBy("text_key").agg(F.first("chunk").alias("chunk"))
     encoded = chunks.mapInPandas(_encode_chunks(tokenizer_path), "ref binary, ids binary")
-    pieces = (
-        passed.where("kind = 3").dropDuplicates(["text_key"])
-        .select("text_key", F.posexplode("parts").alias("pos", "p")).select("text_key", "pos", "p.*")
+    stored = passed.where("kind = 3").select("text_key", "parts")
+    given = (
+        stored.select("text_key", F.posexplode("parts.ref").alias("pos", "ref")).where("ref is not null").dropDuplicates(["text_key", "pos"])
+        .join(encoded, "ref").groupBy("text_key").agg(F.collect_list(F.struct("pos", "ids")).alias("given"))
+        .withColumnRenamed("text_key", "given_key")
     )
-    own = pieces.where("ref is null").select("text_key", "pos", "ids")
-    given = pieces.where("ref is not null").drop("ids").join(encoded, "ref").select("text_key", "pos", "ids")
-    whole = own.union(given).groupBy("text_key").agg(F.collect_list(F.struct("pos", "ids")).alias("pieces"))
+    whole = stored.dropDuplicates(["text_key"]).join(given, F.col("text_key") == F.col("given_key")).select("text_key", "parts", "given")
     put = whole.mapInPandas(_assemble(tokenizer_path), "k binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     open_ = passed.where("kind = 1").select("doc_id", "text_key").join(put, F.col("text_key") == F.col("k"))
     return passed.where("kind = 0").select("doc_id", *digest).union(open_.select("doc_id", *digest))
