@@ -1,0 +1,300 @@
+"""Corpus operators on awkward inputs and against brute-force versions."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from treegauge.llm import bpe, components, flat_graph, licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, content string, range int, size int"
+
+
+def frame(spark, rows):
+    """Documents with extra columns whose names clash with names used inside the operators."""
+    return spark.createDataFrame([(i, t, "en", s, None, "x", 1, 2) for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    body = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
+    long = "\n".join(" ".join(rng.choices(words, k=30)) for _ in range(800))
+    rows = [(k, t, f"s{k % 3}") for k, t in enumerate(body)]
+    rows += [(20, body[0], "s0"), (21, body[0].upper(), None), (22, body[1] + " extra", "s1"), (22, body[1] + " extra", "s1"), (23, None, "s2"),
+             (24, "", None), (None, body[2], "s2"), (None, None, None), (25, " \t\n ", "s0"), (26, long, "s0"), (27, "short", "s1"),
+             (28, body[3] + "\n" + body[4] + "\n" + body[3], "s1"), (29, body[3].replace(" ", "  ", 3), "s0"), (30, "é́ <|endoftext|> ΑΣ Σ\x85b\x1cc " * 30, "s1")]
+    return rows
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    for out in (mixing.mix_sources(docs), licenses.scan_licenses(docs), sharding.place(docs), quality.score_documents(docs),
+                toxicity.score_toxicity(docs, labels), near_texts.join_near_texts(docs), line_dedup.duplicate_lines(docs),
+                near_vectors.near_vectors(vectors), bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
+                token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)):
+        assert out.count() == 0
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 16))
+    x[300:420] = x[6] + 0.02 * rng.normal(size=(120, 16))
+    x[500:520] = x[7]
+    rows = [(k, [float(v) for v in np.float32(x[k])], k % 2 if k < 200 else 0) for k in range(900)]
+    rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [math.nan] * 16, 0), (2003, rows[5][1], None), (2004, [1.0, None], 0), (None, rows[5][1], 0),
+             rows[5], (2005, rows[5][1][:8], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df, shard=64).collect()}
+    y = np.array([r[1] for r in rows[:900]], dtype=np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    label = np.array([r[2] for r in rows[:900]])
+    near = (y @ y.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    found = np.array([got[k].n_links for k in range(900)])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.97 * near.sum()
+    assert got[2000].n_links == got[2001].n_links == got[2002].n_links == got[2003].n_links == got[2005].n_links == 0
+    assert got[419].component_id == 6 and not got[419].kept and got[6].kept
+    result = near_vectors.near_vectors(df, shard=64)
+    assert near_vectors.audit_recall(df, result) >= 0.9
+
+
+def test_flat_graph_finds_its_nearest():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = flat_graph.build(x)
+    met = flat_graph.search(x, graph, x[:200], np.full((200, 1), flat_graph.medoid(x)))
+    assert (met.argmax(axis=1) == np.arange(200)).mean() > 0.9
+
+
+def test_line_dedup(spark):
+    a = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, a, "s"), (2, f"x\n{a.upper()}", "s"), (3, a.replace("five", "FIVER"), "s"), (4, a + " twelve", "s"), (5, a.replace(" six", ""), "s"),
+            (6, a.replace("one", "uno").replace("ten", "diez"), "s"), (7, "a b c\na b c", "s"), (8, None, "s"), (9, "", None), (None, a, "s"), (1, a, "s"),
+            (10, "p q r s t\np q r s t\n" + "p q r s u", "s")]
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.edits) for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
+    assert got == {(2, 1): (1, 0), (3, 0): (1, 1), (4, 0): (1, 1), (5, 0): (1, 1), (None, 0): (1, 0), (10, 1): (10, 0)}
+    cleaned = [(r.doc_id, r.text) for r in line_dedup.drop_duplicate_lines(frame(spark, rows)).collect()]
+    assert len(cleaned) == len(rows) and (2, "x") in cleaned and (8, None) in cleaned and cleaned.count((1, a)) == 2
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(5)
+    base = [rng.choices("abcdef", k=rng.randint(9, 13)) for _ in range(25)]
+    lines = []
+    for _ in range(250):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            at, what = rng.randrange(len(words)), rng.randrange(3)
+            words[at:at + 1] = [[], [rng.choice("abcdef")], [words[at], rng.choice("abcdef")]][what]
+        lines.append(words)
+
+    def apart(x, y):
+        if len(x) == len(y):
+            return sum(p != q for p, q in zip(x, y))
+        short, long = sorted((x, y), key=len)
+        return 1 if len(long) - len(short) == 1 and any(long[:k] + long[k + 1:] == short for k in range(len(long))) else 9
+
+    expected = {}
+    for i, x in enumerate(lines):
+        equal = [j for j in range(i) if lines[j] == x]
+        firsts = {tuple(y): k for k, y in reversed(list(enumerate(lines)))}
+        near = [j for j in set(firsts.values()) if j < i and apart(lines[j], x) == 1 and max(len(lines[j]), len(x)) >= line_dedup.EDIT_WORDS]
+        if equal:
+            expected[i] = (min(equal), 0)
+        elif near:
+            expected[i] = (min(near), 1)
+    got = line_dedup.duplicate_lines(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(lines)])).collect()
+    assert {r.doc_id: (r.first_doc_id, r.edits) for r in got} == expected
+
+
+def test_token_counts(spark, awkward):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder, lengths = token_counts._encoder(path, public_tokenizers.PATTERN)
+    got = Counter()
+    for r in token_counts.count_tokens(frame(spark, awkward), path, public_tokenizers.PATTERN).collect():
+        got[r.doc_id, r.section, r.n_tokens, r.n_crossing] += 1
+    expected = Counter()
+    for i, text, _ in awkward:
+        lines, at, owner = (text or "").split("\n"), 0, []
+        for k, line in enumerate(lines):
+            owner += [k] * (len(line.encode()) + (k < len(lines) - 1))
+        n, crossing = Counter(), Counter()
+        for token in encoder.encode_ordinary(text or ""):
+            mine = Counter(owner[at:at + lengths[token]])
+            section = max(mine, key=lambda s: (mine[s], -s))
+            n[section] += 1
+            crossing[section] += len(mine) > 1
+            at += lengths[token]
+        for k in range(len(lines)):
+            expected[i, k, n[k], crossing[k]] += 1
+    assert got == expected
+    starts, crossed = token_counts.allocate(np.array([3, 6]), np.array([2, 6]), "start")
+    assert starts.tolist() == [0, 1] and crossed.tolist() == [True, False]
+    assert token_counts.allocate(np.array([3, 6]), np.array([1, 6]), "majority")[0].tolist() == [1, 1]
+
+
+def test_bpe_is_the_tokenizers_own(spark, awkward):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    expected = []
+    for i, text, _ in awkward:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = [tuple(r) for r in bpe.encode_documents(frame(spark, awkward), path, cut_bits=2).collect()]
+    assert Counter(got) == Counter(expected)
+
+
+def test_bpe_mends_joins_that_do_not_agree(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = b"alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 4
+    monkeypatch.setattr(bpe, "joins_agree", lambda path, lefts, rights, ids: np.array([len(a) % 2 == 0 for a in lefts], dtype=bool))
+    rows = bpe._encode_batch(path, 1, np.zeros(1 << 10, dtype=np.uint32), [1], [text], set())
+    ids = Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids
+    assert rows[0][2] == len(ids) and rows[0][3] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+
+
+def test_mixing(spark, awkward):
+    rows = mixing.mix_sources(frame(spark, awkward)).collect()
+    assert len(rows) == len(awkward)
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    assert abs(sum(r.taken for r in rows) - 1.5 * total) <= 2 * largest
+    by_target = {}
+    for r in rows:
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        by_target.setdefault((r.source_size, r.target), []).append(r.taken)
+    for (size, target), taken in by_target.items():
+        assert target <= 2 * size and abs(sum(taken) - target) <= 2 * largest
+    again = mixing.mix_sources(frame(spark, list(reversed(awkward)))).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
+def test_quality_base_counts(spark, awkward):
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+                  for r in quality.score_documents(frame(spark, awkward)).collect())
+    expected = Counter()
+    for i, text, _ in awkward:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = Counter(zip(words, words[1:], words[2:]))
+        hit = {k + s for k in range(len(words) - 2) if windows[tuple(words[k:k + 3])] > 1 for s in range(3)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        expected[i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed] += 1
+    assert got == expected
+
+
+def test_template_lines_deplete(spark):
+    rng = random.Random(2)
+    template = " ".join(f"menu{k}" for k in range(60))
+    rows = [(k, template + "\n" + " ".join(f"x{rng.random()}" for _ in range(10 if k % 2 else 200)), "host") for k in range(60)]
+    rows += [(100 + k, " ".join(f"y{rng.random()}" for _ in range(80)), "host") for k in range(30)]
+    kept = {r.doc_id: r.kept for r in quality.score_documents(frame(spark, rows)).collect()}
+    assert not kept[1] and kept[0] and kept[100]
+    assert dict(quality.remove_template_lines(frame(spark, rows)).collect())[1] == rows[1][1].split("\n")[1]
+
+
+def test_near_texts_in_blocks_of_any_size(spark, awkward):
+    rng = random.Random(9)
+    base = [f"v{k}" for k in rng.choices(range(1000), k=120)]
+    rows = list(awkward)
+    for k in range(40):
+        words = list(base)
+        words[rng.randrange(120)] = f"n{k}"
+        rows.append((100 + k, " ".join(words), "s0"))
+    whole = Counter(map(tuple, near_texts.join_near_texts(frame(spark, rows)).collect()))
+    assert whole == Counter(map(tuple, near_texts.join_near_texts(frame(spark, rows), block=7).collect()))
+    by_id = {r[0]: r for r in whole}
+    sets = {100 + k: None for k in range(40)}
+    for i, text, _ in rows:
+        if i in sets:
+            w = text.split()
+            sets[i] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    links = Counter()
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            links[a] += 1
+            links[b] += 1
+    assert all(by_id[i][2] == links[i] and by_id[i][3] == 100 for i in sets)
+    assert by_id[20][1] == 0 and by_id[21][1] == 0 and not by_id[20][4] and by_id[0][4] and by_id[23][4] and by_id[24][4]
+    assert near_texts.recall(0.8) > 0.999
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 102), (5, 5), (102, 100), (None, 3)]
+    got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{k: 1 for k in range(1, 61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_licenses(spark):
+    text = "Some words. Released under the MIT License.\nMore!\nlicensed under the APACHE license, version 2.0."
+    rows = licenses.scan_licenses(frame(spark, [(1, text, "s"), (2, None, "s"), (3, "", "s"), (4, licenses.SENTENCES["f"] + "\n" + licenses.SENTENCES["g"], "s"), (None, text, "s")])).collect()
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.license) for r in rows}
+    assert got[1] == got[None] == ("ea", "Apache-2.0,MIT", "Apache-2.0")
+    assert got[2] == got[3] == ("", "", None) and got[4] == ("fg", "MIT", "MIT")
+
+
+def test_maximal_segments_against_the_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        values = np.array([rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(0, 30))], dtype=float)
+
+        def best(lo, hi):
+            sums = [(values[a:b].sum(), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+            top = max(sums, default=(0,))
+            return [] if top[0] <= 0 else best(lo, top[3]) + [(top[3], top[4], top[0])] + best(top[4], hi)
+
+        got, expected = toxicity.maximal_segments(values), best(0, len(values))
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in expected))
+
+
+def test_toxicity_learns_and_never_from_held_out_rows(spark):
+    rng = random.Random(8)
+    words, bad = [f"q{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)], ["vile", "awful", "nasty"]
+    rows, labels = [], []
+    for i in range(1500):
+        text = rng.choices(words, k=80)
+        toxic = i % 6 == 0
+        for _ in range(5 * toxic):
+            text[rng.randrange(80)] = rng.choice(bad)
+        rows.append((i, " ".join(text), "s"))
+        labels.append((i, int(toxic)))
+    rows += [(9000, None, "s"), (9001, "", "s"), (None, "vile awful nasty vile awful", "s")]
+    docs = frame(spark, rows)
+    frame_labels = spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, frame_labels).collect()}
+    held = [i for i, _ in labels if got[i].held_out]
+    assert np.mean([got[i].predicted == (i % 6 == 0) for i in held]) > 0.97
+    assert got[9000].score == got[9001].score < 0.5 and got[None].predicted == 1
+    turned = spark.createDataFrame([(i, 1 - t if got[i].held_out else t) for i, t in labels], "doc_id long, toxic int")
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs, turned).collect()} == {i: r.score for i, r in got.items()}
+    kept = toxicity.drop_toxic(docs, frame_labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got.values())
+
+
+def test_sharding(spark, tmp_path):
+    table = sharding.lookup_table()
+    loads = Counter(table)
+    assert max(loads.values()) - min(loads.values()) <= 1
+    fewer = sharding.lookup_table(sharding.SHARDS[:-1])
+    moved = sum(a != b for a, b in zip(table, fewer) if a != len(sharding.SHARDS) - 1)
+    assert moved < 0.1 * len(table)
+    docs = frame(spark, [(k, "t", "s") for k in range(200)] + [(None, "t", "s"), (7, "u", "s")])
+    placed = {(r.doc_id, r.shard) for r in sharding.place(docs).collect()}
+    assert len(placed) == 201
+    sharding.write_shards(docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r._shard) for r in back.collect()} == placed and back.count() == 202

@@ -1,0 +1,42 @@
+"""Registered corpus queries against their SQL twins, and the pipeline stage by stage."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from suite.check import compare, connect
+from treegauge.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    if name in ORACLES:
+        assert compare(df, connect(SF), ORACLES[name]) in ("", "EMPTY")
+    else:
+        assert df.count() > 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.dtypes == before.dtypes
+    assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (1, text, "en", "a", 1), (3, None, None, None, None), (None, "x y z", "en", "a", 1), (4, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.where("text is null or text = ''").count() == 0
+    assert corpus_pipeline.drop_repeated_lines(spark, docs, SF).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
