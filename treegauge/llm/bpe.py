@@ -132,13 +132,14 @@ def chunk_filter(source: DataFrame, cut_bits: int, bits: int) -> np.ndarray:
 
     shared = source.select("text").mapInPandas(hashes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     probes = F.array(*[F.shiftright("key", 8 * i).bitwiseAND(F.lit(bits - 1)) for i in range(_PROBES)])
-    words = (
-        shared.select(F.explode(probes).alias("bit")).select(F.shiftright("bit", 5).cast("int").alias("word"), F.col("bit").bitwiseAND(F.lit(31)).cast("int").alias("at"))
-        .groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))).alias("bits"))
-    ).toPandas()
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
+    blocks = (
+        shared.select(F.explode(probes).alias("bit")).select(F.shiftright("bit", 15).cast("int").alias("block"), F.col("bit").bitwiseAND(F.lit(32767)).alias("at"))
+        .groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    )
+    out = np.zeros((bits // 32768, 4096), dtype=np.uint8)
+    for row in blocks.collect():  # 4 KB a block, bits / 8 bytes in all
+        out[row["block"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out.reshape(-1).view("<u4")
 
 
 def _maybe_shared(table: np.ndarray, digests: list[bytes]) -> np.ndarray:
