@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,11 @@ from treegauge.llm.common import chosen, written
 CUT_BITS = 8
 FILTER_BITS = 1 << 25
 _PROBES = 4
-_BATCH_BYTES = 8_000_000
+_BATCH_BYTES = 4_000_000
+#: Word starts are hashed over so many bytes at a time, as each byte takes several words of eight bytes.
+_HASHED_BYTES = 1 << 18
+#: A process remembers the ids of so many words.
+_REMEMBERED = 300_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -65,8 +71,43 @@ def word_ids(path: str, words: list[bytes]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype=np.uint32) for e in out]
 
 
+class WordMemory:
+    """Ids of words alone, as bytes, across the batches of a process; a full memory starts anew."""
+
+    def __init__(self, path: str, most: int = _REMEMBERED):
+        self.path, self.most = path, most
+        self.held: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word, four bytes an id."""
+        held = self.held
+        found = {w: held[w] for w in words if w in held}
+        missing = [w for w in words if w not in found]
+        encoded = _tokenizer(self.path)[0].encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+        new = {w: array("I", e.ids).tobytes() for w, e in zip(missing, encoded)}
+        if len(held) + len(new) > self.most:
+            held.clear()
+        held.update(itertools.islice(new.items(), self.most))
+        found.update(new)
+        return found
+
+
+@functools.lru_cache(maxsize=2)
+def _memory(path: str) -> WordMemory:
+    return WordMemory(path)
+
+
 def cut_marks(data: np.ndarray, starts: np.ndarray, cut_bits: int) -> np.ndarray:
     """For each word start of a byte array, whether the 16 bytes before it ask for a cut."""
+    out = np.zeros(len(starts), dtype=bool)
+    for begin in range(0, len(data), _HASHED_BYTES):
+        first, last = np.searchsorted(starts, [begin, begin + _HASHED_BYTES])
+        back = min(begin, 16)
+        out[first:last] = _block_marks(data[begin - back:begin + _HASHED_BYTES], starts[first:last] - (begin - back), cut_bits)
+    return out
+
+
+def _block_marks(data: np.ndarray, starts: np.ndarray, cut_bits: int) -> np.ndarray:
     rolled, base = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
     for width in (1, 2, 4, 8):
         moved = np.zeros_like(rolled)
@@ -110,13 +151,14 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def _batches(part: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    texts = [t.encode() if isinstance(t, str) else b"" for t in part["text"]]
     begin = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= _BATCH_BYTES or i == len(texts) - 1:
-            yield part.iloc[begin:i + 1], texts[begin:i + 1]
-            begin, held = i + 1, 0
+    texts: list[bytes] = []
+    for i, text in enumerate(part["text"]):
+        texts.append(text.encode() if isinstance(text, str) else b"")
+        held += len(texts[-1])
+        if held >= _BATCH_BYTES or i == len(part) - 1:
+            yield part.iloc[begin:i + 1], texts
+            begin, held, texts = i + 1, 0, []
 
 
 def chunk_filter(source: DataFrame, cut_bits: int, bits: int) -> np.ndarray:
@@ -167,13 +209,13 @@ def _finish(path: str, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def joins_agree(path: str, lefts: list[bytes], rights: list[bytes], ids: dict[bytes, np.ndarray]) -> np.ndarray:
+def joins_agree(path: str, lefts: list[bytes], rights: list[bytes], ids: dict[bytes, bytes]) -> np.ndarray:
     """Whether two words around a join are encoded together as they are alone."""
     windows, place = {}, []
     for a, b in zip(lefts, rights):
         place.append(windows.setdefault((a, b), len(windows)))
     together = word_ids(path, [a + b" " + b for a, b in windows])
-    same = np.array([np.array_equal(t, np.concatenate([ids[a], ids[b]])) for (a, b), t in zip(windows, together)], dtype=bool)
+    same = np.array([t.tobytes() == ids[a] + ids[b] for (a, b), t in zip(windows, together)], dtype=bool)
     return same[place] if place else np.zeros(0, dtype=bool)
 
 
@@ -203,14 +245,15 @@ def _encode_batch(path: str, cut_bits: int, table: np.ndarray, doc_ids: list, te
     needed[codes[starts[joins]]] = True
     needed[codes[starts[joins] - 1]] = True
     known = np.flatnonzero(needed)
-    alone = dict(zip((kinds[k] for k in known), word_ids(path, [kinds[k] for k in known])))
+    alone = _memory(path).ids(kinds[known].tolist())
     agree = joins_agree(path, [batch.words[i - 1] for i in starts[joins]], [batch.words[i] for i in starts[joins]], alone)
     broken = joins[~agree]
     merged = np.zeros(len(chunks), dtype=bool)  # chunks on either side of a join that does not agree
     merged[broken] = merged[broken - 1] = True
     lengths = np.zeros(len(kinds) + 1, dtype=np.int64)
-    lengths[known] = [len(alone[kinds[k]]) for k in known]
-    flat = np.concatenate([alone[kinds[k]] for k in known]) if len(known) else np.zeros(0, dtype=np.uint32)
+    known_ids = [alone[word] for word in kinds[known]]
+    lengths[known] = [len(x) // 4 for x in known_ids]
+    flat = np.frombuffer(b"".join(known_ids), dtype=np.uint32)
     begin_of = np.zeros(len(kinds) + 1, dtype=np.int64)
     begin_of[known] = np.cumsum(lengths[known]) - lengths[known]
     out: list[tuple] = []
