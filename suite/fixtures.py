@@ -183,9 +183,10 @@ def db_projects(spark, sf_dir) -> DataFrame:
     customers = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     per_customer = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("_n"), F.max("o_orderdate").alias("_t"))
+        F.count("*").alias("_n"), F.max("o_orderdate").alias("_t"), F.max("o_orderstatus").alias("_m"))
     return customers.join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(
         F.col("n_name").alias("name")).agg(
+        F.nullif(F.array_join(F.sort_array(F.collect_set("_m")), ","), F.lit("")).alias("scan_modes"),
         F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("total_scans"),
         F.max("_t").alias("last_scan_time"))
 
@@ -194,4 +195,4 @@ def cached_repos(spark, sf_dir) -> DataFrame:
     """One cached repository per nation with suppliers in credit."""
     return table(spark, sf_dir, "supplier").where("s_acctbal >= 0").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(
-        F.col("n_name").alias("name")).agg(F.min("s_name").alias("repo_id"))
+        F.col("n_name").alias("name")).agg(F.min("s_name").alias("repo_id"), F.max("s_name").alias("branch"))

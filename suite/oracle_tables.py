@@ -67,11 +67,14 @@ TABLES["cfg_projects"] = """
   SELECT n_name AS name, '/cfg/' || n_name AS repo_path FROM nation
   WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)"""
 TABLES["db_projects"] = """
-  SELECT n.n_name AS name, count(o.o_orderkey) AS total_scans, max(o.o_orderdate) AS last_scan_time
+  SELECT n.n_name AS name, count(o.o_orderkey) AS total_scans, max(o.o_orderdate) AS last_scan_time,
+    string_agg(DISTINCT x.m, ',' ORDER BY x.m) AS scan_modes
   FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
-  LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY n.n_name"""
+  LEFT JOIN orders o ON o.o_custkey = c.c_custkey
+  LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS m FROM orders GROUP BY ALL) x ON x.o_custkey = c.c_custkey
+  GROUP BY n.n_name"""
 TABLES["cached_repos"] = """
-  SELECT n_name AS name, min(s_name) AS repo_id FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  SELECT n_name AS name, min(s_name) AS repo_id, max(s_name) AS branch FROM supplier JOIN nation ON s_nationkey = n_nationkey
   WHERE s_acctbal >= 0 GROUP BY n_name"""
 
 

@@ -73,7 +73,7 @@ def d4(spark, d):
 @query("D5_unified_projects", over("cfg_projects db_projects cached_repos", """
     SELECT name, c.name IS NOT NULL AS has_config, c.repo_path AS config_repo_path,
       r.name IS NOT NULL AS has_cached_repo, r.repo_id AS cached_repo_id,
-      coalesce(s.total_scans, 0) AS total_scans, s.last_scan_time
+      r.branch AS cached_repo_branch, coalesce(s.total_scans, 0) AS total_scans, s.last_scan_time, s.scan_modes
     FROM cfg_projects c FULL OUTER JOIN db_projects s USING (name) FULL OUTER JOIN cached_repos r USING (name)"""))
 def d5(spark, d):
     return catalog.unified_projects(

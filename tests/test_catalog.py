@@ -46,11 +46,12 @@ def test_upsert_keeps_id_and_takes_path(spark):
 
 def test_unified_and_merged_names(spark):
     config = spark.createDataFrame([("b", "/b"), ("a", "/a")], "name string, repo_path string")
-    stats = spark.createDataFrame([("a", 2, T[0]), ("c", 1, T[1])], "name string, total_scans bigint, last_scan_time timestamp")
-    cached = spark.createDataFrame([("c", "r1"), ("d", "r2")], "name string, repo_id string")
-    rows = {r.name: (r.has_config, r.has_cached_repo, r.total_scans) for r in
+    stats = spark.createDataFrame([("a", 2, T[0], "DIFF"), ("c", 1, T[1], "DIFF,SNAPSHOT")], "name string, total_scans bigint, last_scan_time timestamp, scan_modes string")
+    cached = spark.createDataFrame([("c", "r1", "main"), ("d", "r2", None)], "name string, repo_id string, branch string")
+    rows = {r.name: (r.has_config, r.has_cached_repo, r.total_scans, r.scan_modes, r.cached_repo_branch) for r in
             catalog.unified_projects(config, stats, cached).collect()}
-    assert rows == {"a": (True, False, 2), "b": (True, False, 0), "c": (False, True, 1), "d": (False, True, 0)}
+    assert rows == {"a": (True, False, 2, "DIFF", None), "b": (True, False, 0, None, None),
+                    "c": (False, True, 1, "DIFF,SNAPSHOT", "main"), "d": (False, True, 0, None, None)}
     names = [(r.section, r.name) for r in catalog.merge_names(config, stats).collect()]
     assert sorted(names) == [(0, "a"), (0, "b"), (1, "c")]
 
@@ -69,3 +70,6 @@ def test_commit_pages_cover_all_once(spark):
     assert {r.author for r in seen} == {"me", "Unknown"}
     assert len(catalog.page_commits(log, limit=1000).collect()) == 130
     assert catalog.search_commits(log, "absent").count() == 0
+    many = log.crossJoin(spark.range(4)).drop("id")
+    large = catalog.page_commits(many, limit=400).collect()
+    assert len(large) == 400 and large[0].has_more

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from treegauge.operators.analyzers import analyze
 from treegauge.operators.matches import (
-    MAX_PAGE_SIZE,
     drilldown,
     extract_matches,
     match_count,
@@ -170,7 +169,11 @@ def test_counts_pages_and_drilldown(spark, tree):
     assert sum(map(len, pages)) == whole and all(len(p) == 30 for p in pages[:-1])
     ordered = [(m.line_number, m.column_start, m.analyzer_id) for p in pages for m in p]
     assert ordered == sorted(ordered)
-    assert page_matches(found, 1, "f0.txt", page=-3, page_size=10**6).count() == min(whole, MAX_PAGE_SIZE)
+    assert page_matches(found, 1, "f0.txt", page=-3, page_size=10**6).count() == whole
+    with pytest.raises(ValueError):
+        number_pages(found, 0)
+    twice = metrics.unionByName(metrics)  # as with a second set of tags
+    assert drilldown(twice, found).count() == found.count()
     numbered = number_pages(found, 30).where("file_path = 'f0.txt'").groupBy("page").count().collect()
     assert sorted((r.page, r["count"]) for r in numbered) == [(i + 1, len(p)) for i, p in enumerate(pages) if p]
     found.unpersist()

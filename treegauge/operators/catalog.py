@@ -10,7 +10,6 @@ from treegauge.functions.text import first_line
 from treegauge.specs import SNAPSHOT
 
 DEFAULT_COMMITS = 50
-MAX_COMMITS = 200
 
 
 def upsert_projects(projects: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -59,8 +58,8 @@ def unified_projects(config: DataFrame, stats: DataFrame, cached: DataFrame) ->
     known = F.lit(True)
     merged = (
         config.select("name", F.col("repo_path").alias("config_repo_path"), known.alias("_config"))
-        .join(stats.select("name", "total_scans", "last_scan_time"), "name", "full_outer")
-        .join(cached.select("name", F.col("repo_id").alias("cached_repo_id"), known.alias("_cached")),
+        .join(stats.select("name", "total_scans", "last_scan_time", "scan_modes"), "name", "full_outer")
+        .join(cached.select("name", F.col("repo_id").alias("cached_repo_id"), F.col("branch").alias("cached_repo_branch"), known.alias("_cached")),
               "name", "full_outer")
     )
     return merged.select(
@@ -69,8 +68,10 @@ def unified_projects(config: DataFrame, stats: DataFrame, cached: DataFrame) ->
         "config_repo_path",
         F.col("_cached").isNotNull().alias("has_cached_repo"),
         "cached_repo_id",
+        "cached_repo_branch",
         F.coalesce("total_scans", F.lit(0).cast("bigint")).alias("total_scans"),
         "last_scan_time",
+        "scan_modes",
     )
 
 
@@ -148,9 +149,11 @@ def search_commits(log: DataFrame, text: str) -> DataFrame:
 def page_commits(log: DataFrame, offset: int = 0, limit: int = DEFAULT_COMMITS) -> DataFrame:
     """One page, newest first, with a flag on every row telling whether more follow.
 
-    One row beyond the page is read, and the window counts these at most MAX_COMMITS + 1 rows.
+    One row beyond the page is read, and the window counts these at most limit + 1 rows.
     """
-    size = min(limit, MAX_COMMITS)
+    if offset < 0 or limit < 1:
+        raise ValueError(f"no page from {offset} with {limit} rows")
+    size = limit
     order = [F.col("timestamp").desc(), F.col("hash")]
     ahead = log.drop("full_message").orderBy(*order).offset(offset).limit(size + 1)
     n = F.count("*").over(Window.partitionBy(F.lit(1)))

@@ -31,7 +31,6 @@ MATCH_COLUMNS = [
     "context_before",
     "context_after",
 ]
-MAX_PAGE_SIZE = 500
 _MATCH = (
     "array<struct<analyzer_id:string,line_number:int,column_start:int,column_end:int,"
     "matched_text:string,context_before:string,context_after:string>>"
@@ -195,6 +194,12 @@ def match_count(matches: DataFrame, keys: Iterable[str] = ("scan_id", "file_path
     return matches.groupBy(*keys).agg(F.count("*").alias("total"))
 
 
+def _page_size(size: int) -> int:
+    if size < 1:
+        raise ValueError(f"a page holds at least one row, not {size}")
+    return size
+
+
 _PAGE_ORDER = ["line_number", "column_start", "analyzer_id"]
 
 
@@ -206,8 +211,8 @@ def page_matches(
     page: int = 1,
     page_size: int = 100,
 ) -> DataFrame:
-    """One page of the hits of one file, by line."""
-    size = min(page_size, MAX_PAGE_SIZE)
+    """One page of the hits of one file, by line; pages are as large as asked for."""
+    size = _page_size(page_size)
     first = (max(page, 1) - 1) * size
     rows = match_filter(matches, scan_id, file_path, analyzer_id)
     return rows.orderBy(*_PAGE_ORDER).offset(first).limit(size)
@@ -216,16 +221,19 @@ def page_matches(
 def number_pages(matches: DataFrame, page_size: int = 100) -> DataFrame:
     """All hits with the page of their file they stand on; a window holds the hits of one file,
     which came out of one row."""
-    size = min(page_size, MAX_PAGE_SIZE)
+    size = _page_size(page_size)
     w = Window.partitionBy("scan_id", "file_path").orderBy(*_PAGE_ORDER, "column_end")
     page = ((F.row_number().over(w) - 1) / size).cast("bigint") + 1
     return matches.withColumn("page", page)
 
 
 def drilldown(metrics: DataFrame, matches: DataFrame) -> DataFrame:
-    """The hits behind metric rows: equi-join on scan, file and analyzer."""
+    """The hits behind metric rows: equi-join on scan, file and analyzer.
+
+    Each hit comes once. Where an analyzer has several rows for a file (by tags), their values are added up.
+    """
     keys = ["scan_id", "file_path", "analyzer_id"]
-    chosen = metrics.select(*keys, "tech_stack", "value_after")
+    chosen = metrics.groupBy(*keys).agg(F.min("tech_stack").alias("tech_stack"), F.sum("value_after").alias("value_after"))
     return matches.join(chosen, keys)
 
 
