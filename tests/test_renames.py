@@ -72,4 +72,34 @@ def test_files_with_a_common_header_find_their_own_partner(spark, tree):
         target[f"new/{i}"] = "\n".join(header + body[:18] + lines(rng, 2))
     got, rows = renamed(spark, tree, base, target, "similar")
     assert all(new.split("/")[1] == old.split("/")[1] for new, old in got.items())
-    assert len(got) >= 58
+    assert len(got) == 60
+
+
+def jaccard(a, b):
+    a, b = set(a.split("\n")), set(b.split("\n"))
+    return len(a & b) / len(a | b)
+
+
+def test_no_alike_files_are_left_over(spark, tree):
+    rng = random.Random(6)
+    pool = lines(rng, 14)
+    base = {f"old/{i}": "\n".join(rng.sample(pool, rng.randint(1, 8))) for i in range(16)}
+    target = {f"new/{i}": "\n".join(rng.sample(pool, rng.randint(1, 8))) for i in range(12)}
+    got, rows = renamed(spark, tree, base, target, "similar")
+    assert got and len(set(got.values())) == len(got)
+    assert all(jaccard(base[old], target[new]) >= 0.5 for new, old in got.items())
+    gone = [r.file_path for r in rows if r.change_type == "D"]
+    fresh = [r.file_path for r in rows if r.change_type == "A"]
+    assert len(gone) == 16 - len(got) and len(fresh) == 12 - len(got)
+    assert not [(a, b) for a in gone for b in fresh if jaccard(base[a], target[b]) >= 0.5]
+
+
+def test_every_pair_just_above_the_limit_is_found(spark, tree):
+    rng = random.Random(7)
+    base, target = {}, {}
+    for i in range(400):
+        body = lines(rng, 10)
+        base[f"old/{i}"] = "\n".join(body)
+        target[f"new/{i}"] = "\n".join(body[:7] + lines(rng, 3))
+    got, _ = renamed(spark, tree, base, target, "similar")
+    assert got == {f"new/{i}": f"old/{i}" for i in range(400)}

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,11 +62,11 @@ def test_undecodable_files_are_scanned_but_not_measured(spark):
             ("p", "v", "late.txt", b"x" * 9000 + b"\x00")]
     raw = spark.createDataFrame(rows, "project string, version string, file_path string, raw binary")
     files = decode_files(raw)
-    assert {r.file_path for r in files.where("content IS NULL").collect()} == {"b.txt", "c.txt"}
+    assert {r.file_path for r in files.where("content IS NULL").collect()} == {"b.txt", "c.txt", "late.txt"}
     scan = snapshot_scan(files, [], TEXT, 1)
-    assert set(by_path(scan.metrics)) == {"a.txt", "late.txt"}
+    assert set(by_path(scan.metrics)) == {"a.txt"}
     summary = scan.summary.first()
-    assert (summary.total_files_scanned, summary.total_analyzer_executions) == (4, 2)
+    assert (summary.total_files_scanned, summary.total_analyzer_executions) == (4, 1)
 
 
 def test_read_tree(spark, tmp_path):
@@ -73,6 +75,8 @@ def test_read_tree(spark, tmp_path):
     (tmp_path / "top.txt").write_bytes(b"\xff")
     rows = {r.file_path: r.content for r in read_tree(spark, str(tmp_path), "p", "v").collect()}
     assert rows == {"src/a b.txt": "hé", "top.txt": None}
+    for root in (f"{tmp_path}/", "/" + str(tmp_path)[1:].replace("/", "//"), os.path.relpath(tmp_path), f"file://{tmp_path}"):
+        assert {r.file_path for r in read_tree(spark, root, "p", "v").collect()} == set(rows)
 
 
 @pytest.mark.parametrize("mode,change,snapshot,diff", [

@@ -6,7 +6,7 @@ rows, not n*n pairs, and no task holds a whole group.
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,19 +15,21 @@ from treegauge.functions.ranking import salted_row_number
 from treegauge.session import cut_lineage
 
 KEY = ["project", "file_path"]
+PAIR = ["project", "old_path", "new_path"]
+GROUP = ["project", "line"]
 # Up to so many paths (some 100 bytes each) are broadcast to pick files before any shuffle.
 MAX_BROADCAST_PATHS = 200_000
-MIN_SIMILARITY = 0.5
-SKETCH_SIZE = 256
-# Minhashes that must agree per band: strict bands first, so that close copies pair first.
-BANDS = ((0, 1, 2), (3, 4, 5), (0,), (1,), (2,), (3,), (4,), (5,))
+# Least Jaccard similarities as fractions, taken in turn: close copies pair first.
+LEVELS = ((4, 5), (1, 2))
+# Partners that a file meets per group in one round, at most; more rounds follow.
+ROUND_SHIFTS = 64
 
 
 def of_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     """The files at the given checkpointed paths.
 
     Few paths, by an actual count, are broadcast, so only the chosen files leave the scan. More
-    are left to the join that follows, where Spark prunes the files with a Bloom filter.
+    are left to the join that follows, which then shuffles both sides by path.
     """
     if paths.count() <= MAX_BROADCAST_PATHS:
         return files.join(F.broadcast(paths), KEY, "left_semi")
@@ -60,106 +62,131 @@ def _line_hashes(content: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda line: F.xxhash64(F.trim(line))))
 
 
-def sketches(files: DataFrame) -> DataFrame:
-    """Per file a bounded sketch of its set of lines: the smallest hashes, and six minhashes."""
-    n = 1 + max(i for group in BANDS for i in group)
+def _rarest_first(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their line sets in one order: lines held by the fewest changed files first."""
+    both = reduce(DataFrame.unionByName, [
+        side.select("project", F.lit(path).alias("_side"), F.col(path).alias("_path"), F.explode("lines").alias("line"))
+        for side, path in ((old, "old_path"), (new, "new_path"))
+    ])
+    holders = both.groupBy("project", "line").agg(F.count("*").alias("_n"))
+    ordered = cut_lineage(
+        both.join(holders, ["project", "line"])
+        .groupBy("project", "_side", "_path")
+        .agg(F.sort_array(F.collect_list(F.struct("_n", "line"))).alias("_l"))
+        .select("project", "_side", "_path", F.col("_l.line").alias("lines"))
+    )
 
-    def minhash(i: int) -> Column:
-        return F.array_min(F.transform("_hashes", lambda h: F.xxhash64(h, F.lit(i))))
+    def side(path: str) -> DataFrame:
+        return ordered.where(F.col("_side") == path).select("project", F.col("_path").alias(path), "lines")
 
-    minhashes = [minhash(i) for i in range(n)]
-    return (
-        files.withColumn("_hashes", _line_hashes(F.col("content")))
-        .where(F.size("_hashes") > 0)
-        .select(
-            *[c for c in files.columns if c != "content"],
-            F.slice(F.array_sort("_hashes"), 1, SKETCH_SIZE).alias("sketch"),
-            F.array(*minhashes).alias("minhashes"),
-        )
-    )
+    return side("old_path"), side("new_path")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two line sets: the share of common hashes among the smallest hashes
-    of the union. Exact for files of up to SKETCH_SIZE distinct lines together."""
-    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH_SIZE)
-    common = F.size(F.array_intersect(smallest, F.array_intersect(a, b)))
-    return common / F.size(smallest)
-
-
-def _with_partner(files: DataFrame, others: DataFrame, path: str) -> DataFrame:
-    """Files that share at least one minhash with a file of the other side."""
-    key = ["project", "_i", "_h"]
-    wanted = others.select("project", F.posexplode("minhashes").alias("_i", "_h")).distinct()
-    own = files.select("project", path, F.posexplode("minhashes").alias("_i", "_h"))
-    kept = own.join(wanted, key, "left_semi").select("project", path).distinct()
-    return files.join(kept, ["project", path], "left_semi")
-
-
-def _numbered(files: DataFrame, name: str, turn: int) -> DataFrame:
-    """Files once per band, numbered among those that share the band's minhashes."""
-    path = f"{name}_path"
-    bands = F.array(
-        *[
-            F.struct(
-                F.lit(band).alias("band"),
-                F.array(*[F.col("minhashes")[i] for i in chosen]).alias("key"),
-            )
-            for band, chosen in enumerate(BANDS)
-        ]
-    )
-    rows = files.select("project", path, F.col("sketch").alias(f"{name}_sketch"), F.inline(bands))
-    rows = rows.withColumn("_order", F.md5(F.concat(F.lit(f"{turn}:"), path)))
-    return salted_row_number(rows, ["project", "band", "key"], "_order", "_rn").drop("_order")
+def _groups(old: DataFrame, new: DataFrame, level: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The files of both sides under each of their rarest lines, numbered within the line's group.
 
+    Two sets of this similarity share at least so large a part of either, so they have a line in common
+    among the rarest of each; lines that only one side holds are no groups.
+    """
+    num, den = level
+    least = ((F.size("lines") * num + (den - 1)) / den).cast("int")
+    rare = F.slice("lines", F.lit(1), F.size("lines") - least + 1)
 
-def _turn(old: DataFrame, new: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one turn: in every band the i-th old with the i-th new file of a group, kept where
-    alike enough. A pair counts when it stands in the strictest band for both of its files; so
-    the pairs of the strictest band always count, and no file is used twice."""
-    both = _numbered(old, "old", turn).join(
-        _numbered(new, "new", turn), ["project", "band", "key", "_rn"]
+    def rows(files: DataFrame, path: str) -> DataFrame:
+        return files.select("project", path, F.explode(rare).alias("line"))
+
+    sides = [(rows(old, "old_path"), "old_path"), (rows(new, "new_path"), "new_path")]
+    counts = [side.groupBy(*GROUP).agg(F.count("*").alias(f"_{path}")) for side, path in sides]
+    sizes = counts[0].join(counts[1], GROUP).select(*GROUP, F.greatest("_old_path", "_new_path").alias("size"))
+    numbered = [cut_lineage(salted_row_number(side.join(sizes, GROUP), GROUP, path, "i")) for side, path in sides]
+    return numbered[0], numbered[1]
+
+
+def _meetings(old_rows: DataFrame, new_rows: DataFrame, first: int, shifts: int) -> DataFrame:
+    """Pairs of the i-th old with the (i + shift)-th new file of a group, for `shifts` shifts from `first` on."""
+    last = F.least(F.lit(first + shifts).cast("bigint"), F.col("size")) - 1
+    shifted = old_rows.where(F.col("size") > first).withColumn(
+        "_shift", F.explode(F.sequence(F.lit(first).cast("bigint"), last))
+    )
+    placed = shifted.select(
+        "project", "line", "old_path", ((F.col("i") - 1 + F.col("_shift")) % F.col("size") + 1).alias("i")
     )
-    close = similarity(F.col("old_sketch"), F.col("new_sketch")) >= MIN_SIMILARITY
-    pairs = cut_lineage(both.where(close).select("project", "band", "old_path", "new_path"))
+    return placed.join(new_rows.drop("size"), [*GROUP, "i"]).select(*PAIR).distinct()
 
-    def strictest(path: str, partner: str) -> DataFrame:
-        first = pairs.groupBy("project", path).agg(F.min_by(partner, "band").alias(partner))
-        return first.select("project", "old_path", "new_path")
 
-    mutual = strictest("old_path", "new_path").join(
-        strictest("new_path", "old_path"), ["project", "old_path", "new_path"]
+def _alike(pairs: DataFrame, old: DataFrame, new: DataFrame, level: tuple[int, int]) -> DataFrame:
+    """The pairs whose whole line sets reach the level, with their Jaccard similarity."""
+    num, den = level
+    common = F.size(F.array_intersect("_a", "_b"))
+    both = (
+        pairs.join(old.withColumnRenamed("lines", "_a"), ["project", "old_path"])
+        .join(new.withColumnRenamed("lines", "_b"), ["project", "new_path"])
+        .select(*PAIR, common.alias("_common"), (F.size("_a") + F.size("_b") - common).alias("_union"))
     )
-    return cut_lineage(mutual)
+    return both.where(F.col("_common") * den >= F.col("_union") * num).select(
+        *PAIR, (F.col("_common") / F.col("_union")).alias("score")
+    )
+
+
+def _unused(rows: DataFrame, pairs: DataFrame, *paths: str) -> DataFrame:
+    """Rows none of whose files is part of a pair."""
+    for path in paths:
+        rows = rows.join(pairs.select("project", path), ["project", path], "left_anti")
+    return rows
+
+
+def _one_to_one(scored: DataFrame) -> list[DataFrame]:
+    """Pairs that are the best left for both of their files, until no pair is left.
+
+    All pairs stand in one order, by similarity and then by a hash, so the first one left is always taken.
+    """
+    rank = F.struct("score", F.xxhash64("old_path", "new_path").alias("_tie"), "old_path", "new_path")
+    left, taken = cut_lineage(scored.select("project", "old_path", "new_path", rank.alias("rank"))), []
+    while not left.isEmpty():
+        best = [
+            left.groupBy("project", path).agg(F.max("rank").alias("rank")).select("project", "rank.old_path", "rank.new_path")
+            for path in ("old_path", "new_path")
+        ]
+        taken.append(cut_lineage(best[0].join(best[1], PAIR)))
+        left = cut_lineage(_unused(left, taken[-1], "old_path", "new_path"))
+    return taken
 
 
 def similar_pairs(changed: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
     """Deleted and added files that share at least half of their lines, one to one.
 
-    Turns are taken, each with another order inside the groups, until no two files left share a
-    minhash or a whole turn pairs nothing. A turn is linear in the number of files left; what
-    is shuffled are sketches of bounded size, never content.
+    Complete: of the files left over, no two are alike enough. Candidates meet in groups of their rarest
+    lines; in a group the i-th old file meets the (i + shift)-th new one, shift after shift, until
+    one side of the group is used up. A round is linear in the files left, and families of near copies are
+    used up in the first ones; many unlike files that share a rare line take as many shifts as the group is large.
+    Only line hashes are shuffled, never content.
     """
 
     def side(change_type: str, files: DataFrame, path: str) -> DataFrame:
         alone = changed.where(F.col("change_type") == change_type).select(*KEY)
         texts = of_paths(files.select(*KEY, "content"), alone)
         named = alone.join(texts.hint("merge"), KEY).where(F.col("content").isNotNull())
-        return cut_lineage(sketches(named.withColumnRenamed("file_path", path)))
+        return cut_lineage(named.select("project", F.col("file_path").alias(path), _line_hashes(F.col("content")).alias("lines")))
 
     changed = cut_lineage(changed)
-    old, new = side("D", base, "old_path"), side("A", target, "new_path")
-    found = old.select("project", "old_path", F.lit("").alias("new_path")).limit(0)
-    for turn in count():
-        old, new = (
-            cut_lineage(_with_partner(old, new, "old_path")),
-            cut_lineage(_with_partner(new, old, "new_path")),
-        )
-        if old.isEmpty() or new.isEmpty():
-            return found
-        pairs = _turn(old, new, turn)
-        if pairs.isEmpty():
-            return found
-        found = found.unionByName(pairs)
-        old = old.join(pairs, ["project", "old_path"], "left_anti")
-        new = new.join(pairs, ["project", "new_path"], "left_anti")
+    old, new = _rarest_first(side("D", base, "old_path"), side("A", target, "new_path"))
+    found = [old.select("project", "old_path", F.lit("").alias("new_path")).limit(0)]
+    for level in LEVELS:
+        old_rows, new_rows = _groups(old, new, level)
+        first = 0
+        while True:
+            old_rows = old_rows.where(F.col("size") > first)
+            old_rows = cut_lineage(old_rows.join(new_rows.select(*GROUP).distinct(), GROUP, "left_semi"))
+            if old_rows.isEmpty():
+                break
+            shifts = min(max(first, 1), ROUND_SHIFTS)
+            taken = _one_to_one(_alike(_meetings(old_rows, new_rows, first, shifts), old, new, level))
+            first += shifts
+            if taken:
+                found += taken
+                pairs = reduce(DataFrame.unionByName, taken)
+                old_rows = _unused(old_rows, pairs, "old_path")
+                new_rows = cut_lineage(_unused(new_rows, pairs, "new_path"))
+                old = cut_lineage(_unused(old, pairs, "old_path"))
+                new = cut_lineage(_unused(new, pairs, "new_path"))
+    return reduce(DataFrame.unionByName, found)

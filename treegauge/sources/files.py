@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,10 @@ from treegauge.operators.classify import classify
 from treegauge.operators.diff import CHANGE_COLUMNS
 from treegauge.specs import SNAPSHOT, ScanRules
 
-# Fixed value: how many leading bytes are searched for a NUL byte to call a file binary.
-BINARY_PROBE = 8000
-
 
 def decode_content(raw: Column) -> Column:
-    """Bytes as text; NULL for binary files (a NUL byte near the start) and for invalid UTF-8."""
-    binary = F.contains(F.substring(raw, 1, BINARY_PROBE), F.lit(bytearray(b"\x00")))
+    """Bytes as text; NULL for binary files (a NUL byte anywhere) and for invalid UTF-8."""
+    binary = F.contains(raw, F.lit(bytearray(b"\x00")))
     return F.when(~binary, F.try_validate_utf8(raw.cast("string")))
 
 
@@ -31,11 +30,15 @@ def decode_files(files: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, project: str, version: str) -> DataFrame:
-    """A directory tree as a files table; paths are relative to the root."""
+    """A directory tree as a files table; paths are relative to the root, however that is written."""
+    context = spark.sparkContext
+    given = context._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = given.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(given).toString()
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    relative = F.substring(path, len(prefix) + 1, 1 << 30)
+    prefix = re.sub("^[a-z0-9]+:/*", "/", qualified).rstrip("/") + "/"
+    relative = F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(
+        F.raise_error(F.concat(path, F.lit(f" is not below {prefix}"))))
     return decode_files(
         rows.select(
             F.lit(project).alias("project"),
