@@ -59,12 +59,22 @@ def test_globs_without_separators_agree_with_fnmatch():
         assert bool(re.fullmatch(glob_regex(glob), text)) == fnmatch.fnmatchcase(text, glob)
 
 
-@pytest.mark.parametrize("pattern", ["a*", r"\b", "(?=x)a", r"(a)\1", "(?<!b)a", "", "x?"])
+@pytest.mark.parametrize("pattern", ["a*", r"\b", "(?=x)a", r"(a)\1", "(?<!b)a", "", "x?", "a++", "(?>a)b", "x{2}+", "[[:^alpha:]]*", "[[:foo:]]"])
 def test_refused_patterns(pattern):
     with pytest.raises(ValueError):
         java_pattern(pattern)
 
 
+def test_accepted_dialect(spark):
+    cases = [("[[:alpha:]]+", "xyz al \u00e9", 2), ("[^[:^digit:]]", "a1b22", 3), (r"(?P<my_word>ab)c", "abcabc", 2), ("(?<w>a)", "aa", 2),
+             ("a$|b", "ba\n", 1), ("a$|b", "ba", 2), (r"a\$|[$]", "a$ $", 2), ("(?m)a$", "a\na", 2), ("[+*]+x", "+*x", 1), (r"\w+", "h\u00e9 b", 2)]
+    for pattern, text, hits in cases:
+        df = spark.createDataFrame([(text,)], "x string")
+        assert df.select(count_hits(F.col("x"), [pattern])).first()[0] == hits, pattern
+    with pytest.raises(ValueError):
+        count_hits(F.col("x"), [r"(a"])
+
+
 def test_running_starts(spark):
     rng = random.Random(2)
     arrays = [[rng.randint(0, 50) for _ in range(n)] for n in (1, 2, 3, 15, 16, 17, 18, 100, 257, 1000)]

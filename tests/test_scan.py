@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from treegauge.operators.classify import classify
 from treegauge.operators.diff import version_diff
 from treegauge.operators.metrics import read_summary, summary_record
+from treegauge.operators.user_analyzers import run_user_analyzers
 from treegauge.plans.scan import diff_scan, snapshot_scan
 from treegauge.sources.files import decode_files, read_tree, snapshot_changes, spread
 from treegauge.sources.tables import read_scan_table, write_scan_table
@@ -139,6 +140,16 @@ def test_user_analyzers(spark, tree):
             summary.total_analyzer_executions, summary.total_errors) == (5, 3, 2, 7, 1)
 
 
+def test_user_analyzers_share_a_pass(spark):
+    files = spark.createDataFrame([("p", "a.txt", "x"), ("p", "b.md", "yy")], "project string, file_path string, content string")
+    sizes = [PythonAnalyzer(name, tags, func=lambda p, c, t: [{"value": len(c)}]) for name, tags in (("one", {}), ("two", {"k": "v"}))]
+    rules = ScanRules((StackRule("Text", ("txt",), ("one", "two")), StackRule("Notes", ("md",), ("two",))))
+    results = run_user_analyzers(snapshot_changes(files, rules, 1), sizes, rules)
+    assert sorted((r.file_path, r.analyzer_id, r.side, r.entries[0].value, r.overrides) for r in results.collect()) == [
+        ("a.txt", "one", "after", 1.0, {}), ("a.txt", "two", "after", 1.0, {"k": "v"}), ("b.md", "two", "after", 2.0, {"k": "v"})]
+    assert "Union" not in results._jdf.queryExecution().executedPlan().toString()
+
+
 def test_summary_round_trip(spark, tree, tmp_path):
     scan = snapshot_scan(tree(V2), [], TEXT, 5)
     path = str(tmp_path / "summaries")
@@ -170,6 +181,8 @@ def test_scan_table_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "m")
     table = spark.range(100).select((F.col("id") % 5).alias("scan_id"), F.col("id").alias("v"))
     write_scan_table(table, path)
+    write_scan_table(table.where("scan_id = 3"), path)
+    assert read_scan_table(spark, path).count() == 100
     one = read_scan_table(spark, path, 3)
     assert one.count() == 20
     assert "PartitionFilters: [isnotnull(scan_id" in one._jdf.queryExecution().executedPlan().toString()

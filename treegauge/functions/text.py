@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,23 +16,90 @@ from pyspark.sql import functions as F
 UNIVERSAL_LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
+# The characters of the bracketed ASCII classes, as first and last code points.
+ASCII_CLASSES = {
+    "alnum": ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)),
+    "alpha": ((0x41, 0x5A), (0x61, 0x7A)),
+    "ascii": ((0x00, 0x7F),),
+    "blank": ((0x09, 0x09), (0x20, 0x20)),
+    "cntrl": ((0x00, 0x1F), (0x7F, 0x7F)),
+    "digit": ((0x30, 0x39),),
+    "graph": ((0x21, 0x7E),),
+    "lower": ((0x61, 0x7A),),
+    "print": ((0x20, 0x7E),),
+    "punct": ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)),
+    "space": ((0x09, 0x0D), (0x20, 0x20)),
+    "upper": ((0x41, 0x5A),),
+    "word": ((0x30, 0x39), (0x41, 0x5A), (0x5F, 0x5F), (0x61, 0x7A)),
+    "xdigit": ((0x30, 0x39), (0x41, 0x46), (0x61, 0x66)),
+}
+_PIECE = re.compile(r"\\.|\[:(\^?)([a-z]+):\]|\[\^?\]?|\]|\(\?P?<[A-Za-z_]\w*>|\$|.", re.S)
+
+
+def _ascii_class(name: str, negated: bool, top: str) -> str:
+    """The inside of a bracket for one named class; `top` is the last code point in the engine's spelling."""
+    if name not in ASCII_CLASSES:
+        raise ValueError(f"unknown character class [:{name}:]")
+    ranges = ASCII_CLASSES[name]
+    if not negated:
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+    starts = [0, *(b + 1 for _, b in ranges)]
+    gaps = [(a, b - 1) for a, (b, _) in zip(starts, ranges) if a < b]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in gaps) + f"\\u{starts[-1]:04x}-{top}"
+
+
+def _translated(pattern: str, end: str, top: str) -> str:
+    """Named classes spelled out, named groups without their names, and `$` as the end of the text."""
+    keep_ends = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    out, depth = [], 0
+    for piece in _PIECE.finditer(pattern):
+        text = piece[0]
+        if text.startswith("[:") and len(text) > 2:
+            if not depth:
+                raise ValueError(f"{text} belongs inside brackets: {pattern!r}")
+            text = _ascii_class(piece[2], bool(piece[1]), top)
+        elif text.startswith("["):
+            depth += 1
+        elif text == "]":
+            depth = max(depth - 1, 0)
+        elif not depth and text.startswith("(?"):
+            text = "("
+        elif not depth and text == "$" and not keep_ends:
+            text = end
+        out.append(text)
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=1024)
+def compiles(regex: str) -> bool:
+    """Whether the engine that runs Spark's regex functions accepts the pattern; asked on the driver."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(regex)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern for Spark's regex functions, with Unicode classes and `.` stopping at \\n only.
 
-    Refused: look-around and back-references (not part of the accepted dialect) and patterns
-    that can match the empty string (engines differ in which empty hits they report).
+    Bracketed classes such as [[:alpha:]] are ASCII, (?P<name>...) is a group, and `$` is the end of the text
+    unless the pattern sets the multi-line flag.
+
+    Refused: look-around, back-references, atomic groups and possessive quantifiers (not part of the accepted
+    dialect) and patterns that can match the empty string (engines differ in which empty hits they report).
     """
-    if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9])", pattern):
-        raise ValueError(f"look-around and back-references are not supported: {pattern!r}")
+    if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:<?[=!]|>)|\\[1-9])", pattern):
+        raise ValueError(f"look-around, back-references and atomic groups are not supported: {pattern!r}")
+    if re.search(r"[+*?}]\+", re.sub(r"\\.|\[\^?\]?(?:\\.|\[:\^?[a-z]+:\]|[^\]\\])*\]", "x", pattern, flags=re.S)):
+        raise ValueError(f"possessive quantifiers are not supported: {pattern!r}")
     try:
-        can_be_empty = re.compile(pattern).search("") is not None
+        can_be_empty = re.compile(_translated(pattern, r"\Z", r"\U0010ffff")).search("") is not None
     except re.error:  # valid for Java only, e.g. \p{L}
         can_be_empty = False
     if can_be_empty or re.fullmatch(r"(?:\\[bB]|\^|\$)+", pattern):
         raise ValueError(f"pattern can match the empty string: {pattern!r}")
-    if pattern.endswith("$") and not pattern.endswith(r"\$") and "(?m" not in pattern:
-        pattern = pattern[:-1] + r"\z"
-    return "(?Ud)" + pattern
+    return "(?Ud)" + _translated(pattern, r"\z", r"\x{10ffff}")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,6 +150,8 @@ def _by_charset(content: Column, pattern: str, search: Callable[[Column, Column]
     """The search with Unicode classes, or on pure ASCII content, where both mean the same, with
     the faster ASCII classes."""
     unicode_regex = java_pattern(pattern)
+    if not compiles(unicode_regex):
+        raise ValueError(f"not a valid pattern: {pattern!r}")
     ascii_regex = unicode_regex.replace("(?Ud)", "(?d)", 1)
     ascii_only = F.octet_length(content) == F.length(content)
     return F.when(ascii_only, search(content, F.lit(ascii_regex))).otherwise(

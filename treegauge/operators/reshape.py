@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.functions.paths import file_name
-from treegauge.functions.text import round_half_up
+from treegauge.functions.text import compiles, round_half_up
 from treegauge.operators.views import deepest, group_key
 
 
@@ -60,11 +59,9 @@ def search_leaves(
     if not query.strip():
         return leaves
     if regex:
-        try:
-            re.compile(query)
-        except re.error:
-            return leaves
         pattern = ("(?U)" if case_sensitive else "(?iU)") + query
+        if not compiles(pattern):
+            return leaves
         hits = [F.col(c).rlike(pattern) for c in ("label", "group")]
     elif case_sensitive:
         hits = [F.contains(F.col(c), F.lit(query)) for c in ("label", "group")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,44 +79,35 @@ def run_user_analyzers(
 ) -> DataFrame:
     """Raw results, one row per file, side and analyzer: parsed entries, or an error.
 
-    The user code sees whole texts; a failure loses only its own file and analyzer. Write the
+    All analyzers run in one pass over the changes. The user code sees whole texts; a failure loses only its own file and analyzer. Write the
     result out before taking several of metrics, matches and errors from it, or the code runs
     once for each.
     """
-    frames = []
-    for analyzer in analyzers:
-        run = _run(analyzer.func)
-        old_path = F.coalesce("old_file_path", "file_path")
-        frames.append(
-            file_changes.where(runs_on(analyzer, rules))
-            .select(
-                *FILE_KEYS,
+    old_path = F.coalesce("old_file_path", "file_path")
+    calls, runs = [], []
+    for i, analyzer in enumerate(analyzers):
+        run, fits = _run(analyzer.func), runs_on(analyzer, rules)
+        calls += [
+            run(old_path, F.when(fits, F.col("old_content")), "change_type").alias(f"_before{i}"),
+            run("file_path", F.when(fits, F.col("content")), "change_type").alias(f"_after{i}"),
+        ]
+        runs += [
+            F.struct(
                 F.lit(analyzer.analyzer_id).alias("analyzer_id"),
-                run(old_path, "old_content", "change_type").alias("_before"),
-                run("file_path", "content", "change_type").alias("_after"),
+                F.lit(side).alias("side"),
+                F.col(f"_{side}{i}.output").alias("output"),
+                F.col(f"_{side}{i}.error").alias("error"),
+                tag_literal(analyzer.tags).cast("map<string,string>").alias("overrides"),
             )
-            .select(
-                *FILE_KEYS,
-                "analyzer_id",
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(side).alias("side"),
-                                F.col(f"_{side}.output").alias("output"),
-                                F.col(f"_{side}.error").alias("error"),
-                            )
-                            for side in ("before", "after")
-                        ]
-                    )
-                ),
-            )
-            .where("output IS NOT NULL OR error IS NOT NULL")
-            .withColumn("entries", parse_analyzer_output(F.col("output")))
-            .withColumn("overrides", tag_literal(analyzer.tags))
-            .drop("output")
-        )
-    return reduce(DataFrame.unionByName, frames)
+            for side in ("before", "after")
+        ]
+    return (
+        file_changes.select(*FILE_KEYS, *calls)
+        .select(*FILE_KEYS, F.inline(F.array(*runs)))
+        .where("output IS NOT NULL OR error IS NOT NULL")
+        .withColumn("entries", parse_analyzer_output(F.col("output")))
+        .drop("output")
+    )
 
 
 def user_entries(results: DataFrame) -> DataFrame:

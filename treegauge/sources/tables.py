@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from treegauge.functions.text import round_half_up
 
 
-def write_scan_table(table: DataFrame, path: str, mode: str = "append") -> None:
+def write_scan_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write rows partitioned by scan_id.
 
+    The scans in the table replace their stored rows, so a scan that is written again does not double;
+    other scans stay. Mode "append" adds rows to a scan.
+
     The rebalance hint groups the rows of a scan into few files and lets Spark split a scan that
     is much larger than the rest over many tasks.
     """
-    table.hint("rebalance", "scan_id").write.mode(mode).partitionBy("scan_id").parquet(path)
+    table.hint("rebalance", "scan_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
 def read_scan_table(spark: SparkSession, path: str, scan_id: int | None = None) -> DataFrame:
