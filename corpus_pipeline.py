@@ -28,14 +28,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id, and one row of it.
+    """One row of each group of near copies stays, of its smallest id; null and repeated ids are no exception.
 
     Documents without words (null or empty text) are no copies of each other and stay.
     """
-    kept = written(near_texts.join_near_texts(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    matched = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
-    nameless = docs.where("doc_id is null")
-    return matched.union(nameless).dropDuplicates()
+    return near_texts.drop_near_texts(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

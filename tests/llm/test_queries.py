@@ -40,3 +40,21 @@ def test_pipeline_stages_on_awkward_rows(spark):
     assert corpus_pipeline.drop_repeated_lines(spark, docs, SF).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies_go_under_null_and_repeated_ids(spark):
+    def text(kind, end=""):
+        return " ".join(f"{kind}{k}" for k in range(60)) + end
+
+    rows = [(None, text("a"), "s"), (None, text("a"), "t"), (None, text("a", " more"), "s"),  # copies among null ids only
+            (1, text("b"), "s"), (None, text("b", " more"), "s"),  # a null id beside an id
+            (2, text("c"), "s"), (2, text("c", " more"), "s"), (2, text("d"), "s"), (3, text("d", " more"), "s"),  # unlike texts under one id
+            (4, text("e"), "s"), (4, text("e"), "t"), (None, None, "s"), (5, "", "s")]
+    kept = corpus_pipeline.drop_near_copies(spark, _rows(spark, rows), SF).collect()
+    kinds = sorted((r.text or "")[:1] for r in kept)
+    assert kinds == ["", "", "a", "b", "c", "d", "e"]
+    assert {(r.text[0], r.doc_id) for r in kept if r.text} == {("a", None), ("b", 1), ("c", 2), ("d", 2), ("e", 4)}

@@ -61,6 +61,13 @@ def chosen(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def row_key(columns: list[str]) -> Column:
+    """128 hash bits of all values of a row, as hex digits; nulls count by their place."""
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = [v.isNull() for v in values]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(part), *values, *nulls)), 16, "0") for part in "12"])
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -14,7 +14,8 @@
 
 A text with fewer words than n has one n-gram, all its words; a text without words (null, empty) has none
 and links with nothing. Links join classes; n_links counts linked classes with other words. Rows with a null id take part
-as one more document; ties and repeated rows fall into one class. Extra columns are not read. An empty table gives an empty result.
+as one more document; ties and repeated rows fall into one class. An id that several texts carry names none of them: their
+classes get stand-ins like those without ids. `drop_near_texts` tells rows apart by a hash of all their values. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import chosen, forget, written
+from treegauge.llm.common import forget, row_key, written
 from treegauge.llm.components import components
 
 N = 5
@@ -78,7 +79,7 @@ def shingles(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
         rolled = np.zeros(len(words), dtype=np.uint64)
         for k in range(n):
             shifted = np.zeros(len(words), dtype=np.uint64)
-            shifted[: len(words) - k] = words[k:]
+            shifted[: max(len(words) - k, 0)] = words[k:]
             rolled = _mix(rolled * _MULTIPLY + shifted + np.uint64(k))
         place = np.arange(begins[-1]) - np.repeat(begins[:-1], grams) + np.repeat(ends[:-1], grams)
         out = rolled[place]
@@ -106,7 +107,7 @@ def _key(words: list[bytes]) -> bytes:
 
 
 def _signed(n: int, bands: int, rows: int):
-    """doc_id, hash of the words, number of words, band hashes (null without words)."""
+    """doc_id, row, hash of the words, band hashes (null without words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -121,7 +122,7 @@ def _signed(n: int, bands: int, rows: int):
                     hashes = band_hashes(grams, np.append(begins[full], begins[-1]), bands, rows).view(np.int64)
                     for i, row in zip(full, hashes):
                         signatures[i] = row
-                yield pd.DataFrame({"doc_id": block["doc_id"].to_numpy(), "content": keys, "bands": signatures})
+                yield pd.DataFrame({"doc_id": block["doc_id"].to_numpy(), "row": block["row"].to_numpy(), "content": keys, "bands": signatures})
 
     return run
 
@@ -212,23 +213,48 @@ def _meetings(members: DataFrame, block: int, packs: int) -> DataFrame:
 def join_near_texts(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                     block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, class_id (smallest id with these words), n_links (linked classes), component_id, kept."""
-    source = chosen(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(source.mapInPandas(_signed(n, bands, rows), "doc_id long, content binary, bands array<long>"), "signed")
+    return _judged(docs, F.lit(None).cast("string"), n, threshold, bands, rows, block, doc_id, text).select(
+        "doc_id", "class_id", "n_links", "component_id", "kept")
+
+
+def drop_near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with all columns: one row of each component stays, whatever its id; of rows without words, all that differ."""
+    judged = _judged(docs, row_key(docs.columns), N, THRESHOLD, BANDS, ROWS, BLOCK, doc_id, text).where("kept")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    wordless = F.col("group").isNull()
+    stays = written(
+        judged.where(~wordless).groupBy("group").agg(F.min(place).alias("p")).select(F.col("p.row").alias("_row"))
+        .union(judged.where(wordless).select("row").distinct()), "kept")
+    keyed = docs.withColumn("_row_key", row_key(docs.columns))
+    return keyed.join(stays, F.col("_row_key") == F.col("_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates()
+
+
+def _judged(docs: DataFrame, row: Column, n: int, threshold: float, bands: int, rows: int, block: int, doc_id: str, text: str) -> DataFrame:
+    """The columns of `join_near_texts`, `row` and `group`, which names a component and is null without words."""
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), row.alias("row"))
+    signed = written(source.mapInPandas(_signed(n, bands, rows), "doc_id long, row string, content binary, bands array<long>"), "signed")
+    source = source.drop("row")
+    # an id with several texts names none of them
+    shared = written(signed.where("doc_id is not null and bands is not null").groupBy("doc_id")
+                     .agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select(F.col("doc_id").alias("s_id")), "shared-ids")
+    own_id = F.when(F.col("s_id").isNull(), F.col("doc_id"))
     stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("content"), F.lit(NO_ID - 1))
     classes = written(
-        signed.where("bands is not null").groupBy("content").agg(F.min("doc_id").alias("smallest"), F.first("bands").alias("bands"))
-        .select("content", F.coalesce("smallest", stand_in).alias("class_id"), F.col("smallest").isNull().alias("no_id"), "bands"),
+        signed.where("bands is not null").join(shared, F.col("doc_id") == F.col("s_id"), "left").groupBy("content")
+        .agg(F.min("doc_id").alias("smallest"), F.min(own_id).alias("own"), F.first("bands").alias("bands"))
+        .select("content", "smallest", F.coalesce("own", stand_in).alias("class_id"), F.col("own").isNull().alias("no_id"), "bands"),
         "classes")
     groups = written(candidate_groups(classes), "groups")
     packs = max(1, groups.count() // block)
-    texts = source.select(F.col("doc_id").alias("t_id"), "text")
+    texts = source.where("doc_id is not null").join(shared, F.col("doc_id") == F.col("s_id"), "left_anti").select(F.col("doc_id").alias("t_id"), "text")
+    loose = source.where("doc_id is null").union(source.join(shared, F.col("doc_id") == F.col("s_id"), "left_semi"))
     nameless = classes.where("no_id").select("content", F.col("class_id").alias("n_id"))
     unnamed = (
-        source.where("doc_id is null").mapInPandas(_keyed, "content binary, text string")
+        loose.mapInPandas(_keyed, "content binary, text string")
         .groupBy("content").agg(F.first("text").alias("text")).join(nameless, "content").select(F.col("n_id").alias("t_id"), "text")
     )
     wanted = groups.join(classes, "class_id").select("class_id", "grp", "bands")
-    carried = wanted.join(texts.where("t_id is not null").union(unnamed), F.col("class_id") == F.col("t_id"))
+    carried = wanted.join(texts.union(unnamed), F.col("class_id") == F.col("t_id"))
     carried = written(carried.select("class_id", "grp", "bands", "text").dropDuplicates(["class_id", "text"]), "carried")
     meetings = _meetings(groups, block, packs).join(carried.drop("grp"), "class_id")
     found = written(
@@ -236,19 +262,26 @@ def join_near_texts(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, b
     links = found.groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0")
     joined = components(found.where("b is not null"))
     forget(carried)
+    # the class with the smallest id stands for its component
+    heads = (
+        joined.join(classes, F.col("node") == F.col("class_id"))
+        .groupBy(F.col("component").alias("h_component")).agg(F.min(F.struct(F.col("smallest").isNull(), "smallest", "class_id")).alias("head"))
+    )
     named = (
         classes.join(links, F.col("class_id") == F.col("a"), "left")
-        .join(joined, F.col("class_id") == F.col("node"), "left")
-        .select(F.col("content").alias("c_content"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                F.coalesce("component", "class_id").alias("component"))
+        .join(joined.join(heads, F.col("component") == F.col("h_component")), F.col("class_id") == F.col("node"), "left")
+        .select(F.col("content").alias("c_content"), "smallest", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                F.coalesce("component", "class_id").alias("group"),
+                F.when(F.col("head").isNull(), F.col("smallest")).otherwise(F.col("head.smallest")).alias("head_id"),
+                (F.col("head").isNull() | (F.col("head.class_id") == F.col("class_id"))).alias("is_head"))
     )
-    own = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component", "doc_id")
+    wordless = F.col("group").isNull()
     return (
-        signed.select("doc_id", "content").join(named, F.col("content") == F.col("c_content"), "left")
-        .select("doc_id", F.when(own < NO_ID, own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                F.when(component < NO_ID, component).alias("component_id"),
-                F.when(F.col("doc_id").isNull(), component.isNull() | (component >= NO_ID)).otherwise(F.col("doc_id") == component).alias("kept"))
+        signed.select("doc_id", "row", "content").join(named, F.col("content") == F.col("c_content"), "left")
+        .select("doc_id", "row", "group", F.when(wordless, F.col("doc_id")).otherwise(F.col("smallest")).alias("class_id"),
+                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                F.when(wordless, F.col("doc_id")).otherwise(F.col("head_id")).alias("component_id"),
+                (wordless | (F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("smallest")))).alias("kept"))
     )
 
 
