@@ -11,7 +11,6 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from treegauge.llm import bpe, line_dedup, mixing, near_texts, toxicity
 from treegauge.llm.common import read_table, written
@@ -37,10 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: a row for each time that the mix takes a document."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(
-        F.col("doc_id").alias("_taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered corpus queries against their SQL twins, and the pipeline stage by stage."""
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -58,3 +59,15 @@ def test_near_copies_go_under_null_and_repeated_ids(spark):
     kinds = sorted((r.text or "")[:1] for r in kept)
     assert kinds == ["", "", "a", "b", "c", "d", "e"]
     assert {(r.text[0], r.doc_id) for r in kept if r.text} == {("a", None), ("b", 1), ("c", 2), ("d", 2), ("e", 4)}
+
+
+def test_mix_writes_each_row_as_often_as_it_is_taken(spark):
+    rows = [(None if k % 3 else k % 4, " ".join(f"w{k}x{j}" for j in range(5 + k % 7)), f"s{k % 3}") for k in range(120)]
+    rows += [(None, "same words here", "s0")] * 9 + [(None, "", "s1"), (None, None, "s1")]
+    docs = _rows(spark, rows)
+    written = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix(spark, docs, SF).collect())
+    held = Counter(rows)
+    assert all(row in held and n <= 2 * held[row] for row, n in written.items()) and not any(not row[1] for row in written)
+    words = sum(n * len(row[1].split()) for row, n in written.items())
+    assert words == sum(r.taken for r in corpus_pipeline.mixing.mix_sources(docs).collect())
+    assert words <= 1.5 * sum(len((t or "").split()) for _, t, _ in rows)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import chosen, word_count, written
+from treegauge.llm.common import row_key, word_count, written
 
 #: Hash ranges of a source, and virtual-time ranges up to virtual time 1.
 RANGES = 4096
@@ -61,7 +61,7 @@ def _queued(sized: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("source").alias("r_source"), F.col("range").alias("r_range"),
         F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_start"),
     )
-    inside = (Window.partitionBy("source", "range").orderBy("shuffle", "doc_id", "size")
+    inside = (Window.partitionBy("source", "range").orderBy("shuffle", "doc_id", "size", "row")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queue = (
         sized.withColumn("within", F.sum("size").over(inside))
@@ -70,7 +70,7 @@ def _queued(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
     renamed = targets.withColumnRenamed("source", "t_source")
     return queue.join(renamed, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "doc_id", "size", "position", "source_size", "target", "done")
+        "doc_id", "row", "size", "position", "source_size", "target", "done")
 
 
 def _finish(turn: int) -> Column:
@@ -109,10 +109,32 @@ def _cut(queue: DataFrame, max_repeats: int, budget: float):
 def mix_sources(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS,
                 seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    rows = chosen(docs, doc_id=doc_id, source=source, text=text)
+    return _mixed(docs, F.lit(None).cast("string"), share, max_repeats, weights, seed, doc_id, source, text).drop("row")
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS,
+               seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with all columns: every row as often as the mix takes that very row.
+
+    Rows go by a hash of all their values. Rows equal in every column are one for that: written as often as all of them are taken.
+    """
+    queue = _mixed(docs, row_key(docs.columns), share, max_repeats, weights, seed, doc_id, source, text)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    taken = written(queue.groupBy(F.col("row").alias("_taken_row")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_equal"))
+                    .where("_times > 0"), "mix-taken")
+    joined = docs.withColumn("_row_key", row_key(docs.columns)).join(taken, F.col("_row_key") == F.col("_taken_row")).drop("_row_key", "_taken_row")
+    if not taken.where("_equal > 1").isEmpty():
+        joined = joined.where("_equal = 1").union(joined.where("_equal > 1").dropDuplicates())
+    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _mixed(docs: DataFrame, row: Column, share: float, max_repeats: int, weights: tuple[int, ...], seed: str, doc_id: str, source: str,
+           text: str) -> DataFrame:
+    """The columns of `mix_sources` and `row`, which travels with its row."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), row.alias("row"))
     shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = written(
-        rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle"))
+        rows.select("doc_id", "source", "row", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle"))
         .withColumn("range", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")),
         "mix-sizes")
     targets = written(source_targets(sized, share, max_repeats, weights), "mix-targets")
@@ -132,7 +154,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weigh
                 inside = inside | ((_time_range(finish) == cut[0]) & (place <= end))
         usable = (F.col("size") > 0) & (F.col("target") > 0)
         taken = taken + F.when(usable, F.when(inside, F.col("size")).otherwise(0)).otherwise(0)
-    return queue.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return queue.select("doc_id", "row", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 SQL = r"""
