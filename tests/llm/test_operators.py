@@ -206,6 +206,13 @@ def test_template_lines_deplete(spark):
     assert dict(quality.remove_template_lines(frame(spark, rows)).collect())[1] == rows[1][1].split("\n")[1]
 
 
+def test_hot_hosts_keep_no_template_lines(spark):
+    template = " ".join(f"menu{k}" for k in range(60))
+    rows = [(k, template + "\n" + f"own{k}" if k < 200 else " ".join(f"y{k}x{j}" for j in range(60)), "hot") for k in range(3000)]
+    kept = {r.doc_id: r.kept for r in quality.score_documents(frame(spark, rows)).collect()}
+    assert not any(kept[k] for k in range(200)) and all(kept[k] for k in range(200, 3000))
+
+
 def test_near_texts_in_blocks_of_any_size(spark, awkward):
     rng = random.Random(9)
     base = [f"v{k}" for k in rng.choices(range(1000), k=120)]

@@ -1,14 +1,14 @@
 """Quality rules, with the frequency of lines across the documents of a host.
 
 Every line of a text is normalised (lower case, white space to single spaces) and hashed. Per host
-(column `source`) the distinct contents that hold a line are counted; a copy of a text counts
-once, however often it is there. Lines above both limits are template lines and go. A document is depleted, and
+(column `source`) the distinct contents that hold a line are counted; a copy of a text counts once.
+Lines above the limit are template lines and go. A document is depleted, and
 rejected, when template lines held more than `max_lost` of its words. Base rules reject short texts
 and texts that repeat themselves.
 
 Whole texts are read once, in Arrow batches; counts and joins run on hashes in Spark, with sums before
-every shuffle. Limits are shares of a host's distinct contents with a floor, so they mean the same at
-every size.
+every shuffle. The limit is a number of documents that grows with the logarithm of the host's size, so that a
+hot host keeps no line that hundreds of its documents repeat.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows with
 the same id and text are one document: each gets that document's result. Extra columns are not read. An
@@ -36,7 +36,8 @@ _SPACE = re.compile("[\x20\x09-\x0d]")
 #: Base rules: fewest words, and most words in repeated windows of three, in percent.
 MIN_WORDS = 50
 MAX_REPEATED = 50
-#: A template line is in more than this share of a host's distinct contents, and in more than the floor.
+#: A template line is in more documents of a host than the floor. Where the share is above the floor, the limit is
+#: the floor and once more the floor for every tenfold of share over floor.
 LINE_SHARE = 0.1
 LINE_FLOOR = 20
 #: A document may lose this share of its words to template lines.
@@ -105,12 +106,13 @@ def _same(left: str, right: str) -> Column:
 
 
 def template_lines(measured: DataFrame, line_share: float, line_floor: int) -> DataFrame:
-    """(t_host, line): lines in more distinct contents of a host than both limits allow."""
+    """(t_host, t_line): lines in more documents of a host than the limit allows."""
     contents = measured.select("host", "content").distinct()
-    hosts = contents.groupBy("host").agg(F.count("*").alias("n_contents")).withColumnRenamed("host", "h_host")
+    hosts = contents.groupBy("host").agg(F.count("*").alias("n_docs")).withColumnRenamed("host", "h_host")
     lines = measured.dropDuplicates(["host", "content"]).select("host", F.explode("lines").alias("l"))
     counts = lines.groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("n")).where(F.col("n") > line_floor)
-    return (counts.join(hosts, _same("host", "h_host")).where(F.col("n") > line_share * F.col("n_contents"))
+    over = F.log10(F.greatest(F.lit(1.0), line_share * F.col("n_docs") / max(line_floor, 1)))
+    return (counts.join(hosts, _same("host", "h_host")).where(F.col("n") > line_floor * (1 + over))
             .select(F.col("host").alias("t_host"), F.col("line").alias("t_line")))
 
 
