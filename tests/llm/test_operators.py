@@ -213,6 +213,14 @@ def test_hot_hosts_keep_no_template_lines(spark):
     assert not any(kept[k] for k in range(200)) and all(kept[k] for k in range(200, 3000))
 
 
+def test_copies_count_as_documents(spark):
+    text = " ".join(f"z{k}" for k in range(60))
+    rows = [(k, text, "h") for k in range(30)] + [(50, text + "\nan end of its own", "h")]
+    rows += [(60, text, None)] + [(70, text.upper(), "once")] * 30
+    got = {r.doc_id: r.n_template_words for r in quality.score_documents(frame(spark, rows)).collect()}
+    assert got[0] == got[29] == got[50] == 60 and got[60] == got[70] == 0
+
+
 def test_near_texts_in_blocks_of_any_size(spark, awkward):
     rng = random.Random(9)
     base = [f"v{k}" for k in rng.choices(range(1000), k=120)]

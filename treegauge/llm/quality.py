@@ -1,7 +1,7 @@
 """Quality rules, with the frequency of lines across the documents of a host.
 
 Every line of a text is normalised (lower case, white space to single spaces) and hashed. Per host
-(column `source`) the distinct contents that hold a line are counted; a copy of a text counts once.
+(column `source`) the documents that hold a line are counted, copies of a text under other ids too.
 Lines above the limit are template lines and go. A document is depleted, and
 rejected, when template lines held more than `max_lost` of its words. Base rules reject short texts
 and texts that repeat themselves.
@@ -107,10 +107,15 @@ def _same(left: str, right: str) -> Column:
 
 def template_lines(measured: DataFrame, line_share: float, line_floor: int) -> DataFrame:
     """(t_host, t_line): lines in more documents of a host than the limit allows."""
-    contents = measured.select("host", "content").distinct()
-    hosts = contents.groupBy("host").agg(F.count("*").alias("n_docs")).withColumnRenamed("host", "h_host")
-    lines = measured.dropDuplicates(["host", "content"]).select("host", F.explode("lines").alias("l"))
-    counts = lines.groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("n")).where(F.col("n") > line_floor)
+    # host and content in one key without nulls: both sides of the join come shuffled by it already
+    keyed = measured.withColumn("text_key", F.concat("content", F.when(F.col("host").isNull(), F.lit(b"\0")).otherwise(
+        F.concat(F.lit(b"\1"), F.col("host").cast("binary")))))
+    documents = keyed.select("host", "text_key", "doc_id").distinct()
+    hosts = documents.groupBy("host").agg(F.count("*").alias("n_docs")).withColumnRenamed("host", "h_host")
+    copies = documents.groupBy("text_key").agg(F.count("*").alias("copies"))
+    lines = (keyed.select("text_key", "host", "lines").dropDuplicates(["text_key"]).join(copies, "text_key")
+             .select("host", "copies", F.explode("lines").alias("l")))
+    counts = lines.groupBy("host", F.col("l.line").alias("line")).agg(F.sum("copies").alias("n")).where(F.col("n") > line_floor)
     over = F.log10(F.greatest(F.lit(1.0), line_share * F.col("n_docs") / max(line_floor, 1)))
     return (counts.join(hosts, _same("host", "h_host")).where(F.col("n") > line_floor * (1 + over))
             .select(F.col("host").alias("t_host"), F.col("line").alias("t_line")))
