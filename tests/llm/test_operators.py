@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -262,6 +263,32 @@ def test_licenses(spark):
     assert got[2] == got[3] == ("", "", None) and got[4] == ("fg", "MIT", "MIT")
 
 
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     https://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software is distributed on an "AS IS" BASIS.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+
+
+def test_wrapped_licences(spark):
+    def wrap(keys, sign, width=70):
+        text = " ".join((licenses.SENTENCES | licenses.MORE_SENTENCES)[k] for k in keys)
+        return "\n".join(sign + line for line in textwrap.wrap(text, width))
+
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. "
+    texts = {1: "/* Copyright\n" + APACHE, 2: "MIT License\n\n" + wrap("fgh", "# "), 3: wrap("jk", "// "), 4: wrap("oq", "REM ", 50),
+             5: licenses.SENTENCES["o"] + " 1. Redistributions of source code. 3. " + licenses.SENTENCES["p"] + "\r\n" + wrap("q", "; "),
+             6: mpl + "2.0.", 7: mpl + "1.1.", 8: wrap("B", " * "), 9: "It was released under the MIT\nLicense. No more.", 10: wrap("e", "", 12)}
+    got = {r.doc_id: (r.sentence_ids, r.license) for r in licenses.scan_licenses(frame(spark, [(k, t, "s") for k, t in texts.items()])).collect()}
+    assert got == {1: ("bcd", "Apache-2.0"), 2: ("fgh", "MIT"), 3: ("jk", "GPL-3.0-or-later"), 4: ("oq", "BSD-2-Clause"), 5: ("opq", "BSD-3-Clause"),
+                   6: ("r", "MPL-2.0"), 7: ("", None), 8: ("B", "LGPL-2.1-or-later"), 9: ("", None), 10: ("e", "MIT")}
+
+
 def test_maximal_segments_against_the_definition():
     rng = random.Random(4)
     for _ in range(200):

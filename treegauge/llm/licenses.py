@@ -1,12 +1,16 @@
 """Licence scans by sentence rules; DataFrame functions only.
 
-A text is split into sentences, each is normalised (lower case, runs of other signs than a-z and 0-9
-to one space) and looked up among known licence sentences. The identifiers found, in the order of the
-text, are matched against licence rules, each an ordered list of identifiers with anything known
+A text is normalised as a whole (lower case, runs of other signs than a-z and 0-9 to one space, or to one mark where
+a sentence, a line or a list mark ends). Known licence sentences are looked for from one mark to another, over any marks inside them,
+so it does not matter where a notice is wrapped or which comment signs stand before its lines. The identifiers found, in the order of
+the text, are matched against licence rules, each an ordered list of identifiers with anything known
 between them. One narrow stage: whole texts are read once and nothing is shuffled.
 
 Null and empty texts have no sentences and no licence. Repeated rows give repeated results. Other
 columns are not read. An empty table gives an empty result.
+
+The SQL twin is the narrower rule of one sentence a line, without `MORE_SENTENCES`; on the given tables, whose notices
+stand so, both agree.
 """
 
 from __future__ import annotations
@@ -41,6 +45,18 @@ SENTENCES = {
     "s": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Notices of further licences, which the SQL twin does not know.
+MORE_SENTENCES = {
+    "A": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "B": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "C": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "D": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "E": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "F": "This is free and unencumbered software released into the public domain.",
+    "G": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "H": "Distributed under the Boost Software License, Version 1.0.",
+}
+
 #: (licence, identifiers in order). The first rule that matches names the licence of a text.
 RULES = (
     ("Apache-2.0", "bcd"), ("Apache-2.0", "bc"), ("Apache-2.0", "a"),
@@ -51,6 +67,11 @@ RULES = (
     ("MPL-2.0", "rs"), ("MPL-2.0", "r"),
 )
 
+MORE_RULES = (
+    ("GPL-2.0-or-later", "A"), ("LGPL-2.1-or-later", "B"), ("LGPL-3.0-or-later", "C"), ("AGPL-3.0-or-later", "D"),
+    ("ISC", "E"), ("Unlicense", "F"), ("Zlib", "G"), ("BSL-1.0", "H"),
+)
+
 
 def normalised(sentence: str) -> str:
     """The form that sentences are looked up by."""
@@ -58,23 +79,32 @@ def normalised(sentence: str) -> str:
 
 
 def _pieces(sentence: str) -> list[str]:
-    """A known sentence as the splitter sees it: one that holds a stop and a space comes apart."""
+    """A known sentence as the splitter of the SQL twin sees it: one that holds a stop and a space comes apart."""
     return [normalised(p) for p in re.sub(r"([.!?])\s+", r"\1\n", sentence).split("\n")]
 
 
-#: Known sentences by their normalised first piece, which the splitter always leaves whole.
+#: For the SQL twin: known sentences by their normalised first piece, which its splitter always leaves whole.
 KNOWN = {_pieces(s)[0]: key for key, s in SENTENCES.items()}
 if len(KNOWN) != len(SENTENCES):
     raise ValueError("two licence sentences start alike")
 
 
+#: All known sentences whole, longer ones first.
+WHOLE = {normalised(s): key for key, s in sorted((SENTENCES | MORE_SENTENCES).items(), key=lambda pair: -len(pair[1]))}
+_FIND = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in WHOLE) + ")(?=\n)"
+#: Ends of sentences, with quotes and brackets that close there, colons, and brackets of list marks.
+_END = r"[.!?:;][\"')\]]{0,3}(?=\s)|(?<=[^a-z0-9][a-z0-9]{1,3})\)(?=\s)|[\r\n]"
+_COMMENT_WORDS = r"(?m)^[ \t]{0,40}(?:rem|dnl)(?=[ \t])"
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, as one string."""
-    sentences = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
-    clean = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    hits = F.filter(clean, lambda s: s.isin(*KNOWN))
-    return F.coalesce(F.concat_ws("", F.transform(hits, lambda s: F.element_at(known, s))), F.lit(""))
+    plain = F.replace(F.regexp_replace(F.lower(text), _COMMENT_WORDS, ""), F.lit("https://"), F.lit("http://"))
+    marked = F.concat(F.lit("\n"), F.regexp_replace(plain, _END, "\n"), F.lit("\n"))
+    clean = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    known = F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair])
+    hits = F.regexp_extract_all(clean, F.lit(_FIND), F.lit(0))
+    return F.coalesce(F.concat_ws("", F.transform(hits, lambda s: F.element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))), F.lit(""))
 
 
 def _pattern(rule: str) -> str:
@@ -85,7 +115,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Per document: doc_id, n_sentences known, sentence_ids, licenses (all, in rule order), license (the first)."""
     rows = chosen(docs, doc_id=doc_id, text=text).select("doc_id", identifiers(F.col("text")).alias("sentence_ids"))
     found = F.array_distinct(F.array_compact(F.array(
-        *[F.when(F.col("sentence_ids").rlike(_pattern(rule)), F.lit(name)) for name, rule in RULES])))
+        *[F.when(F.col("sentence_ids").rlike(_pattern(rule)), F.lit(name)) for name, rule in RULES + MORE_RULES])))
     return (
         rows.withColumn("found", found)
         .select("doc_id", F.length("sentence_ids").cast("bigint").alias("n_sentences"), "sentence_ids",
