@@ -294,13 +294,47 @@ def test_maximal_segments_against_the_definition():
     for _ in range(200):
         values = np.array([rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(0, 30))], dtype=float)
 
-        def best(lo, hi):
+        def best(lo, hi, values):
             sums = [(values[a:b].sum(), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
             top = max(sums, default=(0,))
-            return [] if top[0] <= 0 else best(lo, top[3]) + [(top[3], top[4], top[0])] + best(top[4], hi)
+            return [] if top[0] <= 0 else best(lo, top[3], values) + [(top[3], top[4], top[0])] + best(top[4], hi, values)
 
-        got, expected = toxicity.maximal_segments(values), best(0, len(values))
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in expected))
+        shift = values + np.linspace(0.01, 0.02, len(values)) ** 2  # no ties: the definition names the segments
+        got, expected = toxicity.maximal_segments(shift), best(0, len(values), shift)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in expected])
+
+
+def test_evidence_of_several_segments_adds_up():
+    one, two = toxicity.joint_evidence([4.0]), toxicity.joint_evidence([4.0, 4.0])
+    assert one == 4.0 and two > 5 and toxicity.joint_evidence([]) == -math.inf
+    assert toxicity.joint_evidence([4.0, -3.0]) == 4.0
+
+
+def test_toxic_stems_add_up_and_short_beginnings_do_not_borrow(spark):
+    rng = random.Random(5)
+    parts = ["ka", "lo", "mi", "ru", "se", "ta", "ne", "po", "vu", "gi"]
+    rows, labels = [], []
+    for i in range(1200):
+        text = ["".join(rng.choices(parts, k=4)) for _ in range(80)]
+        if i % 6 == 0:
+            for _ in range(5):
+                text[rng.randrange(80)] = "zorka" + "".join(rng.choices(parts, k=2))
+        elif i % 2:
+            text[3] = "zor" + "".join(rng.choices(parts[1:], k=3))
+        rows.append((i, " ".join(text), "s"))
+        labels.append((i, int(i % 6 == 0)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert "zorka" in model.scores and "zor" not in model.scores
+    got = toxicity.score_toxicity(docs, labels).where("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id % 6 == 0) for r in got]) > 0.98
+
+
+def test_the_labelled_sample_is_bounded_in_rows(spark):
+    docs = frame(spark, [(k % 7, f"text {k}", "s") for k in range(300)])
+    labels = spark.createDataFrame([(k, 1) for k in range(7)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 2).count() <= 2
 
 
 def test_toxicity_learns_and_never_from_held_out_rows(spark):

@@ -1,23 +1,29 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Fit, on a bounded sample of labelled rows (`MAX_LABELLED`):
-1. For every token the distinct lines that hold it are counted, in toxic and in other texts (neither
-   copies nor repetition may count as evidence); for the tokens that this leaves, distinct neighbours
-   are counted, as near copies repeat a token between the same words. Tokens get log-odds with an informative Dirichlet prior: the prior of a token is
-   its share of all tokens times `PRIOR`. A token's score is the lower end of its confidence interval where
-   that is above 0, else 0, less a drift, so that a random text has a negative mean.
+Fit, on a bounded sample of labelled rows (`max_labelled`, one text an id):
+1. Units of evidence are whole tokens and their beginnings of `LEAST_STEM` letters and more, so that the forms of one
+   stem add up, in any language. For every unit the distinct lines that hold it are counted, in toxic and in other
+   texts; for the units that this leaves, distinct neighbours of its tokens are counted (neither copies nor
+   repetition count as evidence, and near copies repeat a token between the same words). Units get log-odds with an
+   informative Dirichlet prior: the prior of a unit is its share of all tokens times `PRIOR`. A unit's score is the
+   lower end of its confidence interval where that is above `LEAST_SCORE`. Each token is then given to one of its
+   units, the longest of those within `LEVEL` of the best, and units are counted again over their own tokens only:
+   a short beginning does not live on the evidence of a longer one. A token's score is its best unit's, less a drift,
+   so that a random text has a negative mean.
 2. On the other part of the sample, segments of texts without the label give the constants of the
    extreme-value law E = K n exp(-lambda S): the expected number of segments of score S or more in n tokens.
-3. A logistic curve maps the evidence of a text to a probability.
+3. A logistic curve, fitted on that part too, maps the evidence of a text to a probability.
 
 Score, over all texts: a linear scan finds every maximal segment; only tokens with a positive score
 open one, so the scan touches those and the running sums between. Segments with E below `SIGNIFICANT`
-are toxic passages, their evidence (lambda S - ln K n) is added up. The model is of bounded size
-(`MAX_TOKENS` scores), so scoring is one narrow stage over whole texts.
+are toxic passages. The evidence of a text is that of its r best segments together, for the r that says most: the sum
+of their normalised scores lambda S - ln K n follows exp(-t) t^(r-1) / (r! (r-1)!), and trying r costs r - 1 bits.
+The model is of bounded size (a score a labelled row at most), so scoring is one narrow stage over whole texts.
 
 Null and empty texts have no tokens and get the score of a text without evidence. A null id counts as
 the empty string for the split. Null labels are not used; of several labels for an id the largest
-counts. Without labelled rows of both kinds every text gets the share of toxic rows (0.5 without rows).
+counts, of several texts the one with the smallest hash. Without labelled rows of both kinds every text gets the share
+of toxic rows (0.5 without rows). Very long texts are scanned whole in linear time.
 Repeated rows give repeated results; extra columns are not read; an empty table gives an empty result.
 """
 
@@ -36,19 +42,27 @@ from pyspark.sql import functions as F
 
 from treegauge.llm.common import chosen, written
 
+#: Bound on the labelled rows that a model is fitted on, and on its scores.
 MAX_LABELLED = 20_000
-MAX_TOKENS = 20_000
 PRIOR = 5_000.0
-DRIFT = 0.1
+DRIFT = 0.03
 CONFIDENCE = 2.5
-#: A token counts when it at least doubles the odds.
+#: A unit counts when it at least doubles the odds.
 LEAST_SCORE = math.log(2)
+LEAST_STEM = 3
+LEVEL = 0.5
+#: Rounds of giving tokens to units and counting these again.
+ROUNDS = 3
 #: The rate of the extreme-value law starts as if so many segments had exceeded the least score by 1 on average.
 PRIOR_SEGMENTS = 20
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 #: Evidence is kept between these bounds before the logistic curve.
 EVIDENCE = (-5.0, 15.0)
+#: Texts are scored as if they had so many tokens at least.
+LEAST_TOKENS = 50
+#: Distinct tokens whose scores a task remembers.
+REMEMBERED = 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -58,6 +72,11 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def units(token: str) -> list[str]:
+    """The whole token, marked by a final $, and its beginnings, the longest first."""
+    return [f"{token}$", *(token[:k] for k in range(len(token), LEAST_STEM - 1, -1))]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     scores: dict[str, float] = field(default_factory=dict)
@@ -67,38 +86,65 @@ class ToxicityModel:
     intercept: float = 0.0
     slope: float = 0.0
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+    def scorer(self):
+        """A function from a token to its score, with a memory of bounded size."""
+        known: dict[str, float] = {}
+        starts = {u[:LEAST_STEM] for u in self.scores}
+
+        def score(token: str) -> float:
+            if token[:LEAST_STEM] not in starts and f"{token}$" not in self.scores:
+                return 0.0
+            found = known.get(token)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[token] = max((self.scores.get(u, 0.0) for u in units(token)), default=0.0)
+            return found
+
+        return score
+
+    def segments(self, words: list[str], score=None) -> list[tuple[int, int, float]]:
         """All maximal segments (start, end, score) of a token list, in order."""
-        found = [i for i, w in enumerate(words) if w in self.scores]
-        if not found:
-            return []
-        values = np.full(len(words), -self.drift)
-        values[found] = [self.scores[words[i]] - self.drift for i in found]
-        return maximal_segments(values)
+        values = np.array([*map(score or self.scorer(), words)])
+        return maximal_segments(values - self.drift) if values.any() else []
 
     def evidence(self, score: float, n: int) -> float:
         """-ln E of a segment among n tokens."""
-        return self.rate * score - math.log(self.space * n)
+        return self.rate * score - math.log(self.space * max(n, LEAST_TOKENS))
 
-    def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
+    def passages(self, words: list[str], score=None) -> list[tuple[int, int, float]]:
         """Significant segments as (start, end, evidence)."""
         least = -math.log(SIGNIFICANT)
-        scored = [(a, b, self.evidence(s, len(words))) for a, b, s in self.segments(words)]
+        scored = [(a, b, self.evidence(s, len(words))) for a, b, s in self.segments(words, score)]
         return [x for x in scored if x[2] >= least]
 
-    def total_evidence(self, words: list[str]) -> tuple[float, int]:
-        """Evidence of a text within bounds, and its number of passages."""
+    def text_evidence(self, scores: list[float], n: int) -> float:
+        """Evidence, within bounds, of a text of n tokens with segments of these scores."""
         low, high = EVIDENCE
-        passages = self.passages(words)
-        if passages:
-            return min(max(sum(e for _, _, e in passages), low), high), len(passages)
-        best = max((s for _, _, s in self.segments(words)), default=None)
-        return (low if best is None else min(max(self.evidence(best, len(words)), low), high)), 0
+        return min(max(joint_evidence([self.evidence(s, n) for s in scores]), low), high)
+
+    def total_evidence(self, words: list[str], score=None) -> tuple[float, int]:
+        """Evidence of a text within bounds, and its number of passages."""
+        found = [s for _, _, s in self.segments(words, score)]
+        least = -math.log(SIGNIFICANT)
+        return self.text_evidence(found, len(words)), sum(self.evidence(s, len(words)) >= least for s in found)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-(self.intercept + self.slope * evidence)))
 
 
+def joint_evidence(normalised: list[float]) -> float:
+    """-ln of the chance that the r best of these normalised scores sum to as much, for the r that says most."""
+    best, total = -math.inf, 0.0
+    for r, value in enumerate(sorted(normalised, reverse=True), 1):
+        total += value
+        if r > 1 and (value <= 0 or total <= r):
+            break
+        chance = total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r)
+        best = max(best, chance - (r - 1) * math.log(2))
+    return best
+
+
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence: linear in its length, as each candidate is merged once."""
     sums = np.concatenate([[0.0], np.cumsum(values)])
@@ -126,7 +172,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """(text, toxic, part) of at most `limit` labelled rows that may be learned from; the part is 0, 1 or 2.
 
-    The ids are bounded by `limit`, so they are broadcast and texts of other rows are not moved.
+    The ids are bounded by `limit`, so they are broadcast and texts of other rows are not moved; one text an id stays.
     """
     order = F.md5(F.concat(F.lit("fit:"), F.col("l_id").cast("string")))
     ids = (
@@ -136,7 +182,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
         .withColumn("order", order).orderBy("order", "l_id").limit(limit)
         .withColumn("part", (F.conv(F.substring("order", 1, 4), 16, 10).cast("int") % 3))
     )
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["l_id"]).select("text", "toxic", "part")
+    found = docs.join(F.broadcast(ids), docs["doc_id"] == ids["l_id"]).groupBy("l_id")
+    return found.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"),
+                     F.first("part").alias("part")).drop("l_id")
 
 
 def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,8 +196,18 @@ def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"token": words, "clean": [counts[0][w] for w in words], "toxic": [counts[1][w] for w in words]})
 
 
-def token_scores(sample: DataFrame, max_tokens: int) -> dict[str, float]:
-    """Scores of the tokens whose log-odds differ from 0, the `max_tokens` clearest at most."""
+def _by_unit(counts: DataFrame) -> DataFrame:
+    """(token, unit, clean, toxic): a row for each unit of each token."""
+    token = F.col("token")
+    stems = F.when(F.length(token) >= LEAST_STEM, F.transform(
+        F.sequence(F.lit(LEAST_STEM), F.length(token)), lambda k: F.substring(token, F.lit(1), k)))
+    whole = F.array(F.concat(token, F.lit("$")))
+    return counts.select("token", F.explode(F.concat(F.coalesce(stems, F.array().cast("array<string>")), whole)).alias("unit"),
+                         "clean", "toxic")
+
+
+def unit_scores(sample: DataFrame, most: int) -> dict[str, float]:
+    """Scores of the units whose log-odds are above 0, the `most` clearest at most."""
     lines = (
         sample.where("part < 2 and text is not null")
         .select((F.col("toxic") > 0).cast("int").alias("toxic"), F.explode(F.split("text", "\n")).alias("line")).distinct()
@@ -157,38 +215,44 @@ def token_scores(sample: DataFrame, max_tokens: int) -> dict[str, float]:
     counts = written(
         lines.mapInPandas(_count_tokens, "token string, clean long, toxic long")
         .groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
-    totals = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    n_clean, n_toxic = (float(x or 0) for x in totals)
+    n_clean, n_toxic = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
     if not n_clean or not n_toxic:
         return {}
-    likely = _clearest(counts, n_clean, n_toxic, max_tokens)
+    first = written(_clearest(_by_unit(counts), n_clean, n_toxic, most).select("unit"), "likely")
+    likely = {r["unit"] for r in first.collect()}
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
             for line, toxic in zip(part["line"], part["toxic"]):
                 words = ["", *tokens(line), ""]
-                out += [(w, toxic, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) if w in likely]
+                out += [(w, toxic, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) if not likely.isdisjoint(units(w))]
             yield pd.DataFrame(out, columns=["token", "toxic", "context"])
 
-    met = (
+    met = written(
         lines.mapInPandas(contexts, "token string, toxic int, context string").distinct()
-        .groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    )
-    return _clearest(met, n_clean, n_toxic, max_tokens)
-
-
-def _clearest(counts: DataFrame, n_clean: float, n_toxic: float, most: int) -> dict[str, float]:
-    """Tokens whose log-odds are above 0 with confidence, and the lower ends of their intervals."""
+        .groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")), "met")
+    pairs = own = _by_unit(met).join(F.broadcast(first), "unit")  # all tokens of these units were met
+    for _ in range(ROUNDS - 1):
+        scored = pairs.join(F.broadcast(_clearest(own, n_clean, n_toxic, most)), "unit")
+        best = scored.groupBy("token").agg(F.max("score").alias("best"))
+        near = scored.join(best, "token").where(F.col("score") >= F.col("best") - LEVEL)
+        own = written(near.groupBy("token", "clean", "toxic").agg(F.max_by("unit", F.length("unit")).alias("unit")), "units")
+    return {r["unit"]: r["score"] for r in _clearest(own, n_clean, n_toxic, most).collect()}
+
+
+def _clearest(pairs: DataFrame, n_clean: float, n_toxic: float, most: int) -> DataFrame:
+    """Units whose log-odds are above 0 with confidence, and the lower ends of their intervals: `most` rows at most."""
+    counts = pairs.groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0")
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic)
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (n_toxic + PRIOR - a)) - F.log(b / (n_clean + PRIOR - b))
+    rest_toxic, rest_clean = (F.greatest(n + PRIOR - x, F.lit(1.0)) for n, x in ((F.lit(n_toxic), a), (F.lit(n_clean), b)))
+    odds = F.log(a / rest_toxic) - F.log(b / rest_clean)
     margin = CONFIDENCE * F.sqrt(1 / a + 1 / b)
-    rows = (
-        counts.where("toxic > 0").select("token", (odds - margin).alias("score"))
-        .where(F.col("score") > LEAST_SCORE).orderBy(F.col("score").desc(), "token").limit(most).collect()
+    return (
+        counts.select("unit", (odds - margin).alias("score"))
+        .where(F.col("score") > LEAST_SCORE).orderBy(F.col("score").desc(), "unit").limit(most)
     )
-    return {r["token"]: r["score"] for r in rows}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -205,48 +269,50 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.05))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> ToxicityModel:
-    """The model; docs has doc_id and text, labels has doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    """The model; docs has doc_id and text, labels has doc_id and toxic. What reaches the driver is bounded by `max_labelled`."""
     sample = written(labelled_sample(docs, labels, max_labelled), "labelled")
     share = sample.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    scores = token_scores(sample, max_tokens)
+    scores = unit_scores(sample, max_labelled)
     if not scores:
         p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         return ToxicityModel(intercept=math.log(p / (1 - p)))
     draft = ToxicityModel(scores=scores)
 
     def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = draft.scorer()
         for part in batches:
             words = [tokens(t) if t is not None else [] for t in part["text"]]
             yield pd.DataFrame({"toxic": (part["toxic"] > 0).astype("int32").to_numpy(), "n": [len(w) for w in words],
-                                "segments": [[s for _, _, s in draft.segments(w)] for w in words]})
+                                "segments": [[s for _, _, s in draft.segments(w, score)] for w in words]})
 
-    rows = sample.where("part = 2").mapInPandas(segment_rows, "toxic int, n long, segments array<double>").toPandas()
-    clean = rows[rows["toxic"] == 0]
-    null = np.array([s for segments in clean["segments"] for s in segments])
+    rows = written(sample.where("part = 2").mapInPandas(segment_rows, "toxic int, n long, segments array<double>"), "segments")
     least = min(scores.values()) - DRIFT
-    rate = (len(null) + PRIOR_SEGMENTS) / (float(np.sum(null - least)) + PRIOR_SEGMENTS)
-    space = (len(null) + 0.5) * math.exp(rate * least) / max(1.0, float(clean["n"].sum()))
+    above = F.aggregate("segments", F.lit(0.0), lambda total, s: total + s - least)
+    clean = rows.where("toxic = 0").agg(F.sum(F.size("segments")), F.sum(above), F.sum("n")).first()
+    n_segments, excess, n_tokens = (float(x or 0) for x in clean)
+    rate = (n_segments + PRIOR_SEGMENTS) / (excess + PRIOR_SEGMENTS)
+    space = (n_segments + 0.5) * math.exp(rate * least) / max(1.0, n_tokens)
     model = ToxicityModel(scores=scores, rate=rate, space=space)
-    low, high = EVIDENCE
-    x = np.array([_from_segments(model, s, n, low, high) for s, n in zip(rows["segments"], rows["n"])])
-    intercept, slope = _logistic(x, rows["toxic"].to_numpy(dtype=float))
-    return ToxicityModel(scores=scores, rate=rate, space=space, intercept=intercept, slope=slope)
 
+    def evidence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"toxic": part["toxic"], "x": [model.text_evidence(list(s), n) for s, n in zip(part["segments"], part["n"])]})
 
-def _from_segments(model: ToxicityModel, segments, n: int, low: float, high: float) -> float:
-    found = [model.evidence(s, n) for s in segments]
-    strong = [e for e in found if e >= -math.log(SIGNIFICANT)]
-    return min(max(sum(strong) if strong else max(found, default=low), low), high)
+    points = rows.mapInPandas(evidence_rows, "toxic int, x double").toPandas()
+    intercept, slope = _logistic(points["x"].to_numpy(dtype=float), points["toxic"].to_numpy(dtype=float))
+    return ToxicityModel(scores=scores, rate=rate, space=space, intercept=intercept, slope=slope)
 
 
 def probability_column(model: ToxicityModel):
     """A vectorised function: text -> (score, passages)."""
 
     @F.pandas_udf("score double, passages int")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        out = [model.total_evidence(tokens(t)) if isinstance(t, str) else (EVIDENCE[0], 0) for t in texts]
-        return pd.DataFrame({"score": [model.probability(e) for e, _ in out], "passages": np.array([n for _, n in out], dtype="int32")})
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = model.scorer()
+        for texts in batches:
+            out = [model.total_evidence(tokens(t), score) if isinstance(t, str) else (EVIDENCE[0], 0) for t in texts]
+            yield pd.DataFrame({"score": [model.probability(e) for e, _ in out], "passages": np.array([n for _, n in out], dtype="int32")})
 
     return scored
 
@@ -255,11 +321,12 @@ def passage_frame(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Toxic passages: doc_id, first and last token (end excluded), evidence, the passage's tokens."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = model.scorer()
         for part in batches:
             out = []
             for doc_id, text in zip(part["doc_id"], part["text"]):
                 words = tokens(text) if isinstance(text, str) else []
-                out += [(doc_id, a, b, e, " ".join(words[a:b])) for a, b, e in model.passages(words)]
+                out += [(doc_id, a, b, e, " ".join(words[a:b])) for a, b, e in model.passages(words, score)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "evidence", "passage"])
 
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, start long, end long, evidence double, passage string")
