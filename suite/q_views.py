@@ -128,14 +128,19 @@ def e9b(spark, d):
     return metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES), errors)
 
 
-@query("E10_project_stats", over("db_projects", "SELECT * FROM db_projects"))
+@query("E10_project_stats", """
+    SELECT n_name AS name, count(o_orderkey) AS total_scans, max(o_orderdate) AS last_scan_time,
+      string_agg(DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'SNAPSHOT' WHEN o_orderkey IS NOT NULL THEN 'DIFF' END, ','
+                 ORDER BY CASE WHEN o_orderstatus = 'F' THEN 'SNAPSHOT' WHEN o_orderkey IS NOT NULL THEN 'DIFF' END) AS scan_modes
+    FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+    GROUP BY n_name""")
 def e10(spark, d):
     customers = fx.table(spark, d, "customer").join(
         fx.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     scans = fx.scans(spark, d).withColumnRenamed("project_id", "c_custkey").join(
         customers.select("c_custkey", F.col("n_nationkey").alias("project_id")), "c_custkey")
     nations = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
-    return catalog.project_stats(nations, scans).drop("project_id", "scan_modes")
+    return catalog.project_stats(nations, scans).drop("project_id")
 
 
 @query("E11_match_count", over("matches_byte_snapshot_log", """

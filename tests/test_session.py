@@ -1,6 +1,7 @@
 """The shared folder, with and without the setting."""
 
 import os
+import pathlib
 import subprocess
 import sys
 
@@ -19,3 +20,8 @@ def test_works_with_an_empty_spark_configuration(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", CODE], cwd=root, env=env, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_no_two_test_files_share_a_name():
+    names = [p.name for p in pathlib.Path(__file__).parent.rglob("test_*.py")]
+    assert len(names) == len(set(names))
