@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import bpe, licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
+from treegauge.llm import bpe, licenses, line_dedup, manifest, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def score_toxicity(spark, sf_dir):
 @query("op10_sharding", sharding.SQL)
 def shard_documents(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_manifest", manifest.SQL)
+def verify_documents(spark, sf_dir):
+    return manifest.verify_documents(read_table(spark, sf_dir, "documents"))
