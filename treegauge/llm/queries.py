@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import bpe, licenses, line_dedup, manifest, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
+from treegauge.llm import bpe, licenses, line_dedup, manifest, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity, whitening
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def shard_documents(spark, sf_dir):
 @query("op12_manifest", manifest.SQL)
 def verify_documents(spark, sf_dir):
     return manifest.verify_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def whiten(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
