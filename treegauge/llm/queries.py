@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from treegauge.llm import bpe, licenses, line_dedup, manifest, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity, whitening
+from treegauge.llm import bpe, licenses, line_dedup, manifest, mixing, near_texts, near_vectors, pii, quality, sharding, token_counts, toxicity, whitening
 from treegauge.llm.common import read_table
 
 QUERIES: dict = {}
@@ -72,6 +72,11 @@ def shard_documents(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_personal_data")
+def find_personal_data(spark, sf_dir):
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op12_manifest", manifest.SQL)
 def verify_documents(spark, sf_dir):
     return manifest.verify_documents(read_table(spark, sf_dir, "documents"))
