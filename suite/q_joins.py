@@ -53,6 +53,22 @@ def d3(spark, d):
     return renames.exact_pairs(changed).select("old_path", "new_path")
 
 
+@query("D3_alike_pairs", over("delta", r"""
+    SELECT * FROM (WITH lines AS (
+      SELECT DISTINCT change_type, file_path, trim(unnest(string_split_regex(coalesce(old_content, content), '\r?\n')), ' ') AS line
+      FROM delta WHERE change_type IN ('A', 'D') AND coalesce(old_content, content) IS NOT NULL),
+    sizes AS (SELECT change_type, file_path, count(*) AS n FROM lines WHERE line <> '' GROUP BY ALL),
+    common AS (
+      SELECT o.file_path AS old_path, n.file_path AS new_path, count(*) AS c
+      FROM lines o JOIN lines n USING (line) WHERE o.change_type = 'D' AND n.change_type = 'A' AND line <> '' GROUP BY ALL)
+    SELECT old_path, new_path, c / (a.n + b.n - c) AS score
+    FROM common JOIN sizes a ON a.file_path = old_path AND a.change_type = 'D' JOIN sizes b ON b.file_path = new_path AND b.change_type = 'A'
+    WHERE c * 2 >= a.n + b.n - c)"""))
+def d3c(spark, d):
+    base, target = fx.files_base(spark, d), fx.files_target(spark, d)
+    return renames.alike_pairs(diff.changed_paths(base, target), base, target).select("old_path", "new_path", "score")
+
+
 @query("D3_similar_renames")
 def d3b(spark, d):
     changes = sh.diff(spark, d, "similar")

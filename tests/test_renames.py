@@ -1,6 +1,7 @@
 import random
 
 from treegauge.operators.diff import changed_paths, version_diff
+from treegauge.operators import renames
 from treegauge.operators.renames import exact_pairs
 from treegauge.session import cut_lineage
 from treegauge.specs import ScanRules
@@ -103,3 +104,59 @@ def test_every_pair_just_above_the_limit_is_found(spark, tree):
         target[f"new/{i}"] = "\n".join(body[:7] + lines(rng, 3))
     got, _ = renamed(spark, tree, base, target, "similar")
     assert got == {f"new/{i}": f"old/{i}" for i in range(400)}
+
+
+def line_sets(spark, tree, base, target):
+    base, target = tree(base), tree(target)
+    return renames._line_sets(changed_paths(base, target), base, target)
+
+
+def test_files_that_share_a_header_only_do_not_meet(spark, tree):
+    rng = random.Random(8)
+    header = lines(rng, 20)
+    for body in (15, 11):
+        sides = [{f"{side}/{i}": "\n".join(header + lines(rng, body)) for i in range(400)} for side in ("old", "new")]
+        old, new = line_sets(spark, tree, *sides)
+        assert renames.candidate_pairs(old, new).count() == 0  # of 160,000
+    pool = [lines(rng, 15) for _ in range(400)]  # now each body line is also in a file of the other side, which is unlike
+    base = {f"old/{i}": "\n".join(header + pool[i]) for i in range(400)}
+    target = {f"new/{i}": "\n".join(header + [pool[(i + k) % 400][k] for k in range(15)]) for i in range(400)}
+    old, new = line_sets(spark, tree, base, target)
+    assert renames.candidate_pairs(old, new).count() <= 400 * 15
+
+
+def test_alike_pairs_against_brute_force(spark, tree):
+    rng = random.Random(9)
+    pool = lines(rng, 60)
+    for low, high in ((1, 8), (20, 45)):
+        base = {f"old/{i}": "\n".join(rng.sample(pool, rng.randint(low, high)) + lines(rng, rng.randint(0, 3))) for i in range(60)}
+        target = {f"new/{i}": "\n".join(rng.sample(pool, rng.randint(low, high)) + lines(rng, rng.randint(0, 3))) for i in range(50)}
+        for level in renames.LEVELS:
+            b, t = tree(base), tree(target)
+            got = {(r.old_path, r.new_path): r.score for r in renames.alike_pairs(changed_paths(b, t), b, t, level).collect()}
+            scores = {(x, y): jaccard(base[x], target[y]) for x in base for y in target}
+            assert got == {k: v for k, v in scores.items() if v * level[1] >= level[0]}
+
+
+def test_chosen_pairs_in_sql(spark, tree):
+    """Scores of the chosen pairs and of all pairs left over, recomputed by DuckDB."""
+    import duckdb
+
+    rng = random.Random(10)
+    pool = lines(rng, 25)
+    base = {f"old/{i}": "\n".join(rng.sample(pool, rng.randint(2, 20))) for i in range(70)}
+    target = {f"new/{i}": "\n".join(rng.sample(pool, rng.randint(2, 20))) for i in range(60)}
+    got, _ = renamed(spark, tree, base, target, "similar")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE files(path VARCHAR, content VARCHAR); CREATE TABLE pairs(old VARCHAR, new VARCHAR)")
+    con.executemany("INSERT INTO files VALUES (?, ?)", [*base.items(), *target.items()])
+    con.executemany("INSERT INTO pairs VALUES (?, ?)", [(old, new) for new, old in got.items()])
+    least, left, twice = con.execute("""
+        WITH sets AS (SELECT path, list_distinct(string_split(content, chr(10))) AS s FROM files),
+        scores AS (
+          SELECT a.path AS old, b.path AS new, len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) AS score
+          FROM sets a, sets b WHERE a.path LIKE 'old/%' AND b.path LIKE 'new/%')
+        SELECT (SELECT min(score) FROM scores JOIN pairs USING (old, new)),
+          (SELECT count(*) FROM scores WHERE score >= 0.5 AND old NOT IN (SELECT old FROM pairs) AND new NOT IN (SELECT new FROM pairs)),
+          (SELECT count(*) - count(DISTINCT old) + count(*) - count(DISTINCT new) FROM pairs)""").fetchone()
+    assert least >= 0.5 and left == 0 and twice == 0 and len(got) > 20
