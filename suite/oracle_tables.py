@@ -107,7 +107,7 @@ TABLES["delta"] = """
     b.content AS old_content, t.content AS content
   FROM files_base b FULL OUTER JOIN files_target t ON b.file_path = t.file_path
   WHERE b.file_path IS NULL OR t.file_path IS NULL
-     OR coalesce(b.content, '') <> coalesce(t.content, '')"""
+     OR b.content IS DISTINCT FROM t.content"""
 TABLES["rename_pairs"] = """
   SELECT d.file_path AS old_path, a.file_path AS new_path, d.old_content, a.content FROM
     (SELECT *, row_number() OVER (PARTITION BY old_content ORDER BY left(md5(file_path), 2), file_path) AS rn

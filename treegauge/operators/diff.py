@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.operators.classify import is_excluded, tech_stack
-from treegauge.operators.renames import KEY, exact_pairs, of_paths, similar_pairs
+from treegauge.operators.path_filter import maybe_of_paths
+from treegauge.operators.renames import KEY, exact_pairs, similar_pairs
 from treegauge.session import cut_lineage
 from treegauge.specs import DIFF, ScanRules
 
@@ -23,24 +24,23 @@ CHANGE_COLUMNS = [
 
 
 def _digests(files: DataFrame, name: str) -> DataFrame:
-    """Path and content digest only. A stored content_hash column spares reading the content."""
+    """Path and content digest only. A stored content_hash column spares reading the content; bytes count where they are kept."""
     if "content_hash" in files.columns:
         digest = F.col("content_hash")
     else:
-        digest = F.md5("content")
+        digest = F.md5("raw" if "raw" in files.columns else "content")
     return files.select(*KEY, digest.alias(name), F.lit(True).alias(f"{name}_present"))
 
 
 def changed_paths(base: DataFrame, target: DataFrame) -> DataFrame:
     """Added, deleted and modified paths with both digests.
 
-    Only paths and digests are shuffled. Undecodable content counts as empty unless the tables
-    bring their own content_hash.
+    Only paths and digests are shuffled. Undecodable files are compared by their content_hash, or by the bytes in a
+    column `raw`; without either, a file that cannot be decoded differs from any that can and equals any that cannot.
     """
     joined = _digests(base, "old_digest").join(_digests(target, "new_digest"), KEY, "full_outer")
     in_base, in_target = F.col("old_digest_present"), F.col("new_digest_present")
-    empty = F.md5(F.lit(""))
-    same = F.coalesce("old_digest", empty) == F.coalesce("new_digest", empty)
+    same = F.col("old_digest").eqNullSafe(F.col("new_digest"))
     change = F.when(in_base.isNull(), "A").when(in_target.isNull(), "D").when(~same, "M")
     return joined.select(*KEY, "old_digest", "new_digest", change.alias("change_type")).where(
         F.col("change_type").isNotNull()
@@ -94,7 +94,8 @@ def version_diff(
     """File changes from base to target, one row per added, modified, deleted or renamed file.
 
     Both trees are read twice: once for digests, and once for the content of the changed paths.
-    Paths and digests are checkpointed in between, so pairing never reads a tree again. The tech
+    Paths and digests are checkpointed in between, so pairing never reads a tree again. A Bloom filter of the changed paths
+    drops other files inside both content scans, at any number of changes. The tech
     stack of both sides is that of the final path.
     """
     changed = changed_paths(base, target)
@@ -106,10 +107,10 @@ def version_diff(
             "_old_path", F.coalesce("old_file_path", "file_path")
         )
     )
-    new = of_paths(target.select(*KEY, "content"), kept.select(*KEY))
-    old = of_paths(
+    new = maybe_of_paths(target.select(*KEY, "content"), kept.where("change_type <> 'D'"), KEY)
+    old = maybe_of_paths(
         base.select(*KEY, F.col("content").alias("old_content")),
-        kept.select("project", F.col("_old_path").alias("file_path")),
+        kept.where("change_type <> 'A'").select("project", F.col("_old_path").alias("file_path")), KEY,
     ).withColumnRenamed("file_path", "_old_path")
     return (
         kept.join(new.hint("merge"), KEY, "left")

@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegauge.functions.ranking import salted_row_number
+from treegauge.operators.path_filter import maybe_of_paths
 from treegauge.session import cut_lineage
 
 KEY = ["project", "file_path"]
 PAIR = ["project", "old_path", "new_path"]
 LINE = ["project", "line"]
 GROUP = [*LINE, "old_class", "new_class"]
-# Up to so many paths (some 100 bytes each) are broadcast to pick files before any shuffle.
-MAX_BROADCAST_PATHS = 200_000
 # Least Jaccard similarities as fractions, taken in turn: close copies pair first.
 LEVELS = ((4, 5), (1, 2))
 # Partners that a file meets per group in one round, at most; more rounds follow.
@@ -30,17 +29,6 @@ EXACT_CLASSES, CLASS_STEP = 24, 1.04
 SIGNATURE = 32
 
 
-def of_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """The files at the given checkpointed paths.
-
-    Few paths, by an actual count, are broadcast, so only the chosen files leave the scan. More
-    are left to the join that follows, which then shuffles both sides by path.
-    """
-    if paths.count() <= MAX_BROADCAST_PATHS:
-        return files.join(F.broadcast(paths), KEY, "left_semi")
-    return files
-
-
 def _pair_by_number(deleted: DataFrame, added: DataFrame, group: list[str]) -> DataFrame:
     """The i-th deleted with the i-th added file of each group."""
     old = salted_row_number(deleted, group, "old_path", "_rn")
@@ -215,7 +203,7 @@ def _line_sets(changed: DataFrame, base: DataFrame, target: DataFrame) -> tuple[
 
     def side(change_type: str, files: DataFrame, path: str) -> DataFrame:
         alone = changed.where(F.col("change_type") == change_type).select(*KEY)
-        texts = of_paths(files.select(*KEY, "content"), alone)
+        texts = maybe_of_paths(files.select(*KEY, "content"), alone, KEY)
         named = alone.join(texts.hint("merge"), KEY).where(F.col("content").isNotNull())
         return cut_lineage(named.select("project", F.col("file_path").alias(path), _line_hashes(F.col("content")).alias("lines")))
 
