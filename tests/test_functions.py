@@ -115,3 +115,14 @@ def test_salted_row_number_numbers_a_hot_group(spark):
     rows = salted_row_number(df, ["g"], "k").collect()
     for group, n in (("hot", 700), ("cold", 2)):
         assert sorted(r.rn for r in rows if r.g == group) == list(range(1, n + 1))
+
+
+def test_running_starts_of_any_length(spark):
+    for n in (1, 15, 16, 17, 256, 257, 5000, 70_000):
+        xs = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (x % 7).cast("int"))
+        got = spark.range(1).select(running_starts(xs).alias("r")).first().r
+        expected, total = [], 0
+        for x in range(1, n + 1):
+            expected.append(total)
+            total += x % 7
+        assert got == expected
