@@ -183,6 +183,22 @@ def b15(spark, d):
     return catalog.list_scans(fx.projects(spark, d), fx.scans(spark, d))
 
 
+@query("B15_scans_of_a_project", over("projects scans", """
+    SELECT name AS project, scan_id, commit_hash, scan_time FROM scans JOIN projects USING (project_id)
+    WHERE scan_mode = 'DIFF' AND name = (SELECT min(name) FROM projects JOIN scans USING (project_id) WHERE scan_mode = 'DIFF')"""))
+def b15b(spark, d):
+    projects, scans = fx.projects(spark, d), fx.scans(spark, d)
+    first = catalog.scans_of(projects, scans.where("scan_mode = 'DIFF'")).agg(F.min("project")).first()[0]
+    return catalog.list_scans(projects, scans, first, mode="DIFF")
+
+
+@query("B16_hits_of_a_file", over("matches_byte_snapshot_log", f"""
+    SELECT {MATCH} FROM matches_byte_snapshot_log WHERE file_path = (SELECT max(file_path) FROM matches_byte_snapshot_log)"""))
+def b16b(spark, d):
+    found = sh.matches(sh.snapshot_log(spark, d), "byte")
+    return sh.wide_ints(matches.match_filter(found, 3, file_path=found.agg(F.max("file_path")).first()[0]))
+
+
 @query("B16_match_filter", over("matches_byte_snapshot_log", f"""
     SELECT {MATCH} FROM matches_byte_snapshot_log WHERE analyzer_id = 'log_warn_finder'"""))
 def b16(spark, d):

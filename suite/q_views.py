@@ -9,7 +9,7 @@ from suite import shapes as sh
 from suite.oracle_tables import EXT, over
 from suite.q_sources import MATCH, SUMMARY, _runs_sql
 from suite.registry import query
-from treegauge.operators import catalog, matches, metrics, reshape, views
+from treegauge.operators import catalog, matches, metrics, paging, reshape, views
 from treegauge.specs import ViewSpec
 
 POSITIVE = "(SELECT * FROM metrics_li WHERE value_after > 0)"
@@ -224,6 +224,24 @@ def f4(spark, d):
     return sh.wide_ints(matches.number_pages(sh.matches(sh.snapshot(spark, d), "byte"), 20))
 
 
+@query("F4_page_of_a_file", over("matches_byte_snapshot", f"""
+    SELECT {MATCH} FROM matches_byte_snapshot
+    WHERE file_path = (SELECT file_path FROM matches_byte_snapshot GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1)
+    ORDER BY line_number, column_start, analyzer_id, column_end LIMIT 5 OFFSET 5"""))
+def f4b(spark, d):
+    found = sh.matches(sh.snapshot(spark, d), "byte")
+    fullest = matches.match_count(found).orderBy(F.col("total").desc(), "file_path").first()
+    return sh.wide_ints(matches.page_matches(found, 1, fullest["file_path"], page=2, page_size=5))
+
+
+@query("F5_deep_page", over("commit_log", """
+    SELECT hash, short_hash, message, author, timestamp FROM commit_log ORDER BY timestamp DESC, hash
+    LIMIT 40 OFFSET (SELECT count(*) // 2 FROM commit_log)"""))
+def f5b(spark, d):
+    log = catalog.commit_log(fx.commits(spark, d)).drop("full_message")
+    return paging.page_of(log, [("timestamp", True), ("hash", False)], log.count() // 2, 40, front=0, sorted_rows=100)
+
+
 @query("F5_commit_page", over("commit_log", """
     SELECT hash, short_hash, message, author, timestamp,
       (SELECT count(*) > 150 FROM commit_log WHERE contains(lower(full_message), 'fix #1')) AS has_more

@@ -186,3 +186,36 @@ def test_scan_table_prunes_partitions(spark, tmp_path):
     one = read_scan_table(spark, path, 3)
     assert one.count() == 20
     assert "PartitionFilters: [isnotnull(scan_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_analyzer_that_ends_its_process_or_hangs_loses_only_its_own_file(spark, tree):
+    def rough(path, content, change_type):
+        import os
+        import signal
+        import sys
+        import time
+
+        print("noise on standard output")
+        if "exit" in content:
+            os._exit(3)
+        if "leave" in content:
+            sys.exit("bye")
+        if "crash" in content:
+            os.kill(os.getpid(), signal.SIGSEGV)
+        if "hang" in content:
+            while True:
+                time.sleep(1)
+        return [{"value": len(content)}]
+
+    calm = PythonAnalyzer("calm", func=lambda p, c, t: [{"value": 1.0}])
+    rules = ScanRules((StackRule("Text", ("txt",), ("rough", "calm")),))
+    files = {f"{word}{i}.txt": word + "x" * i for i in range(3) for word in ("fine", "exit", "leave", "crash", "hang")}
+    files["long.txt"] = "fine" * 500_000
+    scan = snapshot_scan(tree(files).coalesce(2), [PythonAnalyzer("rough", func=rough, time_limit=1.0), calm], rules, 1)
+    values = {(r.analyzer_id, r.file_path): r.value_after for r in scan.metrics.where("analyzer_id in ('rough', 'calm')").collect()}
+    assert {f for a, f in values if a == "calm"} == set(files)
+    assert {f: v for (a, f), v in values.items() if a == "rough"} == {f: len(t) for f, t in files.items() if t.startswith("fine")}
+    errors = {r.error.split(": ")[0]: r.error.split(": ", 1)[1] for r in scan.errors.collect()}
+    assert errors == {f"{word}{i}.txt": text for i in range(3) for word, text in (
+        ("exit", "the analyzer's process ended with code 3"), ("leave", "bye"),
+        ("crash", "the analyzer's process ended with code -11"), ("hang", "no result within 1 s"))}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from treegauge.functions.text import first_line
+from treegauge.operators.paging import page_of
 from treegauge.specs import SNAPSHOT
 
 DEFAULT_COMMITS = 50
@@ -149,12 +150,10 @@ def search_commits(log: DataFrame, text: str) -> DataFrame:
 def page_commits(log: DataFrame, offset: int = 0, limit: int = DEFAULT_COMMITS) -> DataFrame:
     """One page, newest first, with a flag on every row telling whether more follow.
 
-    One row beyond the page is read, and the window counts these at most limit + 1 rows.
+    One row beyond the page is read, and the window counts these at most limit + 1 rows. A deep page sorts its own range only.
     """
-    if offset < 0 or limit < 1:
-        raise ValueError(f"no page from {offset} with {limit} rows")
-    size = limit
-    order = [F.col("timestamp").desc(), F.col("hash")]
-    ahead = log.drop("full_message").orderBy(*order).offset(offset).limit(size + 1)
+    if limit < 1:
+        raise ValueError(f"no page of {limit} rows")
+    ahead = page_of(log.drop("full_message"), [("timestamp", True), ("hash", False)], offset, limit + 1)
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return ahead.withColumn("has_more", n > size).orderBy(*order).limit(size)
+    return ahead.withColumn("has_more", n > limit).orderBy(F.col("timestamp").desc(), "hash").limit(limit)

@@ -18,6 +18,7 @@ from treegauge.functions.text import (
     strip,
 )
 from treegauge.operators.analyzers import runs_on
+from treegauge.operators.paging import page_of
 from treegauge.specs import Analyzer, PatternAnalyzer, ScanRules, registry
 
 MATCH_COLUMNS = [
@@ -200,7 +201,7 @@ def _page_size(size: int) -> int:
     return size
 
 
-_PAGE_ORDER = ["line_number", "column_start", "analyzer_id"]
+_PAGE_ORDER = ["line_number", "column_start", "analyzer_id", "column_end"]
 
 
 def page_matches(
@@ -211,18 +212,17 @@ def page_matches(
     page: int = 1,
     page_size: int = 100,
 ) -> DataFrame:
-    """One page of the hits of one file, by line; pages are as large as asked for."""
+    """One page of the hits of one file, by line; pages are as large as asked for. A deep page sorts its own range only."""
     size = _page_size(page_size)
-    first = (max(page, 1) - 1) * size
     rows = match_filter(matches, scan_id, file_path, analyzer_id)
-    return rows.orderBy(*_PAGE_ORDER).offset(first).limit(size)
+    return page_of(rows, [(name, False) for name in _PAGE_ORDER], (max(page, 1) - 1) * size, size)
 
 
 def number_pages(matches: DataFrame, page_size: int = 100) -> DataFrame:
     """All hits with the page of their file they stand on; a window holds the hits of one file,
     which came out of one row."""
     size = _page_size(page_size)
-    w = Window.partitionBy("scan_id", "file_path").orderBy(*_PAGE_ORDER, "column_end")
+    w = Window.partitionBy("scan_id", "file_path").orderBy(*_PAGE_ORDER)
     page = ((F.row_number().over(w) - 1) / size).cast("bigint") + 1
     return matches.withColumn("page", page)
 

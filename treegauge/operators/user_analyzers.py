@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treegauge.functions.tags import CATEGORY, METRIC, merge_tags, tag_literal
 from treegauge.operators.analyzers import FILE_KEYS, runs_on
+from treegauge.operators.guarded import Guard, packed
 from treegauge.operators.matches import MATCH_COLUMNS
 from treegauge.specs import PythonAnalyzer, ScanRules
 
@@ -54,22 +54,27 @@ def entry_tags(entry: Column, overrides: dict[str, str] | None = None) -> Column
     return merge_tags(merge_tags(own, legacy), tag_literal(overrides or {}))
 
 
-def _run(func: Callable):
-    """Arrow UDF around user code: output text, or the error message of a failed call."""
+def _runner(analyzers: list[PythonAnalyzer]):
+    """Arrow UDF around user code: for each analyzer and side whose content is given, output text or an error message.
 
-    def call(path: str, content: str | None, change_type: str):
-        if content is None:
-            return None, None
-        try:
-            out = func(path, content, change_type)
-            return out if isinstance(out, str) else json.dumps(out), None
-        except Exception as e:
-            return None, f"{path}: {e}"
-
-    @F.pandas_udf("output string, error string")
-    def run(paths: pd.Series, contents: pd.Series, change_types: pd.Series) -> pd.DataFrame:
-        rows = [call(*row) for row in zip(paths, contents, change_types)]
-        return pd.DataFrame(rows, columns=["output", "error"], dtype=object)
+    All analyzers of a file run in one call, in one child process of the task (`Guard`).
+    """
+    code, limits = packed([a.func for a in analyzers]), [a.time_limit for a in analyzers]
+
+    @F.pandas_udf("array<struct<number:int,side:string,output:string,error:string>>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        with Guard(code) as guard:
+            for old_paths, paths, olds, news, change_types, chosen in batches:
+                out = []
+                for old_path, path, old, new, change_type, numbers in zip(old_paths, paths, olds, news, change_types, chosen):
+                    results = []
+                    for k in numbers:
+                        for side, name, content in (("before", old_path, old), ("after", path, new)):
+                            if content is not None:
+                                output, error = guard.call(int(k), (name, content, change_type), limits[k])
+                                results.append((int(k), side, output, None if error is None else f"{name}: {error}"))
+                    out.append(results)
+                yield pd.Series(out, dtype=object)
 
     return run
 
@@ -79,34 +84,25 @@ def run_user_analyzers(
 ) -> DataFrame:
     """Raw results, one row per file, side and analyzer: parsed entries, or an error.
 
-    All analyzers run in one pass over the changes. The user code sees whole texts; a failure loses only its own file and analyzer. Write the
-    result out before taking several of metrics, matches and errors from it, or the code runs
-    once for each.
+    All analyzers run in one pass over the changes. The user code sees whole texts. It runs in a child process of each task:
+    an exception, the end of that process, or a call beyond the analyzer's time limit loses only its own file,
+    side and analyzer. Write the result out before taking several of metrics, matches and errors from it, or the
+    code runs once for each.
     """
+    analyzers = list(analyzers)
+    fits = [F.when(runs_on(a, rules), F.lit(k)) for k, a in enumerate(analyzers)]
+    chosen = F.filter(F.array(*fits), lambda k: k.isNotNull())
     old_path = F.coalesce("old_file_path", "file_path")
-    calls, runs = [], []
-    for i, analyzer in enumerate(analyzers):
-        run, fits = _run(analyzer.func), runs_on(analyzer, rules)
-        calls += [
-            run(old_path, F.when(fits, F.col("old_content")), "change_type").alias(f"_before{i}"),
-            run("file_path", F.when(fits, F.col("content")), "change_type").alias(f"_after{i}"),
-        ]
-        runs += [
-            F.struct(
-                F.lit(analyzer.analyzer_id).alias("analyzer_id"),
-                F.lit(side).alias("side"),
-                F.col(f"_{side}{i}.output").alias("output"),
-                F.col(f"_{side}{i}.error").alias("error"),
-                tag_literal(analyzer.tags).cast("map<string,string>").alias("overrides"),
-            )
-            for side in ("before", "after")
-        ]
+    wanted = F.size(chosen) > 0
+    results = _runner(analyzers)(
+        old_path, "file_path", F.when(wanted, F.col("old_content")), F.when(wanted, F.col("content")), "change_type", chosen)
+    one = F.col("_r")
+    ids = F.array(*[F.lit(a.analyzer_id) for a in analyzers])
+    overrides = F.array(*[tag_literal(a.tags).cast("map<string,string>") for a in analyzers])
     return (
-        file_changes.select(*FILE_KEYS, *calls)
-        .select(*FILE_KEYS, F.inline(F.array(*runs)))
-        .where("output IS NOT NULL OR error IS NOT NULL")
-        .withColumn("entries", parse_analyzer_output(F.col("output")))
-        .drop("output")
+        file_changes.select(*FILE_KEYS, F.explode(results).alias("_r"))
+        .select(*FILE_KEYS, ids[one["number"]].alias("analyzer_id"), one["side"].alias("side"), one["error"].alias("error"),
+                overrides[one["number"]].alias("overrides"), parse_analyzer_output(one["output"]).alias("entries"))
     )
 
 

@@ -26,6 +26,8 @@ ITEM_COLUMNS = [
     "analyzer_id",
     "tags",
 ]
+# Groups that a scan is dealt to in the first round of a top-n over all scans.
+TOP_SALTS = 64
 GROUP_KEYS = ("tech_stack", "category", "change_type", "metric_key", "analyzer_id", "extension")
 
 
@@ -117,15 +119,19 @@ def items(metrics: DataFrame) -> DataFrame:
 def top_n_items(rows: DataFrame, spec: ViewSpec, scan_id: int | None = None) -> DataFrame:
     """The n largest (or smallest) items per scan; ties by label, analyzer and tags.
 
-    For all scans the rank filter lets Spark keep n rows per scan in every map task, so the
-    shuffle carries n rows per task and scan whatever the scan's size.
+    For all scans a tournament in two rounds: n rows per scan and salt, then n per scan. The rank filters let Spark
+    keep n rows per group in every map task, and the last task of a scan reads n rows a salt, however
+    many tasks have read the scan.
     """
     value = F.col("value").desc() if spec.order == "desc" else F.col("value").asc()
     order = [value, F.col("label"), F.col("analyzer_id"), tags_key(F.col("tags"))]
     if scan_id is not None:
         return rows.orderBy(*order).limit(spec.limit)
-    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= spec.limit).drop("_rank")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("label", "analyzer_id"), F.lit(TOP_SALTS)))
+    for group in (["scan_id", "_salt"], ["scan_id"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= spec.limit)
+    return salted.drop("_rank", "_salt")
 
 
 def group_tree(rows: DataFrame, keys: list[str]) -> DataFrame:

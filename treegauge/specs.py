@@ -83,9 +83,10 @@ class PatternAnalyzer(Analyzer):
 class PythonAnalyzer(Analyzer):
     """User code: func(file_path, content, change_type) -> list of dicts
     {value, tags?, metric_key?, category?, matches?}, or the same as JSON text.
-    `tags` are overrides that win over what the code returns."""
+    `tags` are overrides that win over what the code returns; a call may take `time_limit` seconds."""
 
     func: Callable | None = None
+    time_limit: float = 60.0
 
 
 FILE_COUNT = FileCount("file_count", {METRIC: "file_count", CATEGORY: "size"})
