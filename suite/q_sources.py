@@ -14,6 +14,7 @@ from treegauge.operators.user_analyzers import entry_tags, parse_analyzer_output
 from treegauge.operators.views import items
 from treegauge.session import shared_path
 from treegauge.sources.files import decode_files
+from treegauge.sources.store import ScanStore
 from treegauge.sources.tables import (
     export_csv,
     read_csv_export,
@@ -173,6 +174,58 @@ def a11(spark, d):
     return read_csv_export(spark, path, with_group=True)
 
 
+@query("A8_error_details", over("snapshot", """
+    SELECT analyzer_id, count(*) AS execution_errors, string_agg(file_path || ': accent', '|' ORDER BY file_path || ': accent') AS details
+    FROM (SELECT file_path, CASE tech_stack WHEN 'Java' THEN 'java_complexity' ELSE 'char_count' END AS analyzer_id
+          FROM snapshot WHERE contains(content, 'ü') AND tech_stack IS NOT NULL) GROUP BY 1"""))
+def a8b(spark, d):
+    """A stored summary with the texts of failed runs."""
+    changes = sh.snapshot(spark, d)
+    failing = F.when(F.col("tech_stack") == "Java", "java_complexity").otherwise("char_count")
+    errors = changes.where(F.contains("content", F.lit("ü")) & F.col("tech_stack").isNotNull()).select(
+        "scan_id", failing.alias("analyzer_id"), F.concat("file_path", F.lit(": accent")).alias("error"))
+    stats = metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES), errors)
+    store = ScanStore(spark, shared_path(spark, "store"))
+    store.write_facts({"summaries": metrics.summary_record(stats, errors=errors)}, [1])
+    stored = metrics.read_summary(store.read_facts("summaries", 1)).select(F.inline("analyzer_stats"))
+    return stored.where("execution_errors > 0").select(
+        "analyzer_id", "execution_errors", F.array_join("error_details", "|").alias("details"))
+
+
+@query("A4_rescan", over("metrics_li", """
+    SELECT CAST(CASE WHEN scan_id = 1996 THEN 1 ELSE 0 END AS BIGINT) AS rescanned, scan_id, count(*) AS n FROM metrics_li
+    WHERE scan_id NOT IN (1994, 1996) OR (scan_id = 1996 AND value_after > 30000) GROUP BY ALL"""))
+def a4b(spark, d):
+    """Two scans are written again: one with fewer rows, one without any."""
+    store = ScanStore(spark, shared_path(spark, "store"))
+    rows = fx.metrics_li(spark, d)
+    store.write_facts({"metrics": rows}, range(1990, 2000))
+    store.write_facts({"metrics": rows.where("scan_id = 1996 AND value_after > 30000")}, [1994, 1996])
+    left = store.read_facts("metrics").select(F.col("scan_id").cast("bigint").alias("scan_id"))
+    return left.groupBy((F.col("scan_id") == 1996).cast("bigint").alias("rescanned"), "scan_id").agg(F.count("*").alias("n"))
+
+
+@query("D8_purge_stored", over("projects scans", """
+    SELECT 'project' AS kind, count(*) AS n FROM projects WHERE name <> (SELECT min(c_name) FROM customer JOIN orders ON o_custkey = c_custkey)
+    UNION ALL SELECT 'scan', count(*) FROM scans WHERE project_id NOT IN (SELECT c_custkey FROM customer
+      WHERE c_name = (SELECT min(c_name) FROM customer JOIN orders ON o_custkey = c_custkey))
+    UNION ALL SELECT 'fact', count(*) FROM scans WHERE project_id IN
+      (SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey ORDER BY c_name LIMIT 5 OFFSET 1)"""))
+def d8b(spark, d):
+    """A stored tree of tables loses a project. A fact row for each scan of the first six projects that have any."""
+    projects, scans = fx.projects(spark, d), fx.scans(spark, d)
+    first = projects.join(scans, "project_id", "left_semi").orderBy("name").limit(6)
+    facts = scans.join(first, "project_id", "left_semi").select("scan_id", "commit_hash")
+    store = ScanStore(spark, shared_path(spark, "store"))
+    store.replace("projects", projects)
+    store.replace("scans", scans)
+    store.write_facts({"metrics": facts}, ())
+    store.purge(first.agg(F.min("name")).first()[0])
+    counts = [t.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, t in (
+        ("project", store.read("projects")), ("scan", store.read("scans")), ("fact", store.read_facts("metrics")))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query("A12_read_scan", over("metrics_li", f"""
     SELECT {FLAT} FROM (SELECT *, CAST(NULL AS VARCHAR) AS old_file_path FROM metrics_li)
     WHERE scan_id = 1995"""))

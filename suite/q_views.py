@@ -84,6 +84,36 @@ def e6(spark, d):
     return sh.wide_ints(sh.rounded(views.run_view(fx.metrics_li(spark, d), _TREE_SPEC)))
 
 
+_NODES = f"""
+    WITH items AS (
+      SELECT scan_id, coalesce(tech_stack, 'Unknown') AS k1, coalesce(category, 'Unknown') AS k2, file_path, value_after, tech_stack, category,
+        change_type, metric_key, analyzer_id FROM {POSITIVE}),
+    tree AS (
+      SELECT scan_id, 1 AS depth, k1, NULL AS k2, k1 AS label, sum(value_after) AS value, 'tech_stack' AS group_key, false AS item,
+        k1 AS tech_stack, NULL AS category, NULL AS change_type, NULL AS metric_key, NULL AS analyzer_id FROM items GROUP BY scan_id, k1
+      UNION ALL
+      SELECT scan_id, 2, k1, k2, k2, sum(value_after), 'category', false, NULL, k2, NULL, NULL, NULL FROM items GROUP BY scan_id, k1, k2
+      UNION ALL
+      SELECT scan_id, 3, k1, k2, file_path, value_after, NULL, true, tech_stack, category, change_type, metric_key, analyzer_id FROM items WHERE {{}})
+    SELECT scan_id, depth, k1, k2, label, round(value, 2) AS value, group_key, item, tech_stack, category, change_type, metric_key, analyzer_id
+    FROM tree"""
+
+
+def _nodes(spark, d, include_children):
+    spec = ViewSpec("sum", group_by=("tech_stack", "category"), include_children=include_children)
+    return sh.rounded(views.view_nodes(fx.metrics_li(spark, d), spec))
+
+
+@query("E6_tree_with_children", over("metrics_li", f"SELECT * FROM ({_NODES.format('true')})"))
+def e6b(spark, d):
+    return _nodes(spark, d, True)
+
+
+@query("E6_tree_without_children", over("metrics_li", f"SELECT * FROM ({_NODES.format('false')})"))
+def e6c(spark, d):
+    return _nodes(spark, d, False)
+
+
 @query("E7_group_keys", over("metrics_li", f"""
     SELECT scan_id, coalesce(tech_stack, 'Unknown') AS k1, category AS k2, change_type AS k3, metric_key AS k4,
       analyzer_id AS k5, {EXT} AS k6, 'Unknown' AS k7, 'Other' AS k8, round(sum(value_after), 2) AS value

@@ -109,3 +109,7 @@ class Guard:
             code = self._child.wait() if self._child is not None else None
             self.close()
             return None, f"the analyzer's process ended with code {code}"
+
+
+# Executors get this module with the analyzers; they need not have the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treegauge.functions.tags import tags_key
@@ -112,21 +112,32 @@ def scan_summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("scan_id").agg(*_totals())
 
 
-def summary_record(stats: DataFrame, load_errors: Iterable[str] = ()) -> DataFrame:
+# Error texts of an analyzer that a summary quotes; the error table has them all.
+QUOTED_ERRORS = 1_000
+
+
+def quoted_errors(errors: DataFrame, most: int = QUOTED_ERRORS) -> DataFrame:
+    """The first texts by scan and analyzer, in order, as `error_details`: each task keeps that many before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("scan_id", "analyzer_id").orderBy("error"))
+    first = errors.select("scan_id", "analyzer_id", "error").withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return first.groupBy("scan_id", "analyzer_id").agg(F.sort_array(F.collect_list("error")).alias("error_details"))
+
+
+def summary_record(stats: DataFrame, load_errors: Iterable[str] = (), errors: DataFrame | None = None) -> DataFrame:
     """Summary rows in stored form, with the analyzer list as JSON text.
 
-    The list has one element per configured analyzer. Error texts grow with the data, so they
-    stay in the error table and the stored lists are empty.
+    The list has one element per configured analyzer. With an error table, its texts stand with their analyzer, the
+    first `QUOTED_ERRORS` of them: a row stays bounded, `execution_errors` tells whether there are more, and these
+    are in the error table.
     """
-    entry = F.struct(
-        "analyzer_id",
-        "files_analyzed",
-        "execution_errors",
-        F.array().cast("array<string>").alias("error_details"),
-    )
+    details = F.array().cast("array<string>")
+    if errors is not None:
+        stats = stats.join(quoted_errors(errors), ["scan_id", "analyzer_id"], "left")
+        details = F.coalesce("error_details", details)
+    entry = F.struct("analyzer_id", "files_analyzed", "execution_errors", details.alias("error_details"))
     lists = F.to_json(F.sort_array(F.collect_list(entry))).alias("analyzer_stats")
-    errors = F.to_json(F.array(*[F.lit(e) for e in load_errors]).cast("array<string>"))
-    return stats.groupBy("scan_id").agg(*_totals(), lists).withColumn("load_errors", errors)
+    texts = F.to_json(F.array(*[F.lit(e) for e in load_errors]).cast("array<string>"))
+    return stats.groupBy("scan_id").agg(*_totals(), lists).withColumn("load_errors", texts)
 
 
 STATS_TYPE = (

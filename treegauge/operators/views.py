@@ -160,6 +160,38 @@ def group_tree(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+_OWN_FIELDS = ("tech_stack", "category", "change_type", "metric_key", "analyzer_id")
+
+
+def view_nodes(
+    metrics: DataFrame,
+    spec: ViewSpec,
+    scan_id: int | None = None,
+    *,
+    group_by: str | Iterable[str] | None = None,
+    **filters,
+) -> DataFrame:
+    """The nodes of a grouped top_n or sum view: group nodes as in `group_tree`, and below the deepest of them the items.
+
+    An item hangs below the group of its keys k1..kn, one level deeper, with its own fields; a group carries the
+    field it groups by. Without `include_children` the deepest groups have no items below them. Items stay rows: a
+    group may hold any number of them. Without keys the items are all there is.
+    """
+    keys = effective_keys(spec, group_by)
+    found = view_items(metrics, spec, scan_id, **filters)
+    names = _key_columns(len(keys))
+    none = F.lit(None).cast("string")
+    leaves = found.select(
+        "scan_id", F.lit(len(keys) + 1).alias("depth"),
+        *[F.coalesce(group_key(k, "label"), F.lit("Unknown")).alias(n) for k, n in zip(keys, names)],
+        "label", "value", none.alias("group_key"), F.lit(True).alias("item"), *_OWN_FIELDS)
+    if not keys:
+        return leaves
+    own = [F.when(F.col("group_key") == field, F.col("label")).alias(field) for field in _OWN_FIELDS]
+    groups = group_tree(found, keys).select("scan_id", "depth", *names, "label", "value", "group_key", F.lit(False).alias("item"), *own)
+    return groups.unionByName(leaves) if spec.include_children else groups
+
+
 def deepest(levels: DataFrame) -> DataFrame:
     """The nodes that have no child groups."""
     names = [c for c in levels.columns if c.startswith("k") and c[1:].isdigit()]
