@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treegauge.llm import bpe, components, flat_graph, licenses, line_dedup, mixing, near_texts, near_vectors, quality, sharding, token_counts, toxicity
@@ -374,3 +375,34 @@ def test_sharding(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r._shard) for r in back.collect()} == placed and back.count() == 202
+
+
+def test_several_vectors_or_texts_under_one_id(spark):
+    e1, e2 = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, e1, 1), (1, e2, 1), (2, [1.0, 0.01, 0.1], 1), (3, [0.01, 1.0, 0.1], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("class_id", F.lit("x"))
+    got = sorted(tuple(r)[:4] for r in near_vectors.near_vectors(vectors).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    audited = near_vectors.audited_vectors(vectors.where("vec_id > 1 or embedding[0] > 0.5"))
+    assert {r.recall for r in audited.collect()} == {1.0}
+    words = [f"w{k}" for k in range(60)]
+    docs = frame(spark, [(1, " ".join(words), "s"), (1, "  ".join(words).upper(), "s"), (2, " ".join(words[:58]), "s")])
+    links = sorted((r.doc_id, r.n_links, r.component_id) for r in near_texts.join_near_texts(docs).collect())
+    assert links == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_extra_columns_with_the_names_of_helpers(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, "a"), (2, words, "a"), (None, words + " x", "b"), (None, "one two three four five six", "b")]
+    docs = frame(spark, rows)
+    for name in ("_row_key", "_taken_row", "_times", "_equal", "_time", "_row", "_gone_lines", "_gone_id", "_gone_content"):
+        docs = docs.withColumn(name, F.lit(name)).withColumn(name.upper() + "_", F.lit(1))
+    for out in (mixing.mixed_rows(docs), near_texts.drop_near_texts(docs), line_dedup.drop_duplicate_lines(docs)):
+        found = out.collect()
+        assert out.columns == docs.columns and found and all(r["_row_key"] == "_row_key" and r["_times"] == "_times" for r in found)
+
+
+def test_null_ids_are_spread_over_the_ranges_of_the_shuffle(spark):
+    docs = frame(spark, [(None, f"text number {k} of many", "s") for k in range(3000)])
+    taken = [r.taken for r in mixing.mix_sources(docs).collect()]
+    assert sum(taken) == 1.5 * 5 * 3000 and set(taken) == {5, 10}

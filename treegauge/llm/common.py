@@ -61,6 +61,14 @@ def chosen(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def unused_name(columns: list[str], name: str) -> str:
+    """A column name like this one that the table does not have, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(columns: list[str]) -> Column:
     """128 hash bits of all values of a row, as hex digits; nulls count by their place."""
     values = [F.col(f"`{c}`") for c in columns]

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import chosen, written
+from treegauge.llm.common import chosen, unused_name, written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
@@ -226,12 +226,13 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
 def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, doc_id: str = "doc_id",
                          text: str = "text") -> DataFrame:
     """docs, all rows and columns, with the lines of `duplicate_lines` taken out of the text."""
+    id_, content, lines = (unused_name(docs.columns, name) for name in ("_gone_id", "_gone_content", "_gone_lines"))
     gone = written(duplicate_lines(docs, min_words, edit_words, doc_id, text), "gone-lines").groupBy("doc_id", "content").agg(
-        F.collect_set("line_no").alias("_gone_lines")).select(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content"), "_gone_lines")
+        F.collect_set("line_no").alias(lines)).withColumnsRenamed({"doc_id": id_, "content": content})
     body = F.col(f"`{text}`")
-    kept = F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("_gone_lines", i))
-    joined = docs.join(gone, F.xxhash64(body).eqNullSafe(F.col("_gone_content")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")), "left")
-    new = F.when(F.col("_gone_lines").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains(lines, i))
+    joined = docs.join(gone, F.xxhash64(body).eqNullSafe(F.col(content)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)), "left")
+    new = F.when(F.col(lines).isNull(), body).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -11,7 +11,8 @@ by the totals of the ranges before (`RANGES` a source at most); the cut is found
 virtual-time ranges and then inside one range.
 
 Null text and empty text have size 0 and are never taken. A null source is a source of its own, the
-last in order. Null ids are shuffled like others. Equal rows are told apart by their place in the
+last in order. The shuffle goes by a hash of id and text, so null and repeated ids are spread over
+the ranges like others; rows equal in both stand together. Equal rows are told apart by their place in the
 queue only, so the result is the same set of rows on every run. An empty table gives an empty result.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import row_key, word_count, written
+from treegauge.llm.common import row_key, unused_name, word_count, written
 
 #: Hash ranges of a source, and virtual-time ranges up to virtual time 1.
 RANGES = 4096
@@ -119,20 +120,22 @@ def mixed_rows(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weight
     Rows go by a hash of all their values. Rows equal in every column are one for that: written as often as all of them are taken.
     """
     queue = _mixed(docs, row_key(docs.columns), share, max_repeats, weights, seed, doc_id, source, text)
+    key, row, n, equal, turn = (unused_name(docs.columns, name) for name in ("_row_key", "_taken_row", "_times", "_equal", "_time"))
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    taken = written(queue.groupBy(F.col("row").alias("_taken_row")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_equal"))
-                    .where("_times > 0"), "mix-taken")
-    joined = docs.withColumn("_row_key", row_key(docs.columns)).join(taken, F.col("_row_key") == F.col("_taken_row")).drop("_row_key", "_taken_row")
-    if not taken.where("_equal > 1").isEmpty():
-        joined = joined.where("_equal = 1").union(joined.where("_equal > 1").dropDuplicates())
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = written(queue.groupBy(F.col("row").alias(row)).agg(F.sum(times).cast("int").alias(n), F.count("*").alias(equal))
+                    .where(F.col(n) > 0), "mix-taken")
+    joined = docs.withColumn(key, row_key(docs.columns)).join(taken, F.col(key) == F.col(row)).drop(key, row)
+    if not taken.where(F.col(equal) > 1).isEmpty():
+        joined = joined.where(F.col(equal) == 1).union(joined.where(F.col(equal) > 1).dropDuplicates())
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _mixed(docs: DataFrame, row: Column, share: float, max_repeats: int, weights: tuple[int, ...], seed: str, doc_id: str, source: str,
            text: str) -> DataFrame:
     """The columns of `mix_sources` and `row`, which travels with its row."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), row.alias("row"))
-    shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"),
+                             F.md5(F.coalesce("text", F.lit("")))))
     sized = written(
         rows.select("doc_id", "source", "row", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle"))
         .withColumn("range", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")),
@@ -160,7 +163,7 @@ def _mixed(docs: DataFrame, row: Column, share: float, max_repeats: int, weights
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS shuffle FROM documents),
+    md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS shuffle FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM sums),
 weighed AS (SELECT *, CASE position % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM placed),

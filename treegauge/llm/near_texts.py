@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treegauge.llm.common import forget, row_key, written
+from treegauge.llm.common import forget, row_key, unused_name, written
 from treegauge.llm.components import components
 
 N = 5
@@ -225,8 +225,9 @@ def drop_near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stays = written(
         judged.where(~wordless).groupBy("group").agg(F.min(place).alias("p")).select(F.col("p.row").alias("_row"))
         .union(judged.where(wordless).select("row").distinct()), "kept")
-    keyed = docs.withColumn("_row_key", row_key(docs.columns))
-    return keyed.join(stays, F.col("_row_key") == F.col("_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates()
+    key, row = unused_name(docs.columns, "_row_key"), unused_name(docs.columns, "_row")
+    keyed = docs.withColumn(key, row_key(docs.columns))
+    return keyed.join(stays.toDF(row), F.col(key) == F.col(row), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates()
 
 
 def _judged(docs: DataFrame, row: Column, n: int, threshold: float, bands: int, rows: int, block: int, doc_id: str, text: str) -> DataFrame:
@@ -255,7 +256,7 @@ def _judged(docs: DataFrame, row: Column, n: int, threshold: float, bands: int,
     )
     wanted = groups.join(classes, "class_id").select("class_id", "grp", "bands")
     carried = wanted.join(texts.union(unnamed), F.col("class_id") == F.col("t_id"))
-    carried = written(carried.select("class_id", "grp", "bands", "text").dropDuplicates(["class_id", "text"]), "carried")
+    carried = written(carried.select("class_id", "grp", "bands", "text").dropDuplicates(["class_id"]), "carried")
     meetings = _meetings(groups, block, packs).join(carried.drop("grp"), "class_id")
     found = written(
         meetings.groupBy("task", "first", "second").applyInPandas(_verify(n, threshold), "a long, b long, n long"), "found")

@@ -1,6 +1,7 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-1. Vectors with one label and equal components are one class; its smallest id stands for it.
+1. Vectors with one label and equal components are one class; its smallest id stands for it. An id that several
+   different vectors bear names none of them inside: such a class goes by a hash of its content, below all ids.
 2. Centroids are fitted on a bounded sample (`SAMPLE` vectors, `MAX_CLUSTERS` centroids at most). Each
    vector belongs to its two nearest clusters, so neighbouring clusters overlap. A shard is a label and a cluster;
    shards above `SHARD` vectors are dealt into parts by hash, so hot labels and groups of copies stay bounded per task.
@@ -11,7 +12,8 @@
    shards counts in the first one only. Links are counted in the task; counts and a spanning forest leave it, never pairs.
 5. Components of the forests are the groups of near copies.
 
-`audit_recall` compares link counts with brute force for a bounded set of queries.
+`audit_recall` compares link counts with brute force for a bounded set of queries; `audited_vectors`, which the query
+returns, adds its figure as a column and fails below `LEAST_RECALL`.
 
 Null, zero, and non-finite vectors and null labels link with nothing, as do rows with a null id (no component; kept).
 Vectors of different length never link. Repeated rows are one vector and give repeated results. Extra columns are not
@@ -36,6 +38,9 @@ THRESHOLD = 0.93
 SAMPLE = 16_384
 MAX_CLUSTERS = 256
 SHARD = 1024
+LEAST_RECALL = 0.9
+#: Ids of classes that go by their content lie below this.
+NO_ID = -(1 << 62)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,10 +191,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     source = chosen(vectors, vec_id=vec_id, label=label, embedding=embedding).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     read = written(source.mapInPandas(_read, "vec_id long, label string, content binary, size int, unit array<double>"), "vectors")
+    members = read.where("unit is not null").dropDuplicates(["vec_id", "label", "content"])
+    found = members.groupBy("label", "content").agg(
+        F.min("vec_id").alias("smallest"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("unit").alias("unit"))
+    shared = written(found.groupBy("smallest").count().where("count > 1").select(F.col("smallest").alias("shared")), "shared-ids")
+    stand_in = F.lit(NO_ID) - F.pmod(F.xxhash64("label", "content"), F.lit(1 << 61))
     classes = written(
-        read.where("unit is not null").dropDuplicates(["vec_id", "label", "content"])
-        .groupBy("label", "content").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
-                                         F.first("unit").alias("unit")), "classes")
+        found.join(shared, F.col("smallest") == F.col("shared"), "left")
+        .withColumn("class_id", F.when(F.col("shared").isNull(), F.col("smallest")).otherwise(stand_in)).drop("shared"), "classes")
     centroids = fit_centroids(classes, sample, max_clusters, shard)
     columns = "class_id long, label string, copies long, size int, unit array<double>, cluster int, twin int"
     placed = written(classes.select("class_id", "label", "copies", "size", "unit").mapInPandas(_assign(centroids), columns), "placed")
@@ -210,11 +219,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     met = written(meetings.groupBy(*key, "first", "second").applyInPandas(_meet(threshold), "a long, b long, n long"), "met")
     links = met.groupBy("a").agg(F.sum("n").alias("n")).where("n > 0")
     joined = components(met.where("b is not null"))
+    heads = (
+        joined.join(classes.select("class_id", "smallest"), F.col("node") == F.col("class_id"))
+        .groupBy(F.col("component").alias("head_of")).agg(F.min("smallest").alias("head"))
+    )
     named = (
-        classes.select(F.col("label").alias("c_label"), F.col("content").alias("c_content"), "class_id", "copies")
-        .join(links, F.col("class_id") == F.col("a"), "left").join(joined, F.col("class_id") == F.col("node"), "left")
+        classes.select(F.col("label").alias("c_label"), F.col("content").alias("c_content"), "class_id", "smallest", "copies")
+        .join(links, F.col("class_id") == F.col("a"), "left")
+        .join(joined.join(heads, F.col("component") == F.col("head_of")), F.col("class_id") == F.col("node"), "left")
         .select("c_label", "c_content", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("component", "class_id").alias("component"))
+                F.coalesce("head", "smallest").alias("component"))
     )
     forget(placed)
     component = F.coalesce("component", "vec_id")
@@ -226,6 +240,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     )
 
 
+def audited_vectors(vectors: DataFrame, **parameters) -> DataFrame:
+    """`near_vectors` and a column `recall`: the share of links that brute force finds for a bounded set of queries (null: they
+    have none). A share below `LEAST_RECALL` fails."""
+    result = written(near_vectors(vectors, **parameters), "near")
+    names = {k: v for k, v in parameters.items() if k in ("threshold", "vec_id", "embedding", "label")}
+    recall = audit_recall(vectors, result, **names)
+    if recall is not None and recall < LEAST_RECALL:
+        raise ValueError(f"recall {recall:.3f} is below {LEAST_RECALL}: use larger samples or more clusters")
+    return result.withColumn("recall", F.lit(recall).cast("double"))
+
+
 def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD, queries: int = 256, vec_id: str = "vec_id",
                  embedding: str = "embedding", label: str = "label") -> float | None:
     """Links found over links there are, for `queries` vectors compared with all rows by brute force (null: no links)."""

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_near_vectors")
 def near_vector_rows(spark, sf_dir):
-    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+    return near_vectors.audited_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
 @query("op2_line_dedup", line_dedup.SQL)
