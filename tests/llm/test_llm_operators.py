@@ -372,9 +372,29 @@ def test_sharding(spark, tmp_path):
     docs = frame(spark, [(k, "t", "s") for k in range(200)] + [(None, "t", "s"), (7, "u", "s")])
     placed = {(r.doc_id, r.shard) for r in sharding.place(docs).collect()}
     assert len(placed) == 201
-    sharding.write_shards(docs, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r.doc_id, r._shard) for r in back.collect()} == placed and back.count() == 202
+    shard = sharding.write_shards(docs, str(tmp_path / "out"))
+    back = sharding.read_shards(docs, str(tmp_path / "out"), shard)
+    assert {(r.doc_id, r.shard) for r in back.collect()} == placed and back.count() == 202
+    assert Counter(map(tuple, back.drop(shard).collect())) == Counter(map(tuple, docs.collect()))
+    got = sharding.shard_documents(docs)
+    assert {(r.doc_id, r.shard) for r in got.collect()} == placed and got.count() == 202
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_a_hot_id_is_written_by_several_tasks(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(5, f"{k} {long}", "s", k) for k in range(40)] + [(5, None, None, 0), (5, "", "s", 0), (5, "", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard string, slot int").repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        shard = sharding.write_shards(docs, str(tmp_path / "hot"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert shard == "shard_"
+    back = sharding.read_shards(docs, str(tmp_path / "hot"), shard)
+    assert Counter(map(tuple, back.drop(shard).collect())) == Counter(rows)
+    assert back.select(shard).distinct().count() == 1 and len(back.inputFiles()) > 2
 
 
 def test_several_vectors_or_texts_under_one_id(spark):

@@ -39,14 +39,20 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what stands there is deleted when the driver ends."""
+    path = shared_path(spark, name)
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: evaluated once, safe from lost executors.
 
     The table is deleted when the driver ends, or earlier by `forget`.
     """
     spark = df.sparkSession
-    path, schema = shared_path(spark, name), df.schema
-    atexit.register(_at_exit, spark, path)
+    path, schema = passing_path(spark, name), df.schema
     df.write.parquet(path)
     del df
     gc.collect()  # frames that are done with let go of their shuffle files once both sides have collected them

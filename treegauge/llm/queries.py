@@ -69,7 +69,7 @@ def score_toxicity(spark, sf_dir):
 
 @query("op10_sharding", sharding.SQL)
 def shard_documents(spark, sf_dir):
-    return sharding.place(read_table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
 @query("op11_personal_data")

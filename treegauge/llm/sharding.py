@@ -7,8 +7,9 @@ full. Loads then differ by one slot at most, and removing a shard moves few othe
 goes to the slot its id hashes to. The table has a fixed size, whatever the data: it is broadcast, and
 placing a row is one lookup in a narrow stage.
 
-A null id goes to the slot of the empty string. Rows with the same id land in the same shard. Empty
-tables give empty results; other columns are not read by `place` and are kept by `write_shards`.
+A null id goes to the slot of the empty string. Rows with the same id, repeated ones too, land in the same
+shard. Null, empty and very long texts are written like others. Empty tables give empty results; other columns
+are not read by `place` and are kept by `write_shards`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treegauge.llm.common import chosen
+from treegauge.llm.common import chosen, passing_path, unused_name
 
 #: At least a hundred slots a shard keep loads within one percent; a prime.
 SLOTS = 4099
@@ -60,21 +62,40 @@ def slot_frame(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: int
             .select("slot", F.element_at(names, F.col("owner").cast("int") + 1).alias("shard")))
 
 
+def _placed(docs: DataFrame, doc_id: str, slot: str, shard: str, shards: tuple[str, ...], slots: int) -> DataFrame:
+    """Whole rows with their slot and shard, looked up in the broadcast table."""
+    table = slot_frame(docs.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    return docs.withColumn(slot, slot_of(F.col(f"`{doc_id}`"), slots)).join(F.broadcast(table), slot)
+
+
 def place(docs: DataFrame, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id") -> DataFrame:
     """Per document: doc_id, slot, shard."""
-    rows = chosen(docs, doc_id=doc_id).withColumn("slot", slot_of(F.col("doc_id"), slots))
-    table = F.broadcast(slot_frame(docs.sparkSession, shards, slots))
-    return rows.join(table, "slot").select("doc_id", "slot", "shard")
-
-
-def write_shards(docs: DataFrame, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id",
-                 files_a_shard: int = 8) -> None:
-    """Writes whole rows as Parquet into one folder a shard; rows of a shard are dealt over several tasks."""
-    names, owners = F.array(*[F.lit(s) for s in shards]), F.array(*[F.lit(o) for o in lookup_table(shards, slots)])
-    shard = F.element_at(names, F.element_at(owners, slot_of(F.col(f"`{doc_id}`"), slots) + 1) + 1)
-    salt = F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(files_a_shard))
-    (docs.withColumn("_shard", shard).repartition(len(shards) * files_a_shard, "_shard", salt)
-     .write.partitionBy("_shard").parquet(path))
+    return _placed(chosen(docs, doc_id=doc_id), "doc_id", "slot", "shard", shards, slots).select("doc_id", "slot", "shard")
+
+
+def write_shards(docs: DataFrame, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id") -> str:
+    """Writes whole rows as Parquet into one folder a shard; returns the name of the column that the folders stand for.
+
+    The rows of a shard are rebalanced: a shard beyond the advisory partition size, be it by one hot id, is written by
+    several tasks, each of about that size, and small shards share a task.
+    """
+    slot, shard = unused_name(docs.columns, "slot"), unused_name(docs.columns, "shard")
+    _placed(docs, doc_id, slot, shard, shards, slots).drop(slot).hint("rebalance", F.col(shard)).write.partitionBy(shard).parquet(path)
+    return shard
+
+
+def read_shards(docs: DataFrame, path: str, shard: str) -> DataFrame:
+    """What `write_shards` wrote of docs, with the shard as a column."""
+    fields = [*docs.schema.fields, T.StructField(shard, T.StringType())]
+    return docs.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def shard_documents(docs: DataFrame, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, slot, shard, read from shards that were written into the shared folder."""
+    path = passing_path(docs.sparkSession, "shards")
+    shard = write_shards(docs, path, shards, slots, doc_id)
+    id_ = F.col(f"`{doc_id}`")
+    return read_shards(docs, path, shard).select(id_.alias("doc_id"), slot_of(id_, slots).alias("slot"), F.col(shard).alias("shard"))
 
 
 SQL = f"""
