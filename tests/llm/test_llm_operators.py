@@ -162,10 +162,52 @@ def test_bpe_is_the_tokenizers_own(spark, awkward):
 def test_bpe_mends_joins_that_do_not_agree(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     text = b"alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 4
-    monkeypatch.setattr(bpe, "joins_agree", lambda path, lefts, rights, ids: np.array([len(a) % 2 == 0 for a in lefts], dtype=bool))
+    batch = bpe.Batch([text], 1)
+    chunks = [batch.chunk(i) for i in range(len(batch.spans))]
+    asked = []
+
+    def disagree(path, lefts, rights, ids):
+        asked.append(len(lefts))
+        return np.array([len(a) % 2 == 0 for a in lefts], dtype=bool)
+
+    monkeypatch.setattr(bpe, "joins_agree", disagree)
+    units, ids = bpe.mended_units(path, batch, chunks, np.zeros(len(chunks), dtype=bool))
+    assert len(asked) > 1 and 1 < len(units) < len(chunks)  # joins of mended chunks are checked anew
+    assert [a for a, _ in units[1:]] == [b for _, b in units[:-1]] and units[-1][1] == len(chunks)
     rows = bpe._encode_batch(path, 1, np.zeros(1 << 10, dtype=np.uint32), [1], [text], set())
-    ids = Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids
-    assert rows[0][2] == len(ids) and rows[0][3] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+    expected = Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids
+    assert np.concatenate(ids).tolist() == expected
+    assert rows[0][2] == len(expected) and rows[0][3] == hashlib.sha256(np.array(expected, dtype="<u4").tobytes()).hexdigest()
+
+
+def test_bpe_encodes_a_chunk_once_and_as_one_text(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = " ".join(f"word{k % 13} it's {k}" for k in range(400)).encode()
+    batch = bpe.Batch([text, text], 4)
+    chunks = [batch.chunk(i) for i in range(len(batch.spans))]
+    encoded = []
+    own = bpe.text_ids
+    monkeypatch.setattr(bpe, "text_ids", lambda path, texts: encoded.extend(texts) or own(path, texts))
+    bpe.mended_units(path, batch, chunks, np.zeros(len(chunks), dtype=bool))
+    assert len(chunks) > 4 and sorted(encoded) == sorted(set(chunks))
+
+
+def test_bpe_chunks_end_in_periodic_texts():
+    batch = bpe.Batch([b"a " * 50_000, b"b"], 30)
+    assert max(b - a for a, b in batch.spans) <= bpe.MOST_WORDS and batch.text_of[-1] == 1
+
+
+def test_bpe_tokenizers_that_look_across_spaces_take_whole_texts(spark, awkward):
+    assert bpe.misfit(public_tokenizers.path("word_bpe_49k.json")) is None
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.misfit(path) is not None
+    tokenizer = Tokenizer.from_file(path)
+    got = Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.encode_documents(frame(spark, awkward), path).collect())
+    expected = Counter()
+    for i, text, _ in awkward:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        expected[i, len(ids), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert got == expected
 
 
 def test_mixing(spark, awkward):

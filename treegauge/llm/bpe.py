@@ -4,16 +4,16 @@ Texts are cut where a rolling hash of the last 16 bytes before a word has `CUT_B
 passages get equal chunks wherever they stand. A chunk that several texts hold is encoded once:
 1. Chunk hashes are counted over all texts (hashes only are shuffled). Those met at least twice go into
    a Bloom filter of fixed size (`FILTER_BITS`), which is broadcast. A false hit costs a detour, never a wrong id.
-2. One pass over the texts encodes chunks that nobody shares in place, each word of a batch once, and
-   leaves references to shared ones. Joins of chunks are checked there: the last and first words around a
-   join are encoded together; where that differs from the parts, the two chunks become one that is encoded whole,
-   until all joins agree. Texts without references are finished there and then.
-3. Shared chunks are encoded once and joined to the references; texts are put together and finished. Equal
-   texts are put together once.
+2. One pass over the texts encodes chunks that nobody shares, each as one text, and leaves references to shared
+   ones. Joins of chunks are checked there: the last and first words around a join are encoded together, which must
+   give what the two chunks end and begin with. Where it does not, the chunks become one that is encoded anew, and
+   its own joins are checked again, until all agree. Texts without references are finished there and then.
+3. Shared chunks are encoded once, as one text each, and joined to the references; texts are put together and
+   finished. Equal texts are put together once.
 
-Ids, and their decoding, are exactly those of the tokenizer for the whole text without special tokens added: the
-tokenizers that fit drop ASCII white space, so that a word between spaces is encoded the same wherever it stands
-(`word_ids` is what relies on it; the join check is what tests it).
+Ids, and their decoding, are exactly those of the tokenizer for the whole text without special tokens added. That
+takes a tokenizer that drops ASCII white space and never looks across it, and decodes by spaces (`misfit` tests
+it on the driver). Tokenizers that do not fit encode and decode whole texts (`encode_whole`).
 
 Null and empty texts have no tokens and decode to the empty text. Null ids, ties and repeated rows are kept row by row.
 Extra columns are not read. An empty table gives an empty result.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ CUT_BITS = 8
 FILTER_BITS = 1 << 25
 _PROBES = 4
 _BATCH_BYTES = 4_000_000
+#: A chunk ends after so many words at the latest.
+MOST_WORDS = 4096
+#: So many bytes of chunks are encoded in one call, as the library holds much more for them.
+_CALL_BYTES = 1 << 18
+#: A task remembers so many digests that it has passed on; a full memory starts anew, and repeats are dropped later.
+_SENT = 200_000
 #: Word starts are hashed over so many bytes at a time, as each byte takes several words of eight bytes.
 _HASHED_BYTES = 1 << 18
 #: A process remembers the ids of so many words.
@@ -65,6 +72,50 @@ def _tokenizer(path: str):
     return tokenizer, names
 
 
+def misfit(path: str) -> str | None:
+    """Why texts cannot be cut at white space for this tokenizer (None: they can)."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    tokenizer = _tokenizer(path)[0]
+    if given.get("decoder") is not None:
+        return "it has a decoder of its own"
+    if given["model"].get("dropout"):
+        return "it drops merges at random"
+    normalizer = given.get("normalizer")
+    steps = [] if normalizer is None else normalizer.get("normalizers", [normalizer])
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if any(step != spaces and step["type"] not in ("NFC", "Lowercase") for step in steps):
+        return "its normalizer may look across white space"
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 or t["content"].strip() != t["content"]
+           for t in given.get("added_tokens", [])):
+        return "its added tokens take or look at white space"
+    if tokenizer.pre_tokenizer is None:
+        return "it does not split at white space"
+    signs = [chr(c) for c in range(33, 127)] + ["\u00e9", "\u0301", "\u4e2d", "\u0663", "\u20ac"]
+
+    def pieces(text: str) -> list[str]:
+        return [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    alone = {sign: pieces(sign) for sign in signs}
+    for left in signs:
+        for right in signs:
+            if pieces(f"{left} {right}") != alone[left] + alone[right]:
+                return f"it looks across the space between {left!r} and {right!r}"
+    return None
+
+
+def text_ids(path: str, texts: list[bytes]) -> list[np.ndarray]:
+    """Ids of each text, encoded some at a time."""
+    out: list[np.ndarray] = []
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= _CALL_BYTES or i == len(texts) - 1:
+            out += word_ids(path, texts[begin:i + 1])
+            begin, held = i + 1, 0
+    return out
+
+
 def word_ids(path: str, words: list[bytes]) -> list[np.ndarray]:
     """Ids of each word alone."""
     out = _tokenizer(path)[0].encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -135,6 +186,10 @@ class Batch:
             starts) else np.zeros(0, dtype=bool)
         heads = self.first_word[:-1][np.diff(self.first_word) > 0]
         begins[heads] = True
+        marks = np.flatnonzero(begins)
+        for mark, after in zip(marks.tolist(), np.append(marks[1:], len(self.words)).tolist()):
+            if after - mark > MOST_WORDS:
+                begins[mark:after:MOST_WORDS] = True
         self.chunk_word = np.flatnonzero(begins)  # first word of each chunk
         self.text_of = np.searchsorted(self.first_word, self.chunk_word, side="right") - 1
         ends = np.append(self.chunk_word[1:], len(self.words))
@@ -219,6 +274,12 @@ def joins_agree(path: str, lefts: list[bytes], rights: list[bytes], ids: dict[by
     return same[place] if place else np.zeros(0, dtype=bool)
 
 
+def edges_agree(ids: np.ndarray, first: bytes, last: bytes) -> tuple[bool, bool]:
+    """Whether the ids of a chunk begin and end with those of its first and last words."""
+    n, m = len(first) // 4, len(last) // 4
+    return ids[:n].tobytes() == first, ids[len(ids) - m:].tobytes() == last
+
+
 def _encode_pass(path: str, cut_bits: int, table):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[bytes] = set()  # what this task has passed on already, by digest
@@ -227,63 +288,72 @@ def _encode_pass(path: str, cut_bits: int, table):
                 yield pd.DataFrame(_encode_batch(path, cut_bits, table.value, rows["doc_id"].tolist(), texts, sent),
                                    columns=["kind", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_key", "parts", "chunk"]
                                    ).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+                if len(sent) > _SENT:
+                    sent.clear()
 
     return run
 
 
+def mended_units(path: str, batch: Batch, chunks: list[bytes], shared: np.ndarray) -> tuple[list[tuple[int, int]], list[np.ndarray | None]]:
+    """Runs of chunks whose joins all agree, and the ids of each; None for a single chunk that others share."""
+    units = [(i, i + 1) for i in range(len(chunks))]
+    known: dict[tuple[int, int], np.ndarray] = {}
+    agreed: set[tuple[tuple[int, int], tuple[int, int]]] = set()  # by the units on both sides
+    while True:
+        open_ = [(a, b) for a, b in units if (a, b) not in known and not (b == a + 1 and shared[a])]
+        wanted = {u: chunks[u[0]] if u[1] == u[0] + 1 else b" ".join(chunks[u[0]:u[1]]) for u in open_}
+        distinct = list(dict.fromkeys(wanted.values()))
+        encoded = dict(zip(distinct, text_ids(path, distinct)))
+        known.update((u, encoded[text]) for u, text in wanted.items())
+        joins = [(u, v) for u, v in zip(units, units[1:]) if batch.text_of[u[0]] == batch.text_of[v[0]] and (u, v) not in agreed]
+        lefts = [batch.words[batch.spans[u[1] - 1][1] - 1] for u, _ in joins]
+        rights = [batch.words[batch.spans[v[0]][0]] for _, v in joins]
+        alone = _memory(path).ids(list(dict.fromkeys(lefts + rights)))
+        same = joins_agree(path, lefts, rights, alone)
+        broken = set()
+        for (u, v), left, right, ok in zip(joins, lefts, rights, same.tolist()):
+            ok = ok and (u not in known or edges_agree(known[u], b"", alone[left])[1]) and (v not in known or edges_agree(known[v], alone[right], b"")[0])
+            if ok:
+                agreed.add((u, v))
+            else:
+                broken.add(v[0])
+        if not broken:
+            return units, [known.get(u) for u in units]
+        mended: list[tuple[int, int]] = []
+        for a, b in units:
+            if a in broken:
+                mended[-1] = (mended[-1][0], b)
+            else:
+                mended.append((a, b))
+        units = mended
+
+
 def _encode_batch(path: str, cut_bits: int, table: np.ndarray, doc_ids: list, texts: list[bytes], sent: set[bytes]) -> list[tuple]:
     batch = Batch(texts, cut_bits)
     chunks = [batch.chunk(i) for i in range(len(batch.spans))]
     digests = [_digest(c) for c in chunks]
-    shared = _maybe_shared(table, digests)
-    codes, kinds = pd.factorize(np.array(batch.words + [None], dtype=object)[:-1])
-    joins = np.flatnonzero(batch.text_of[1:] == batch.text_of[:-1]) + 1 if len(chunks) else np.zeros(0, dtype=np.int64)
-    needed = np.zeros(len(kinds), dtype=bool)
-    starts = batch.chunk_word
-    for i in np.flatnonzero(~shared):
-        needed[codes[batch.spans[i][0]:batch.spans[i][1]]] = True
-    needed[codes[starts[joins]]] = True
-    needed[codes[starts[joins] - 1]] = True
-    known = np.flatnonzero(needed)
-    alone = _memory(path).ids(kinds[known].tolist())
-    agree = joins_agree(path, [batch.words[i - 1] for i in starts[joins]], [batch.words[i] for i in starts[joins]], alone)
-    broken = joins[~agree]
-    merged = np.zeros(len(chunks), dtype=bool)  # chunks on either side of a join that does not agree
-    merged[broken] = merged[broken - 1] = True
-    lengths = np.zeros(len(kinds) + 1, dtype=np.int64)
-    known_ids = [alone[word] for word in kinds[known]]
-    lengths[known] = [len(x) // 4 for x in known_ids]
-    flat = np.frombuffer(b"".join(known_ids), dtype=np.uint32)
-    begin_of = np.zeros(len(kinds) + 1, dtype=np.int64)
-    begin_of[known] = np.cumsum(lengths[known]) - lengths[known]
+    units, ids_of = mended_units(path, batch, chunks, _maybe_shared(table, digests))
     out: list[tuple] = []
-    first_chunk = np.searchsorted(batch.text_of, np.arange(len(texts) + 1))
+    first_unit = np.searchsorted(batch.text_of[[a for a, _ in units]] if units else np.zeros(0), np.arange(len(texts) + 1))
     for t, text in enumerate(texts):
-        a, b = first_chunk[t], first_chunk[t + 1]
         parts: list[tuple] = []
-        i = a
-        while i < b:
-            j = i + 1
-            if merged[i]:
-                while j < b and j in broken:
-                    j += 1
-                whole = b" ".join(chunks[i:j])
-                parts.append((None, word_ids(path, [whole])[0]))
-            elif shared[i]:
-                parts.append((digests[i], None))
-                if digests[i] not in sent:
-                    sent.add(digests[i])
-                    out.append((2, None, None, None, None, digests[i], None, chunks[i]))
-            else:
-                while j < b and not shared[j] and not merged[j]:
-                    j += 1
-                span = codes[batch.spans[i][0]:batch.spans[j - 1][1]]
-                size = lengths[span]
-                at = np.repeat(begin_of[span] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                parts.append((None, flat[at]))
-            i = j
+        held: list[np.ndarray] = []
+        for k in range(first_unit[t], first_unit[t + 1]):
+            if ids_of[k] is not None:
+                held.append(ids_of[k])
+                continue
+            if held:
+                parts.append((None, np.concatenate(held)))
+                held = []
+            i = units[k][0]
+            parts.append((digests[i], None))
+            if digests[i] not in sent:
+                sent.add(digests[i])
+                out.append((2, None, None, None, None, digests[i], None, chunks[i]))
+        if held:
+            parts.append((None, np.concatenate(held)))
         if all(ref is None for ref, _ in parts):
-            ids = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, dtype=np.uint32)
+            ids = parts[0][1] if parts else np.zeros(0, dtype=np.uint32)
             out.append((0, doc_ids[t], *_finish(path, ids), None, None, None))
             continue
         key = _digest(text)
@@ -300,12 +370,15 @@ def _encode_chunks(path: str):
         for part in parts:
             for begin in range(0, len(part), 2000):
                 rows = part.iloc[begin:begin + 2000]
-                split = [bytes(c).split() for c in rows["chunk"]]
-                codes, kinds = pd.factorize(np.array([w for words in split for w in words] + [None], dtype=object)[:-1])
-                ids = word_ids(path, list(kinds))
-                ends = np.cumsum([len(w) for w in split])
-                yield pd.DataFrame({"ref": rows["text_key"].to_numpy(), "ids": [
-                    _pack(np.concatenate([ids[c] for c in codes[e - len(w):e]])) for w, e in zip(split, ends)]})
+                texts = [bytes(c) for c in rows["chunk"]]
+                ends = [(text.split(b" ", 1)[0], text.rsplit(b" ", 1)[-1]) for text in texts]
+                alone = _memory(path).ids(list({word for pair in ends for word in pair}))
+                packed = []
+                for ids, (first, last) in zip(text_ids(path, texts), ends):
+                    if edges_agree(ids, alone[first], alone[last]) != (True, True):
+                        raise ValueError(f"{path}: the ends of a chunk are not encoded as alone, so its joins are unproven")
+                    packed.append(_pack(ids))
+                yield pd.DataFrame({"ref": rows["text_key"].to_numpy(), "ids": packed})
 
     return run
 
@@ -323,9 +396,28 @@ def _assemble(path: str):
     return run
 
 
+def encode_whole(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `encode_documents`, text by text without chunks: for tokenizers that look across white space."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = _tokenizer(tokenizer_path)[0]
+        for part in parts:
+            done = []
+            for id_, text in zip(part["doc_id"].tolist(), part["text"]):
+                ids = tokenizer.encode(text if isinstance(text, str) else "", add_special_tokens=False).ids
+                decoded = tokenizer.decode(ids, skip_special_tokens=False).encode()
+                done.append((id_, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            yield pd.DataFrame(done, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+
+    source = chosen(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, cut_bits: int = CUT_BITS, filter_bits: int = FILTER_BITS,
                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    if misfit(tokenizer_path) is not None:
+        return encode_whole(docs, tokenizer_path, doc_id, text)
     spark = docs.sparkSession
     source = chosen(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spark.sparkContext.broadcast(chunk_filter(source, cut_bits, filter_bits))
