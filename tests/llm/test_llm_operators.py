@@ -192,6 +192,16 @@ def test_bpe_encodes_a_chunk_once_and_as_one_text(monkeypatch):
     assert len(chunks) > 4 and sorted(encoded) == sorted(set(chunks))
 
 
+def test_bpe_normalises_like_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    signs = [chr(c) for c in [*range(1, 9), *range(14, 0x250), *range(0x300, 0x310), *range(0x390, 0x3d0), *range(0x2000, 0x20b0), 0x1e9e, 0x212b, 0xfb01]]
+    texts = [f"Aa{x}Bb {x}'S \u00c9{x} 9{x}" for x in signs] + [
+        "x<|endoftext|>Y", "x<|ENDOFTEXT|>Y", "\u0130STANBUL", "\u039f\u0394\u039f\u03a3 \u03a3", "E\u0301cole \u00c9COLE", ""]
+    got = bpe.word_ids(path, [t.encode() for t in texts])
+    assert [ids.tolist() for ids in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_chunks_end_in_periodic_texts():
     batch = bpe.Batch([b"a " * 50_000, b"b"], 30)
     assert max(b - a for a, b in batch.spans) <= bpe.MOST_WORDS and batch.text_of[-1] == 1

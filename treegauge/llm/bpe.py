@@ -25,7 +25,7 @@ import functools
 import hashlib
 import itertools
 import json
-from array import array
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,10 +116,45 @@ def text_ids(path: str, texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+#: Any character outside a range in which NFC changes nothing, lower case goes sign by sign, and only the space is white.
+_NOT_PLAIN = re.compile("[^ -~\u00a1-\u00ff\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
+@functools.lru_cache(maxsize=2)
+def _normalized_tokenizer(path: str):
+    """The tokenizer for texts that are normalised already, whether that takes lower case, and its added tokens."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.normalizer = None
+    normalizer = given.get("normalizer") or {"normalizers": []}
+    lowers = any(step["type"] == "Lowercase" for step in normalizer.get("normalizers", [normalizer]))
+    return tokenizer, lowers, [t["content"].lower() for t in given.get("added_tokens", [])]
+
+
 def word_ids(path: str, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word alone."""
-    out = _tokenizer(path)[0].encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    return [np.array(e.ids, dtype=np.uint32) for e in out]
+    """Ids of each word, or of words with one space between, alone.
+
+    The normalizer takes a good part of the time; texts of plain signs are normalised here, the others by the tokenizer.
+    """
+    bare, lowers, added = _normalized_tokenizer(path)
+    texts = [w.decode() for w in words]
+    plain, other = {}, {}
+    for i, text in enumerate(texts):
+        low = text.lower()
+        if _NOT_PLAIN.search(text) or any(token in low for token in added):
+            other[i] = text
+        else:
+            plain[i] = low if lowers else text
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+    for tokenizer, some in ((bare, plain), (_tokenizer(path)[0], other)):
+        for i, e in zip(some, tokenizer.encode_batch_fast(list(some.values()), add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype=np.uint32)
+    return out
 
 
 class WordMemory:
@@ -134,8 +169,7 @@ class WordMemory:
         held = self.held
         found = {w: held[w] for w in words if w in held}
         missing = [w for w in words if w not in found]
-        encoded = _tokenizer(self.path)[0].encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        new = {w: array("I", e.ids).tobytes() for w, e in zip(missing, encoded)}
+        new = {w: ids.tobytes() for w, ids in zip(missing, word_ids(self.path, missing))}
         if len(held) + len(new) > self.most:
             held.clear()
         held.update(itertools.islice(new.items(), self.most))
