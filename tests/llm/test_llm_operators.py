@@ -192,6 +192,16 @@ def test_bpe_encodes_a_chunk_once_and_as_one_text(monkeypatch):
     assert len(chunks) > 4 and sorted(encoded) == sorted(set(chunks))
 
 
+def test_bpe_chunks_from_words_are_those_of_their_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"Word{k % 13}'s \u00e9t\u00e9 {k}, <|endoftext|>x" for k in range(200)).encode(), b"", b"one", b"\xe4\xb8\xad\xcc\x81 \xcc\x81a"]
+    batch = bpe.Batch(texts, 3)
+    chunks = [batch.chunk(i) for i in range(len(batch.spans))]
+    which = list(range(0, len(chunks), 2))
+    got = bpe.ids_by_words(path, batch, which)
+    assert [x.tolist() for x in got] == [x.tolist() for x in bpe.text_ids(path, [chunks[i] for i in which])]
+
+
 def test_bpe_normalises_like_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -4,9 +4,9 @@ Texts are cut where a rolling hash of the last 16 bytes before a word has `CUT_B
 passages get equal chunks wherever they stand. A chunk that several texts hold is encoded once:
 1. Chunk hashes are counted over all texts (hashes only are shuffled). Those met at least twice go into
    a Bloom filter of fixed size (`FILTER_BITS`), which is broadcast. A false hit costs a detour, never a wrong id.
-2. One pass over the texts encodes chunks that nobody shares, each as one text, and leaves references to shared
-   ones. Joins of chunks are checked there: the last and first words around a join are encoded together, which must
-   give what the two chunks end and begin with. Where it does not, the chunks become one that is encoded anew, and
+2. One pass over the texts encodes chunks that nobody shares, where words are what can be reused: each distinct word
+   once. It leaves references to shared ones. Joins of chunks are checked there: the last and first words around a join are encoded together, which must
+   give what the two chunks end and begin with. Where it does not, the chunks become one that is encoded anew as one text, and
    its own joins are checked again, until all agree. Texts without references are finished there and then.
 3. Shared chunks are encoded once, as one text each, and joined to the references; texts are put together and
    finished. Equal texts are put together once.
@@ -328,10 +328,32 @@ def _encode_pass(path: str, cut_bits: int, table):
     return run
 
 
-def mended_units(path: str, batch: Batch, chunks: list[bytes], shared: np.ndarray) -> tuple[list[tuple[int, int]], list[np.ndarray | None]]:
-    """Runs of chunks whose joins all agree, and the ids of each; None for a single chunk that others share."""
+def ids_by_words(path: str, batch: Batch, which: list[int]) -> list[np.ndarray]:
+    """Ids of chunks, put together from those of their words; each distinct word is encoded once."""
+    words = [word for i in which for word in batch.words[slice(*batch.spans[i])]]
+    codes, kinds = pd.factorize(np.array([*words, None], dtype=object)[:-1])
+    alone = _memory(path).ids(kinds.tolist())
+    sizes = np.array([len(alone[word]) // 4 for word in kinds], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    size = sizes[codes]
+    ends = np.cumsum(size)
+    flat = np.frombuffer(b"".join([alone[word] for word in kinds]), dtype=np.uint32)
+    ids = flat[np.repeat(begins[codes] - (ends - size), size) + np.arange(size.sum())]
+    last = np.cumsum([batch.spans[i][1] - batch.spans[i][0] for i in which], dtype=np.int64) - 1
+    return np.split(ids, ends[last])[:-1]
+
+
+def mended_units(path: str, batch: Batch, chunks: list[bytes], shared: np.ndarray,
+                 by_words: bool = False) -> tuple[list[tuple[int, int]], list[np.ndarray | None]]:
+    """Runs of chunks whose joins all agree, and the ids of each; None for a single chunk that others share.
+
+    With `by_words`, chunks start as the ids of their words; those that need mending are encoded as one text.
+    """
     units = [(i, i + 1) for i in range(len(chunks))]
     known: dict[tuple[int, int], np.ndarray] = {}
+    own = np.flatnonzero(~shared).tolist() if by_words else []
+    if own:
+        known.update(zip([units[i] for i in own], ids_by_words(path, batch, own)))
     agreed: set[tuple[tuple[int, int], tuple[int, int]]] = set()  # by the units on both sides
     while True:
         open_ = [(a, b) for a, b in units if (a, b) not in known and not (b == a + 1 and shared[a])]
@@ -366,7 +388,7 @@ def _encode_batch(path: str, cut_bits: int, table: np.ndarray, doc_ids: list, te
     batch = Batch(texts, cut_bits)
     chunks = [batch.chunk(i) for i in range(len(batch.spans))]
     digests = [_digest(c) for c in chunks]
-    units, ids_of = mended_units(path, batch, chunks, _maybe_shared(table, digests))
+    units, ids_of = mended_units(path, batch, chunks, _maybe_shared(table, digests), by_words=True)
     out: list[tuple] = []
     first_unit = np.searchsorted(batch.text_of[[a for a, _ in units]] if units else np.zeros(0), np.arange(len(texts) + 1))
     for t, text in enumerate(texts):
