@@ -219,3 +219,18 @@ def test_an_analyzer_that_ends_its_process_or_hangs_loses_only_its_own_file(spar
     assert errors == {f"{word}{i}.txt": text for i in range(3) for word, text in (
         ("exit", "the analyzer's process ended with code 3"), ("leave", "bye"),
         ("crash", "the analyzer's process ended with code -11"), ("hang", "no result within 1 s"))}
+
+
+def parts_of(frame):
+    return [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_spread_deals_out_large_splits(spark):
+    uneven = spark.range(0, 4000, 1, 1).union(spark.range(4000, 4020, 1, 20))
+    assert max(parts_of(uneven)) == 4000
+    dealt = spread(uneven, rows=100)
+    assert dealt.rdd.getNumPartitions() == 41 and max(parts_of(dealt)) < 200
+    assert sorted(r.id for r in dealt.collect()) == list(range(4020))
+    assert spread(uneven, rows=4000) is uneven
+    equal = spark.range(0, 2000, 1, 1).select(F.lit(None).cast("string").alias("file_path"))
+    assert max(parts_of(spread(equal, rows=100))) < 200

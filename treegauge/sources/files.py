@@ -49,15 +49,24 @@ def read_tree(spark: SparkSession, root: str, project: str, version: str) -> Dat
     )
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """The files over all cores, where the scan yields fewer splits than there are cores.
+# Rows that one task takes at most, unless the caller says otherwise.
+ROWS_PER_TASK = 100_000
 
-    Analysis is bound by CPU, so a table of few large row groups would leave cores idle. A table
-    with enough splits is returned as it is: at scale no content is shuffled. Meant for frames
-    that only scan and project; behind a join or aggregate, looking at the splits would run it.
+
+def spread(files: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """The files dealt out evenly, where a split of the scan holds more than `rows` or fewer splits hold any than there are cores.
+
+    Analysis is bound by CPU, and a split is as large as a row group of the stored table, however many rows that is. So the
+    rows of each split are counted (from the footers, no column is read), and the number of parts grows with the table.
+    A table whose splits are many and small enough is returned as it is: its content is not shuffled. Meant for frames
+    that only scan and project; behind a join or aggregate, counting would run it.
     """
     cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
+    splits = files.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"))
+    busy, largest, total = splits.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    if not busy or busy >= cores and largest <= rows:
+        return files
+    return files.repartition(max(cores, -(-total // rows)), F.monotonically_increasing_id())
 
 
 def snapshot_changes(files: DataFrame, rules: ScanRules, scan_id: int | Column) -> DataFrame:
