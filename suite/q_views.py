@@ -305,9 +305,9 @@ def f7(spark, d):
       FROM (SELECT l_suppkey, l_returnflag, l_orderkey * 10 + l_linenumber AS seq, max(l_tax) AS value
             FROM lineitem GROUP BY ALL)) WHERE rn = 1""")
 def g1(spark, d):
-    one = fx.table(spark, d, "lineitem").groupBy(
-        "l_suppkey", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(
-        F.max("l_tax").alias("value"))
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    one = sh.line_items(spark, d, "l_suppkey", "l_returnflag", seq, "l_tax").groupBy(
+        "l_suppkey", "l_returnflag", "seq").agg(F.max("l_tax").alias("value"))
     none = F.lit(None).cast("string")
     merged = metrics.merge_before_after(one.select(
         F.col("l_suppkey").alias("scan_id"), F.lit("f").alias("file_path"), F.lit("A").alias("change_type"),

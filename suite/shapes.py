@@ -13,6 +13,15 @@ from treegauge.operators.metrics import drop_zero
 from treegauge.sources.files import snapshot_changes, spread
 
 
+# Line items that one task takes at most.
+LINES_PER_TASK = 500_000
+
+
+def line_items(spark, d, *columns) -> DataFrame:
+    """Columns of all line items, dealt out evenly: what a task keeps of them by key does not grow with a row group."""
+    return spread(fx.table(spark, d, "lineitem").select(*columns), LINES_PER_TASK)
+
+
 def snapshot(spark, d) -> DataFrame:
     return snapshot_changes(spread(fx.files_base(spark, d)), fx.RULES, F.lit(1).cast("bigint"))
 

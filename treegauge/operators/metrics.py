@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treegauge.functions.tags import tags_key
+from treegauge.functions.tags import parse_tags, tags_key
 from treegauge.operators.analyzers import METRIC_COLUMNS, is_selectable, runs_on
 from treegauge.specs import Analyzer, ScanRules, registry
 
@@ -36,7 +36,8 @@ def merge_before_after(entries: DataFrame) -> DataFrame:
     """Metric rows from one-sided entries (`side`, `seq`, `value`).
 
     Entries of a file with equal analyzer, tags and scope make one row; on each side the entry
-    emitted last counts. One file bounds a group, and the last-wins aggregate combines map-side.
+    emitted last counts. One file bounds a group, and the last-wins aggregate combines map-side. It keeps numbers only, and
+    the tags come back out of their key, so Spark hashes the entries and sorts none.
     """
     keys = ["scan_id", "file_path", "change_type", "old_file_path", "tech_stack", "analyzer_id"]
     last = {
@@ -47,11 +48,10 @@ def merge_before_after(entries: DataFrame) -> DataFrame:
         entries.withColumn("_tags_key", tags_key(F.col("tags")))
         .groupBy(*keys, "_tags_key", "scope")
         .agg(
-            F.any_value(F.to_json("tags")).alias("_tags"),
             last["before"].alias("value_before"),
             last["after"].alias("value_after"),
         )
-        .withColumn("tags", F.from_json("_tags", "map<string,string>"))
+        .withColumn("tags", parse_tags(F.col("_tags_key")))
         .select(*METRIC_COLUMNS)
     )
 
