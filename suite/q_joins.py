@@ -27,8 +27,8 @@ def d1(spark, d):
 def d1b(spark, d):
     """Line items as one-sided entries of the file that is their order. Equal line numbers of an
     order are made one entry first, so that 'last' is well defined."""
-    one = fx.table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber").agg(
-        F.max("l_quantity").alias("value"))
+    keys = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"]
+    one = sh.line_items(spark, d, *keys, "l_quantity").groupBy(*keys).agg(F.max("l_quantity").alias("value"))
     none = F.lit(None).cast("string")
     entries = one.select(
         F.col("l_orderkey").alias("scan_id"), F.lit("f").alias("file_path"), F.lit("M").alias("change_type"),
