@@ -18,8 +18,9 @@ LINES_PER_TASK = 500_000
 
 
 def line_items(spark, d, *columns) -> DataFrame:
-    """Columns of all line items, dealt out evenly: what a task keeps of them by key does not grow with a row group."""
-    return spread(fx.table(spark, d, "lineitem").select(*columns), LINES_PER_TASK)
+    """Columns of all line items; large splits are dealt out, so that what a task keeps of them by key does not grow with a
+    row group."""
+    return spread(fx.table(spark, d, "lineitem").select(*columns), LINES_PER_TASK, fill=False)
 
 
 def snapshot(spark, d) -> DataFrame:

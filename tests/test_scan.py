@@ -232,5 +232,7 @@ def test_spread_deals_out_large_splits(spark):
     assert dealt.rdd.getNumPartitions() == 41 and max(parts_of(dealt)) < 200
     assert sorted(r.id for r in dealt.collect()) == list(range(4020))
     assert spread(uneven, rows=4000) is uneven
+    few = spark.range(0, 100, 1, 1)
+    assert spread(few, rows=100, fill=False) is few and len(parts_of(spread(few, rows=99, fill=False))) > 1
     equal = spark.range(0, 2000, 1, 1).select(F.lit(None).cast("string").alias("file_path"))
     assert max(parts_of(spread(equal, rows=100))) < 200

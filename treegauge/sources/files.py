@@ -53,8 +53,9 @@ def read_tree(spark: SparkSession, root: str, project: str, version: str) -> Dat
 ROWS_PER_TASK = 100_000
 
 
-def spread(files: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
-    """The files dealt out evenly, where a split of the scan holds more than `rows` or fewer splits hold any than there are cores.
+def spread(files: DataFrame, rows: int = ROWS_PER_TASK, fill: bool = True) -> DataFrame:
+    """The files dealt out evenly, where a split of the scan holds more than `rows` or (`fill`) fewer splits hold any than
+    there are cores.
 
     Analysis is bound by CPU, and a split is as large as a row group of the stored table, however many rows that is. So the
     rows of each split are counted (from the footers, no column is read), and the number of parts grows with the table.
@@ -64,7 +65,7 @@ def spread(files: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
     cores = files.sparkSession.sparkContext.defaultParallelism
     splits = files.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"))
     busy, largest, total = splits.agg(F.count("*"), F.max("n"), F.sum("n")).first()
-    if not busy or busy >= cores and largest <= rows:
+    if not busy or largest <= rows and (busy >= cores or not fill):
         return files
     return files.repartition(max(cores, -(-total // rows)), F.monotonically_increasing_id())
 
