@@ -179,16 +179,18 @@ def a11(spark, d):
     FROM (SELECT file_path, CASE tech_stack WHEN 'Java' THEN 'java_complexity' ELSE 'char_count' END AS analyzer_id
           FROM snapshot WHERE contains(content, 'ü') AND tech_stack IS NOT NULL) GROUP BY 1"""))
 def a8b(spark, d):
-    """A stored summary with the texts of failed runs."""
+    """A stored summary with the texts of failed runs; those that it does not quote come from the stored error table."""
     changes = sh.snapshot(spark, d)
     failing = F.when(F.col("tech_stack") == "Java", "java_complexity").otherwise("char_count")
-    errors = changes.where(F.contains("content", F.lit("ü")) & F.col("tech_stack").isNotNull()).select(
+    failed = changes.where(F.contains("content", F.lit("ü")) & F.col("tech_stack").isNotNull()).select(
         "scan_id", failing.alias("analyzer_id"), F.concat("file_path", F.lit(": accent")).alias("error"))
-    stats = metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES), errors)
     store = ScanStore(spark, shared_path(spark, "store"))
+    store.write_facts({"errors": failed}, [1])
+    errors = store.read_facts("errors", 1, failed.schema)
+    stats = metrics.analyzer_stats(metrics.analyzer_runs(changes, fx.ANALYZERS, fx.RULES), errors)
     store.write_facts({"summaries": metrics.summary_record(stats, errors=errors)}, [1])
-    stored = metrics.read_summary(store.read_facts("summaries", 1)).select(F.inline("analyzer_stats"))
-    return stored.where("execution_errors > 0").select(
+    stored = metrics.read_summary(store.read_facts("summaries", 1)).select("scan_id", F.inline("analyzer_stats"))
+    return metrics.all_error_details(stored, errors).where("execution_errors > 0").select(
         "analyzer_id", "execution_errors", F.array_join("error_details", "|").alias("details"))
 
 

@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from treegauge.operators.metrics import quoted_errors, read_summary, summary_record
+from suite.all_queries import QUERIES
+from treegauge.operators.metrics import all_error_details, quoted_errors, read_summary, summary_record
 from treegauge.sources import store as stores
 from treegauge.sources.store import FACTS, ScanStore
 
@@ -85,3 +86,28 @@ def test_summaries_quote_errors_and_stay_bounded(spark):
     assert details["a"] == [] and details["b"] == ["f0: no", "f1: no", "f2: no"]
     assert details["c"] == [f"{k:05d}: no" for k in range(1000)] and row.total_errors == 2503
     assert quoted_errors(errors, 2).agg(F.max(F.size("error_details"))).first()[0] == 2
+
+
+def test_error_texts_beyond_the_quoted_come_from_the_error_table(spark, tmp_path):
+    most = {"a": 0, "b": 3, "c": 1000, "d": 1001, "e": 2500}
+    stats = spark.createDataFrame([(i, a, 9, 5, n) for i in (1, 2) for a, n in most.items()],
+                                  "scan_id long, analyzer_id string, total_files long, files_analyzed long, execution_errors long")
+    texts = [(i, a, f"{i} {k // 2:05d}: no") for i in (1, 2) for a, n in most.items() for k in reversed(range(n))]
+    texts = [(*t[:2], None) if t[1:] == ("e", "1 00000: no") else t for t in texts]
+    errors = spark.createDataFrame(texts, "scan_id long, analyzer_id string, error string")
+    store = ScanStore(spark, str(tmp_path / "store"))
+    store.write_facts({"errors": errors, "summaries": summary_record(stats, errors=errors)}, [1, 2])
+    stored = read_summary(store.read_facts("summaries")).select("scan_id", F.inline("analyzer_stats"))
+    assert stored.agg(F.max(F.size("error_details"))).first()[0] == 1000
+    found = {(r.scan_id, r.analyzer_id): r.error_details for r in all_error_details(stored, store.read_facts("errors")).collect()}
+    assert found == {(i, a): sorted(t for s, b, t in texts if (s, b) == (i, a) and t is not None) for i in (1, 2) for a in most}
+
+
+@pytest.mark.parametrize("umlauts", [0, 1, 1200])
+def test_all_error_texts_of_a_stored_scan(spark, tmp_path, umlauts):
+    docs = [(k, "grün" if k < umlauts else "grau", "de", "src5", 4) for k in range(1300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    rows = QUERIES["A8_error_details"](spark, str(tmp_path)).collect()
+    texts = sorted(f"src5/de/{k}.java: accent" for k in range(umlauts))
+    assert [tuple(r) for r in rows] == ([("java_complexity", umlauts, "|".join(texts))] if texts else [])

@@ -116,19 +116,34 @@ def scan_summary(stats: DataFrame) -> DataFrame:
 QUOTED_ERRORS = 1_000
 
 
-def quoted_errors(errors: DataFrame, most: int = QUOTED_ERRORS) -> DataFrame:
-    """The first texts by scan and analyzer, in order, as `error_details`: each task keeps that many before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("scan_id", "analyzer_id").orderBy("error"))
-    first = errors.select("scan_id", "analyzer_id", "error").withColumn("_rank", rank).where(F.col("_rank") <= most)
+def quoted_errors(errors: DataFrame, most: int | None = QUOTED_ERRORS) -> DataFrame:
+    """The first texts by scan and analyzer, in order, as `error_details`: each task keeps that many before the shuffle.
+    None takes all texts."""
+    first = errors.select("scan_id", "analyzer_id", "error")
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("scan_id", "analyzer_id").orderBy("error"))
+        first = first.withColumn("_rank", rank).where(F.col("_rank") <= most)
     return first.groupBy("scan_id", "analyzer_id").agg(F.sort_array(F.collect_list("error")).alias("error_details"))
 
 
+def all_error_details(stats: DataFrame, errors: DataFrame) -> DataFrame:
+    """Stored analyzer stats (`scan_id` and the columns of `STATS_TYPE`) with every error text, in order.
+
+    An analyzer with more errors than its summary quotes takes all its texts from the error table; the others keep theirs.
+    """
+    keys = ["scan_id", "analyzer_id"]
+    quoted = F.coalesce(F.size("error_details"), F.lit(0))
+    cut = stats.where(F.col("execution_errors") > quoted).select(*keys)
+    whole = quoted_errors(errors.join(cut, keys, "left_semi"), None).withColumnRenamed("error_details", "_all")
+    return stats.join(whole, keys, "left").withColumn("error_details", F.coalesce("_all", "error_details")).drop("_all")
+
+
 def summary_record(stats: DataFrame, load_errors: Iterable[str] = (), errors: DataFrame | None = None) -> DataFrame:
     """Summary rows in stored form, with the analyzer list as JSON text.
 
     The list has one element per configured analyzer. With an error table, its texts stand with their analyzer, the
-    first `QUOTED_ERRORS` of them: a row stays bounded, `execution_errors` tells whether there are more, and these
-    are in the error table.
+    first `QUOTED_ERRORS` of them: a row stays bounded, `execution_errors` tells whether there are more, and
+    `all_error_details` puts these back from the error table.
     """
     details = F.array().cast("array<string>")
     if errors is not None:

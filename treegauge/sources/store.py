@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from treegauge.sources.tables import drop_scans, file_system, read_scan_table, remove, write_scan_table
 
@@ -34,8 +35,8 @@ class ScanStore:
                 raise ValueError(f"{table} is none of {FACTS}")
             write_scan_table(rows, self.path(table), scans=scans)
 
-    def read_facts(self, table: str, scan_id: int | None = None) -> DataFrame:
-        return read_scan_table(self.spark, self.path(table), scan_id)
+    def read_facts(self, table: str, scan_id: int | None = None, schema: StructType | None = None) -> DataFrame:
+        return read_scan_table(self.spark, self.path(table), scan_id, schema)
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Another content for `projects` or `scans`; the old one stays until the new one is complete."""

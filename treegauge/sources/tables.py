@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from treegauge.functions.text import round_half_up
 
@@ -39,16 +40,19 @@ def write_scan_table(table: DataFrame, path: str, mode: str = "overwrite", scans
     is much larger than the rest over many tasks.
     """
     seen = Observation()
-    if scans is not None:
-        table = table.observe(seen, F.collect_set("scan_id").alias("ids"))
-    table.hint("rebalance", "scan_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
+    dealt = table.hint("rebalance", "scan_id")
+    if scans is not None:  # after the exchange: Spark leaves out all that comes before one without rows
+        dealt = dealt.observe(seen, F.collect_set("scan_id").alias("ids"))
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
     if scans is not None and mode == "overwrite":
         drop_scans(table.sparkSession, path, sorted(set(scans) - set(seen.get["ids"] or ())))
 
 
-def read_scan_table(spark: SparkSession, path: str, scan_id: int | None = None) -> DataFrame:
-    """Rows of one scan (only its partition is read), or of all."""
-    table = spark.read.parquet(path)
+def read_scan_table(
+    spark: SparkSession, path: str, scan_id: int | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """Rows of one scan (only its partition is read), or of all. A table that may have no rows at all needs its schema."""
+    table = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     return table if scan_id is None else table.where(F.col("scan_id") == scan_id)
 
 
